@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilis.llm import packing, sharding, token_store
-from vigilis.llm.common import crc32_text, table
+from vigilis.llm import decontaminate, factorization, langid, line_rules, packing, sharding, simhash, span_dedup, token_store, toxicity
+from vigilis.llm.common import crc32_text, fold_of, table
 
 
 def _tokenizer(name: str) -> str:
@@ -33,19 +33,76 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for every document; toxic: flagged by the last."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), chain)
+    p = F.col("toxicity")
+    return scored.select("doc_id", p["insult"].alias("insult"), p["contempt"].alias("contempt"), p["toxic"].alias("score"), p["flagged"].alias("toxic"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores; learned from documents whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = factorization.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = factorization.score_quality(docs.select("doc_id", "text", "n_chars"), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' token ids written to seekable files and read back."""
     index = token_store.tokens_of(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components: 4-word shingles, fingerprints that differ in at most 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; learned from those whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = langid.fit_languages(docs, ~held_out, _tokenizer("piece_bpe_32k.model"))
+    found = langid.predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and line rules for all documents, with the frequency of lines by source."""
+    return line_rules.line_frequency(table(spark, sf_dir, "documents"), host="source")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4,096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts without the sentences of repeated spans."""
+    done = span_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("removed").alias("n_removed"), (F.col("removed") > 0).alias("repeated"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For all documents the benchmark items that occur in them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("edits"))
+
+
+OPERATORS = (
+    op1_reshard, op2_toxicity, op3_quality, op4_token_files, op5_near_duplicates,
+    op6_language, op7_line_frequency, op8_pack, op9_repeated_spans, op10_decontaminate,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_reshard, op4_token_files, op8_pack)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
