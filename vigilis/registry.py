@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from vigilis.plans import QUERIES, SQL, kpi
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return kpi.flagship_kpi_by_country(spark, folder)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL
