@@ -29,7 +29,8 @@ Q = 12
 ERROR = 0.05
 BLOCK = 16 << 20
 TABLE = 22  # bits of the table that sorts out most q-grams
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
+BASES = [np.uint64(pow(BASE, n, 1 << 64)) for n in (1, 2, 4)]
 BAND = 1 << 40
 
 
@@ -40,9 +41,8 @@ def plain(text: str | None) -> bytes:
 def qgrams(data: np.ndarray) -> np.ndarray:
     """64-bit numbers of all runs of Q = 12 bytes, from those of 2, 4 and 8."""
     one = data.astype(np.uint64) + np.uint64(1)
-    b2 = BASE * BASE
-    b4 = b2 * b2
-    two = one[:-1] * BASE + one[1:]
+    b1, b2, b4 = BASES
+    two = one[:-1] * b1 + one[1:]
     four = two[:-2] * b2 + two[2:]
     eight = four[:-4] * b4 + four[4:]
     return eight[:-4] * b4 + four[8:]
