@@ -121,10 +121,12 @@ class Chain:
 
 
 def fit_chain(ids: list[int], texts: list[str | None], toxic: list[int], folds: int = 3) -> Chain:
-    words = [words_of(t) for t in texts]
-    docs = [np.unique(np.array([f for w in ws for f in features(w)], np.int64)) for ws in words]
-    y = np.array(toxic, float)
-    truths = {name: y * [not ws.isdisjoint(seeds) for ws in words] for name, seeds in SEEDS.items()} | {TARGET: y}
+    y, docs, seeded = np.array(toxic, float), [], []
+    for t in texts:  # one text's words at a time
+        ws = words_of(t)
+        docs.append(np.unique(np.array([f for w in ws for f in features(w)], np.uint32)))
+        seeded.append([not ws.isdisjoint(seeds) for seeds in SEEDS.values()])
+    truths = dict(zip(SEEDS, (np.array(seeded, float).reshape(-1, len(SEEDS)) * y[:, None]).T, strict=True)) | {TARGET: y}
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids])
     earlier, models = np.zeros((len(docs), 0)), []
     for truth in truths.values():
@@ -139,7 +141,7 @@ def fit_chain(ids: list[int], texts: list[str | None], toxic: list[int], folds:
     return Chain(list(truths), models)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000) -> Chain:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Chain:
     """A chain fitted on labelled rows of ``docs``: at most ``fit_rows`` toxic ones and as many clean ones."""
     need(docs, ["doc_id", "text"])
     own = labels.select(F.col("doc_id").alias("__id"), F.col(TARGET).alias("__y"))
