@@ -54,7 +54,7 @@ class Linear:
     earlier: np.ndarray
 
 
-def fit_linear(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, most: int = 4000, steps: int = 120, rate: float = 0.1, decay: float = 3e-3) -> Linear:
+def fit_linear(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, most: int = 4000, steps: int = 300, rate: float = 0.1, decay: float = 1e-2) -> Linear:
     """Logistic loss on the ``most`` features whose shares in the two classes differ most for their spread."""
     ones = int(y.sum())
     if not 0 < ones < len(y):
@@ -66,7 +66,7 @@ def fit_linear(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, most:
     z = (with_ / ones - (both - with_) / (len(y) - ones)) / np.sqrt(share * (1 - share) * (1 / ones + 1 / (len(y) - ones)) + 1e-12)
     z[both < 3] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:most]
-    chosen = chosen[np.abs(z[chosen]) > 1]
+    chosen = chosen[np.abs(z[chosen]) > 4]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[k] >= 0
