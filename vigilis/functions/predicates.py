@@ -93,7 +93,7 @@ def place_or_null(x: Column) -> Column:
 
 def focused_place(x: Column, country: Column, keep_country: bool = False) -> Column:
     """The first real part of a ';' list that isn't the country itself; the country is kept as a last resort if asked for."""
-    parts = F.filter(F.transform(F.split(x, ";"), F.trim), lambda p: ~F.lower(p).isin(NO_PLACE))
+    parts = F.filter(F.transform(F.split(x, ";"), lambda x: F.trim(x)), lambda p: ~F.lower(p).isin(NO_PLACE))
     other = F.filter(parts, lambda p: F.lower(p) != F.lower(F.coalesce(country, F.lit(""))))
     first = F.get(other, F.lit(0))
     return F.coalesce(first, F.get(parts, F.lit(0))) if keep_country else first
@@ -106,7 +106,7 @@ CITY_HINTS = "city|kota|kabupaten|district|regency|municipality"
 
 def split_admin(x: Column) -> Column:
     """A struct (province, city) from comma-separated parts, by the words that mark them."""
-    parts = F.transform(F.split(x, ","), F.trim)
+    parts = F.transform(F.split(x, ","), lambda x: F.trim(x))
     pick = lambda words: F.get(F.filter(parts, lambda p: F.lower(p).rlike(rf"\b({words})\b")), F.lit(0))
     return F.struct(pick(PROVINCE_HINTS).alias("province"), pick(CITY_HINTS).alias("city"))
 

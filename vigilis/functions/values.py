@@ -67,4 +67,4 @@ def union_labels(*lists: Column) -> Column:
 
 def table_lines(cells: Column) -> Column:
     """A table's rows as lines of cells between bars."""
-    return F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, F.trim), " | ")), "\n")
+    return F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, lambda x: F.trim(x)), " | ")), "\n")
