@@ -134,7 +134,7 @@ class Resharding:
         whole = shards <= set(touched)
         affected = self.placed if whole else self.placed.where(F.col("__shard").isin(touched))
         affected.withColumn("__dir", F.col("__shard")).write.partitionBy("__dir").parquet(path)
-        files = self.placed.sparkSession.read.schema(self.placed.schema).parquet(path)
+        files = self.placed.sparkSession.read.schema(self.placed.schema).parquet(path).select(*self.placed.columns)
         return files if whole else files.unionByName(self.placed.where(~F.col("__shard").isin(touched)))
 
 

@@ -74,7 +74,7 @@ class Encoder:
 
     def _part(self, part: str, lead: str) -> bytes | None:
         stem = part.rstrip(TAIL)
-        if stem.isalpha() and max(stem) < "ɐ":
+        if stem.isalpha() and max(stem) < "ɐ" and (self.spaced or stem.lower().isalpha()):
             if len(stem) == len(part):
                 return self._word(stem, lead)
             return (self.memo if lead or not self.spaced else self.firsts)[stem] + self._word(part[len(stem) :], "")
