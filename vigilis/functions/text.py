@@ -20,7 +20,7 @@ def normalize_url(url: Column, variant: str = "collector") -> Column:
     The collector's variant; 'api' keeps ``ref`` and ``source`` and the path's final slash. Null for what isn't a URL.
     """
     u = F.trim(url)
-    scheme, rest = F.lower(F.regexp_extract(u, r"^(https?)://", 1)), F.regexp_extract(u, r"(?i)^https?://([^#]*)", 1)
+    scheme, rest = F.lower(F.regexp_extract(u, r"(?i)^(https?)://", 1)), F.regexp_extract(u, r"(?i)^https?://([^#]*)", 1)
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r":(80|443)$", "")
     path = F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1)
     path = path if variant == "api" else F.regexp_replace(path, r"/+$", "")

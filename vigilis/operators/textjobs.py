@@ -289,3 +289,12 @@ def reconcile_date(published: Column, stated_year: Column) -> Column:
     """The stated year's own last day where it is two years or more off the publication date, else that date."""
     off = F.abs(F.year(published) - stated_year) >= 2
     return F.when(off, F.make_date(stated_year, F.lit(12), F.lit(31))).otherwise(published)
+
+
+def expand_abbreviations(lexicon: DataFrame, abbreviations: Mapping[str, str]) -> DataFrame:
+    """The lexicon (alias, concept) and, for each abbreviation of a word, the aliases with the short form in its place."""
+    out = lexicon
+    for long, short in abbreviations.items():
+        own = lexicon.where(F.lower("alias").rlike(rf"\b{long}\b"))
+        out = out.unionByName(own.withColumn("alias", F.regexp_replace(F.lower("alias"), rf"\b{long}\b", short)))
+    return out.distinct()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilis.functions.text import normalize_url
+from vigilis.functions.sql import normalize_unicode, register_functions, summary_view
+from vigilis.functions.text import normalize_url, short_label
+from vigilis.operators.textjobs import expand_abbreviations
 from vigilis.plans import query
 from vigilis.sources import adapters as a
 from vigilis.sources import readers, writers
@@ -80,3 +82,35 @@ def fn9_idempotent(spark, d):
     """Normalising twice changes nothing."""
     u = normalize_url(F.col("url"))
     return a.scan(spark, d, "pages").agg((F.count_if(normalize_url(u) != u) == 0).alias("ok"))
+
+
+@query("""WITH x AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem), s AS (SELECT d, d - CAST(dayofweek(d) AS INTEGER) AS sun FROM x), y AS (SELECT d, sun, year(sun + 3) AS y FROM s)
+  SELECT d AS day, CAST(y AS INTEGER) AS y, CAST((sun - (make_date(y, 1, 4) - CAST(dayofweek(make_date(y, 1, 4)) AS INTEGER))) // 7 + 1 AS INTEGER) AS w FROM y""")
+def ud1_sql_functions(spark, d):
+    """The same weeks through the functions that SQL users call."""
+    register_functions(spark)
+    a.scan(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct().createOrReplaceTempView("ship_days")
+    return spark.sql("SELECT day, mmwr_year(day) AS y, mmwr_week(day) AS w FROM ship_days")
+
+
+@query(f"""WITH {a.FACTS_SQL} SELECT place, label, CAST(sum(cases) AS BIGINT) AS cases FROM facts WHERE place LIKE 'NATION_1%' GROUP BY 1, 2""")
+def ud4_summary_view(spark, d):
+    summary_view(a.facts(spark, d))
+    return spark.sql("SELECT place, label, cases FROM disease_summary WHERE place LIKE 'NATION_1%'")
+
+
+@query("SELECT doc_id, length(text) AS size FROM documents")
+def ud5_normalize_unicode(spark, d):
+    return a.scan(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.length(normalize_unicode(F.col("text"), "NFC")).cast("long").alias("size"))
+
+
+@query("SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN 'STD' WHEN 'ECONOMY' THEN 'ECO' ELSE p_type END AS short FROM part")
+def fn12_short_label(spark, d):
+    return a.scan(spark, d, "part").select("p_partkey", short_label(F.col("p_type"), {"STANDARD": "STD", "ECONOMY": "ECO"}).alias("short"))
+
+
+@query("SELECT n_name AS alias, n_nationkey AS concept FROM nation UNION SELECT 'kab ' || n_nationkey, n_nationkey FROM nation UNION SELECT 'kabupaten ' || n_nationkey, n_nationkey FROM nation")
+def tx15_expand_abbreviations(spark, d):
+    n = a.scan(spark, d, "nation")
+    lex = n.select(F.col("n_name").alias("alias"), F.col("n_nationkey").alias("concept")).unionByName(n.select(F.concat(F.lit("kabupaten "), "n_nationkey").alias("alias"), F.col("n_nationkey").alias("concept")))
+    return expand_abbreviations(lex, {"kabupaten": "kab"})

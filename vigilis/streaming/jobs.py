@@ -120,3 +120,14 @@ def run_available(df: DataFrame, checkpoint: str, mode: str = "append", name: st
     q.awaitTermination()
 
 
+
+
+def capture_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: training examples captured as facts come in, each batch a version with the highest confidence of each example."""
+    from vigilis.operators.training import capture_examples
+
+    def write(batch: DataFrame, n: int) -> None:
+        known = spark.read.parquet(f"{path}/v={n - 1}") if n else None
+        capture_examples(batch, known).write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    return write
