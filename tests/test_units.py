@@ -71,6 +71,7 @@ def test_counts_in_text(spark):
     cases = {"7.994": 7994, "218,356": 218356, "1,2 juta": 1_200_000, "3 ribu": 3000, "٤٢": 42, "none": None, "12.": 12}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.n for r in df.select("t", text.parse_count(F.col("t")).alias("n")).collect()} == cases
+    assert {r.t: r.n[0] for r in df.select("t", text.parse_counts(F.array(text.fold_digits(F.col("t")))).alias("n")).collect()} == cases
 
 
 def test_mojibake_and_markup(spark):

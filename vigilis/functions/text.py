@@ -127,6 +127,22 @@ def parse_count(text: Column) -> Column:
     return F.round(value * factor).cast("long")
 
 
+def parse_counts(texts: Column) -> Column:
+    """``parse_count`` of each element of an array, step by step, so that no part is worked out twice."""
+    plain = F.transform(texts, lambda x: F.lower(F.trim(x)))
+    cut = F.transform(plain, lambda t: F.struct(F.regexp_extract(t, r"^([0-9][0-9.,]*)", 1).alias("n"), F.regexp_extract(t, r"^[0-9][0-9.,]*\s*([a-z]+)", 1).alias("w")))
+    factors = F.create_map(*[F.lit(x) for w, n in MULTIPLIERS.items() for x in (w, n)])
+    words_ = list(MULTIPLIERS)
+
+    def value(x: Column) -> Column:
+        n = x["n"]
+        grouped = n.rlike(r"^[0-9]{1,3}([.,][0-9]{3})+$") & ~x["w"].isin(words_)
+        number = F.when(grouped, F.regexp_replace(n, "[.,]", "")).otherwise(F.replace(F.rtrim(n, F.lit(".,")), F.lit(","), F.lit(".")))
+        return F.round(number.try_cast("double") * F.coalesce(F.element_at(factors, x["w"]), F.lit(1))).cast("long")
+
+    return F.transform(cut, value)
+
+
 def ngrams(words: Column, most: int) -> Column:
     """Structs (gram, pos, size) of all runs of 1 to ``most`` words."""
     sizes = F.sequence(F.lit(1), F.lit(most))

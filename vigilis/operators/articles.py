@@ -35,10 +35,13 @@ def collapse_articles(facts: DataFrame) -> DataFrame:
         F.count("*").alias("facts"), F.sum("cases").alias("cases"), F.sum("deaths").alias("deaths"), F.bool_or("alert").alias("alert"), F.bool_or("needs_review").alias("needs_review"),
         F.max(worst).alias("worst"), F.max_by("fact_id", F.struct("confidence", "created_at", "fact_id")).alias("lead_fact"), F.count_distinct("label").alias("labels"),
     )
-    for column, name in (("country", "by_country"), ("place", "by_place"), ("label", "by_label"), ("source_name", "by_source")):
-        out = out.join(text_by(rows, "report_id", column, "cases", name), "report_id", "left")
-    lead = rows.groupBy("report_id", "label").agg(F.sum("cases").alias("n")).groupBy("report_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("lead_label"))
-    out = out.join(lead, "report_id", "left")
+    texts = {"by_country": "country", "by_place": "place", "by_label": "label", "by_source": "source_name"}
+    pairs = rows.select("report_id", "cases", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in texts.items()])).alias("p"))
+    sums = pairs.where("p.value is not null").groupBy("report_id", "p.kind", "p.value").agg(F.sum("cases").alias("n"))
+    own = lambda k, x: F.when(F.col("kind") == k, x)
+    parts = [format_counts(F.collect_list(own(k, F.struct(F.col("value").alias("label"), "n")))).alias(k) for k in texts]
+    lead = F.min_by(own("by_label", F.col("value")), own("by_label", F.struct(-F.col("n"), F.col("value")))).alias("lead_label")
+    out = out.join(sums.groupBy("report_id").agg(*parts, lead), "report_id", "left")
     return out.withColumn("worst", F.element_at(F.array(F.lit("surveillance"), F.lit("review"), F.lit("noise")), F.col("worst") + 1)).withColumn("shown_by", F.when(F.col("labels") > 1, "label").otherwise("place"))
 
 

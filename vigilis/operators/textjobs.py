@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilis.functions.text import alias_key, collapse, fold_accents, fold_digits, parse_count
+from vigilis.functions.text import alias_key, collapse, fold_accents, fold_digits, parse_count, parse_counts
 from vigilis.operators.dedup import drop_nested
 
 #: Scripts and their languages.
@@ -69,7 +69,7 @@ def labelled_counts(docs: DataFrame, terms: Mapping[str, str]) -> DataFrame:
     for metric, words_ in terms.items():
         after = F.regexp_extract_all(t, F.lit(rf"(?i){number}\s+(?:new\s+)?(?:{words_})\b"), 1)
         before = F.regexp_extract_all(t, F.lit(rf"(?i)\b(?:{words_})\s*(?::|of|=)?\s*{number}"), 1)
-        out = out.withColumn(metric, F.array_max(F.transform(F.concat(after, before), parse_count)))
+        out = out.withColumn(metric, F.array_max(parse_counts(F.concat(after, before))))
     return out
 
 
