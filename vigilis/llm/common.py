@@ -58,6 +58,7 @@ def need(df: DataFrame, names: Iterable[str]) -> None:
 
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,6 +67,8 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default; whole texts are long, and workers hold a batch in full
+        spark.conf.set(BATCH, "2000")
     root = Path(__file__).resolve().parents[2]
     out = Path(tempfile.mkdtemp(prefix="spark-")) / "vigilis.zip"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

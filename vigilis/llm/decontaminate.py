@@ -15,6 +15,7 @@ as null; repeated rows get equal results; with an empty benchmark nothing is fou
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilis.llm.common import need
+from vigilis.llm.held import hold
 
 WORD = re.compile(r"[^\W_]+")
 Q = 12
 ERROR = 0.05
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 TABLE = 22  # bits of the table that sorts out most q-grams
 BASE = 0x9E3779B97F4A7C15
 BASES = [np.uint64(pow(BASE, n, 1 << 64)) for n in (1, 2, 4)]
@@ -100,7 +102,7 @@ class Index:
         place = np.concatenate([np.arange(len(c)) for c in codes] or [np.empty(0, np.int64)])
         every = np.concatenate(codes or [np.empty(0, np.uint64)])
         order = np.argsort(every, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
         self.codes, self.first = np.unique(every[order], return_index=True)
         self.last = np.append(self.first[1:], len(every))
         self.table = np.zeros(1 << TABLE, bool)
@@ -142,7 +144,7 @@ class Index:
         if not n.sum():
             return
         hit = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.item[hit], np.repeat(at, n) - self.place[hit]
+        item, diagonal = self.item[hit].astype(np.int64), np.repeat(at, n) - self.place[hit]
         width = self.budget[item] + 1
         # bands start every ``width`` diagonals and are two widths long, so any budget + 1 diagonals lie in one
         band = np.floor_divide(diagonal, width)
@@ -182,14 +184,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> Column:
     spark = docs.sparkSession
 
     def column(index: Index) -> Column:
-        shared, cache = spark.sparkContext.broadcast((index.ids, index.texts)), {}
+        shared, key = spark.sparkContext.broadcast((index.ids, index.texts)), f"index {uuid.uuid4().hex}"
 
         @F.pandas_udf("array<struct<item_id:long,start:int,end:int,edits:int>>")
         def search(text: pd.Series) -> pd.Series:
-            if "index" not in cache:
-                cache["index"] = Index(*shared.value)
+            own = hold(key, lambda: Index(*shared.value))
             names = ("item_id", "start", "end", "edits")
-            return pd.Series([[dict(zip(names, h, strict=True)) for h in cache["index"].search(t)] for t in text])
+            return pd.Series([[dict(zip(names, h, strict=True)) for h in own.search(t)] for t in text])
 
         return search(F.col("text"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilis.llm.common import need
+from vigilis.llm.held import hold
 from vigilis.llm.sample import by_hash
 
 WORD_BUCKETS = 1 << 15
@@ -31,7 +32,7 @@ BINS = 8
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
-MEMO = 500_000
+MEMO = 300_000
 
 STATISTICS = ["chars", "words", "word_length", "distinct", "top_word", "upper", "digits", "symbols", "bangs", "stops", "lines", "repeated_lines", "line_words", "common_line"]
 
@@ -70,15 +71,12 @@ class Buckets(dict):
         return k
 
 
-_buckets = Buckets()
-
-
 def featurize(text: str | None, n_chars) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Word buckets, their values (square roots of counts, of length one together), and the statistics."""
     text = text or ""
     words = text.lower().split()
     counts = Counter(words)
-    k = np.fromiter(map(_buckets.__getitem__, counts), np.int32, len(counts))
+    k = np.fromiter(map(hold("buckets", Buckets).__getitem__, counts), np.int32, len(counts))
     x = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
     if len(x):
         x /= np.sqrt((x * x).sum())

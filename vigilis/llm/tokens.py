@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from vigilis.llm.held import hold
+
 #: Punctuation that forms one pre-token of its own after a word; the apostrophe isn't here, as contractions start with it.
 TAIL = ".,;:!?#$%&*|<>()-\""
 
@@ -46,7 +48,7 @@ class Encoder:
     The memo holds at most ``limit`` parts; parts beyond are encoded each time.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,14 +100,9 @@ class Encoder:
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> Encoder:
     """One for each worker process."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+    return hold(f"encoder {path} {spaced}", lambda: Encoder(path, spaced))
 
 
 def batches(rows: Sequence[str | None], most: int = 4_000_000):

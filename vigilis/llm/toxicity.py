@@ -14,6 +14,7 @@ rows; other columns are kept.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilis.llm.common import need
+from vigilis.llm.held import hold
 from vigilis.llm.sample import by_hash
 
 #: Seed terms of the categories that come before "toxic" in the chain.
@@ -156,14 +158,13 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> Dat
     need(docs, ["doc_id", "text"])
     shared = docs.sparkSession.sparkContext.broadcast((chain.names, chain.models))
     schema = ", ".join(f"{n} double" for n in chain.names) + ", flagged boolean"
-    cache: dict[str, Chain] = {}
+    key = f"chain {uuid.uuid4().hex}"
 
     @F.pandas_udf(f"struct<{schema.replace(' double', ':double').replace(' boolean', ':boolean')}>")
     def score(text: pd.Series) -> pd.DataFrame:
-        if "chain" not in cache:
-            cache["chain"] = Chain(*shared.value)
-        names = cache["chain"].names
-        out = pd.DataFrame(np.array([cache["chain"].of(t) for t in text]).reshape(-1, len(names)), columns=names)
+        own = hold(key, lambda: Chain(*shared.value))
+        names = own.names
+        out = pd.DataFrame(np.array([own.of(t) for t in text]).reshape(-1, len(names)), columns=names)
         return out.assign(flagged=out[names[-1]] >= threshold)
 
     return docs.withColumn("toxicity", score(F.col("text")))
