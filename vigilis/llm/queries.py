@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilis.llm import decontaminate, factorization, langid, line_rules, packing, sharding, simhash, span_dedup, token_store, toxicity
 from vigilis.llm.common import crc32_text, fold_of, table
+from vigilis.llm.sql import ORACLES
 
 
 def _tokenizer(name: str) -> str:
@@ -106,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
