@@ -5,7 +5,7 @@ depends on its own words alone, so a passage has the same spans wherever it stan
 doc_id, then place) stays; sentences that any other occurrence covers are removed.
 
 A sentence ends at a full stop, exclamation or question mark before white space, or at a line's end. Sentences of over
-``LONG`` words, such as tables, are divided after words chosen by their hash, and after ``MOST`` words, so that passages within them have spans too.
+``LONG`` words, such as tables, are divided after words chosen by their hash, repeated words and ``MOST`` words, so that passages within them have spans too.
 
 Defined results: null texts stay null; a null doc_id comes after all others; rows of one doc_id are one document and don't
 remove each other's spans, but for spans that repeat within a text; an empty table gives no rows; other columns are kept.
@@ -51,7 +51,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         start, own = a, []
         for m, w in zip(WORD.finditer(text, a, b), words, strict=True):
             own.append(w)
-            if zlib.crc32(w.encode()) % CUT == 0 or len(own) == MOST:
+            if zlib.crc32(w.encode()) % CUT == 0 or len(own) == MOST or own[-2:] == [w, w]:
                 found.append((start, m.end(), own))
                 start, own = m.end(), []
         if own:
