@@ -283,7 +283,7 @@ def ag18_crawl_stats(spark, d):
     round(greatest(least(CASE kind WHEN 'api' THEN 0.8 WHEN 'csv' THEN 0.5 WHEN 'rss' THEN 0.6 ELSE 0.55 END::DOUBLE + CASE WHEN contains(url, '.gov.') THEN 0.15 WHEN contains(url, 'blog') THEN -0.2 ELSE 0 END::DOUBLE, 1), 0), 4) AS credibility FROM sources)
   SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'rss') AS rss, count(*) FILTER (WHERE kind = 'web') AS web, count(*) FILTER (WHERE kind = 'api') AS api, count(*) FILTER (WHERE kind = 'csv') AS csv,
     count(*) FILTER (WHERE channel = 'official') AS official, count(*) FILTER (WHERE channel = 'media') AS media, count(*) FILTER (WHERE channel = 'social') AS social, count(*) FILTER (WHERE channel = 'other') AS other,
-    count(*) FILTER (WHERE credibility >= 0.7) AS trusted, count(*) FILTER (WHERE credibility < 0.4) AS doubtful, 0 AS overridden, round(avg(credibility), 4) AS credibility FROM c""")
+    count(*) FILTER (WHERE credibility >= 0.7) AS trusted, count(*) FILTER (WHERE credibility < 0.4) AS doubtful, CAST(0 AS BIGINT) AS overridden, round(avg(credibility), 4) AS credibility FROM c""")
 def ag19_source_summary(spark, d):
     from vigilis.functions.predicates import channel_of, source_credibility
 

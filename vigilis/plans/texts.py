@@ -315,7 +315,7 @@ def tr10_reanalyse(spark, d):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("twice").alias("twice"))
 
 
-@query(f"WITH {RULES_SQL}, {ALIASES_SQL} SELECT 'alias' AS kind, (SELECT count(*) FROM aliases) AS entries, 2 AS found, false AS passed UNION ALL SELECT 'label', (SELECT count(*) FROM rules), 1, true")
+@query(f"WITH {RULES_SQL}, {ALIASES_SQL} SELECT 'alias' AS kind, (SELECT count(*) FROM aliases) AS entries, CAST(2 AS BIGINT) AS found, false AS passed UNION ALL SELECT 'label', (SELECT count(*) FROM rules), 1, true")
 def tr11_registry_audit(spark, d):
     lex = a.aliases(spark, d).select(F.lit("alias").alias("kind"), "alias").unionByName(a.rules(spark, d).select(F.lit("label").alias("kind"), F.col("label").alias("alias")))
     sentinels = spark.createDataFrame([("alias", "small"), ("alias", "promo-x"), ("alias", "nothing"), ("label", "SMALL")], "kind string, alias string")
