@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from vigilis.llm.common import need, written
 
 WORD = re.compile(r"\S+")
-LONG, CUT, MOST = 40, 8, 64
+LONG, CUT, MOST = 24, 8, 64
 LAST = (1 << 63) - 1
+WITHIN = -1
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -82,38 +83,47 @@ def spans(text: str | None, least_sentences: int, least_words: int) -> tuple[lis
 
 
 def cut_out(text: str | None, starts: list[int], least_sentences: int, least_words: int) -> tuple[str | None, int]:
-    """``text`` without the sentences of the spans that begin at sentences ``starts``, and how many sentences that are."""
+    """``text`` without the sentences of the spans that begin at sentences ``starts``, and how many sentences that are.
+
+    WITHIN among ``starts``: also of all spans whose hash has occurred before in the text.
+    """
     if not starts or not text:
         return text, 0
     at, own = spans(text, least_sentences, least_words)
-    gone = {j for i in starts for j in range(i, i + own[i][1])}
+    begin = {i for i in starts if i != WITHIN}
+    if WITHIN in starts:
+        seen: set[int] = set()
+        begin |= {i for i, (h, _) in enumerate(own) if h in seen or seen.add(h)}
+    gone = {j for i in begin for j in range(i, i + own[i][1])}
     return "".join(text[a:b] for j, (a, b) in enumerate(at) if j not in gone).strip(), len(gone)
 
 
 def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """__doc, __text, starts: by document and text, the sentences at which spans begin that are not their hash's first."""
+    """__doc, __text, starts: by document and text, the sentences at which spans begin that another document has had before.
+
+    WITHIN stands for those that the text itself has had before: they are found again when they are cut out.
+    """
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
             new, again = [], []
             for text in page["text"]:
                 seen: dict[int, int] = {}
-                twice = []
-                for i, (h, _) in enumerate(spans(text, least_sentences, least_words)[1]):
-                    if seen.setdefault(h, i) != i:
-                        twice.append(i)
+                own = spans(text, least_sentences, least_words)[1]
+                for i, (h, _) in enumerate(own):
+                    seen.setdefault(h, i)
                 new.append(list(seen.items()))
-                again.append(twice)
+                again.append(len(seen) < len(own))
             yield pd.DataFrame(
                 {"__doc": page["__doc"], "__text": page["__text"], "hashes": [[h for h, _ in x] for x in new], "places": [[i for _, i in x] for x in new], "again": again}
             )
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), F.xxhash64("text").alias("__text"), "text")
-    own = written(keyed.mapInPandas(run, "__doc long, __text long, hashes array<long>, places array<int>, again array<int>"), "spans")
+    own = written(keyed.mapInPandas(run, "__doc long, __text long, hashes array<long>, places array<int>, again boolean"), "spans")
     rows = own.select("__doc", "__text", F.inline(F.arrays_zip("hashes", "places")).alias("hash", "place"))
     first = rows.groupBy("hash").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).where("first < last").select("hash", "first")
     others = rows.join(first, "hash").where(F.col("__doc") > F.col("first")).select("__doc", "__text", "place")
-    within = own.where(F.size("again") > 0).select("__doc", "__text", F.explode("again").alias("place"))
+    within = own.where("again").select("__doc", "__text", F.lit(WITHIN).alias("place"))
     # a document's spans are bounded by its own text
     return others.unionByName(within).groupBy("__doc", "__text").agg(F.sort_array(F.collect_set("place")).alias("starts"))
 
