@@ -551,6 +551,23 @@ def test_pipeline_stages(spark, docs, rows):
     assert len(corpus_pipeline.run(spark, DATA).collect()) == len(out)
 
 
+def test_pipeline_links_all_at_eight_tenths(spark):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(3000)])
+    texts = {}
+    for k in range(60):
+        base = rng.choice(words, 300)
+        other = base.copy()
+        at = rng.choice(300, 1 + k % 12, replace=False)
+        other[at] = rng.choice(words, len(at))
+        texts |= {2 * k: " ".join(base), 2 * k + 1: " ".join(other)}
+    sets = {i: set(zip(*[t.split()[j:] for j in range(5)], strict=False)) for i, t in texts.items()}
+    want = {i for i in texts if i % 2 == 0 or 10 * len(sets[i] & sets[i - 1]) < 8 * len(sets[i] | sets[i - 1])}
+    assert 60 < len(want) < 100
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, made, DATA).collect()} == want
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_pipeline_odd(spark, odd, empty, k):
     stage = corpus_pipeline.STAGES[k][1]
