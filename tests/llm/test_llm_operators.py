@@ -434,6 +434,15 @@ def test_line_rules_odd(odd, empty):
     assert line_rules.line_frequency(empty).count() == 0
 
 
+def test_line_rules_cut_common_lines(spark):
+    own = [(i, f"First  of {i}\n  ALL rights\treserved \n\nLast of {i}", "a") for i in range(4)] + [(9, "all rights reserved", "b"), (10, None, "a"), (11, "All rights reserved", "a")]
+    docs = spark.createDataFrame([*own, own[0]], "doc_id long, text string, source string")
+    out = line_rules.line_frequency(docs, min_docs=3).collect()
+    got = {r.doc_id: (r.text, r.removed_chars) for r in out}
+    assert len(out) == 8
+    assert got == {i: (f"First  of {i}\n\nLast of {i}", 19) for i in range(4)} | {9: ("all rights reserved", 0), 10: (None, 0), 11: ("", 19)}
+
+
 # spans
 
 

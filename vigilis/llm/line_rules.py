@@ -10,7 +10,7 @@ rows of one id, host and text get equal results; empty lines count nowhere; an e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilis.llm.common import SPACE, need
@@ -54,10 +54,26 @@ def word_columns(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
+def normalised(line: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
+
+
 def normalised_lines(text: Column) -> Column:
     """Lower-case lines with single spaces, those with a word."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, SPACE, " "))))
-    return F.filter(lines, lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normalised), lambda x: x != "")
+
+
+def line_chars(text: Column) -> Column:
+    """Characters of all normalised lines."""
+    return F.aggregate(normalised_lines(text), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """``text`` without its lines at ``places`` (distinct, from 0); by a set difference, so in time proportional to the lines."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
 def common_lines(docs: DataFrame, min_docs: int, per_mille: int) -> DataFrame:
@@ -70,26 +86,26 @@ def common_lines(docs: DataFrame, min_docs: int, per_mille: int) -> DataFrame:
 
 
 def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 10, per_mille: int = 1, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
-    """doc_id, the word columns, base_failed, removed_chars, line_chars and kept for every row of ``docs``.
+    """doc_id, text without its common lines, the word columns, base_failed, removed_chars, line_chars and kept for every row of ``docs``.
 
     A line is removed where more than ``min_docs`` documents of its host have it and more than ``per_mille`` in a thousand.
+    The word columns are of the text as it was; a null text stays null.
     """
     need(docs, ["doc_id", "text", host])
     keyed = docs.select("doc_id", F.col(host).alias("__host"), "text", F.xxhash64("text").alias("__key"))
     common = common_lines(keyed, min_docs, per_mille)
-    parts = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("chars")))
+    places = F.transform(F.split("text", "\n"), lambda x, i: F.struct(normalised(x).alias("line"), i.alias("place")))
+    parts = F.transform(F.filter(places, lambda x: x["line"] != ""), lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), x["place"].alias("place")))
     lines = keyed.select("doc_id", "__key", "__host", F.inline(parts))
     gone = lines.join(common, F.col("__host").eqNullSafe(F.col("__ch")) & (F.col("hash") == F.col("__cl")))
-    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), F.col("__host").alias("__g")).agg(F.sum("chars").alias("__gone"))
-    whole = F.aggregate(normalised_lines(F.col("text")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    # rows of one id, host and text add up in __gone, so it is compared with the sum over such rows
-    base = word_columns(keyed.withColumn("line_chars", whole), F.col("text")).drop("text")
+    # a document's lines are bounded by its own text; rows of one id, host and text have the same places
+    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), F.col("__host").alias("__g")).agg(F.collect_set("place").alias("__gone"))
+    base = word_columns(keyed.withColumn("line_chars", line_chars(F.col("text"))), F.col("text"))
     at = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__key").eqNullSafe(F.col("__k")) & F.col("__host").eqNullSafe(F.col("__g"))
-    same = base.join(gone.where("__gone > 0"), at, "left")
-    copies = Window.partitionBy("doc_id", "__key", "__host")
-    out = same.withColumn("removed_chars", F.coalesce(F.col("__gone") / F.count("*").over(copies), F.lit(0)).cast("long"))
+    out = base.join(gone, at, "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("__gone"))))
+    out = out.withColumn("removed_chars", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.col("line_chars") - line_chars(F.col("text"))).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         "removed_chars", "line_chars", (~failed & ~(2 * F.col("removed_chars") > F.col("line_chars"))).alias("kept"),
     )

@@ -75,7 +75,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and line rules for all documents, with the frequency of lines by source."""
-    return line_rules.line_frequency(table(spark, sf_dir, "documents"), host="source")
+    return line_rules.line_frequency(table(spark, sf_dir, "documents"), host="source").drop("text")
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
