@@ -443,6 +443,14 @@ def test_line_rules_cut_common_lines(spark):
     assert got == {i: (f"First  of {i}\n\nLast of {i}", 19) for i in range(4)} | {9: ("all rights reserved", 0), 10: (None, 0), 11: ("", 19)}
 
 
+def test_line_rules_count_distinct_documents(spark):
+    text = "\n".join(" ".join(f"word{k}{i}" for i in range(8)) for k in range(4))
+    docs = spark.createDataFrame([*[(1, text, "a")] * 11, *[(None, text, "b")] * 11, *[(None, f"{text}\n{k}", "c") for k in range(11)]], "doc_id long, text string, source string")
+    out = line_rules.line_frequency(docs).collect()
+    assert len(out) == 33 and sum(r.kept for r in out) == 22
+    assert all(bool(r.removed_chars) != r.kept for r in out)
+
+
 # spans
 
 

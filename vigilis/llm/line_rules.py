@@ -4,8 +4,8 @@ Lines are normalised (white space to single spaces, lower case) and hashed; for
 are counted. Lines in more documents than the limit are removed; a document of which they are more than half is rejected.
 A window of eight words is known by a 64-bit hash built from those of its halves.
 
-Defined results: null text has no words; a null host is a host of its own; each row is a document, and
-rows of one id, host and text get equal results; empty lines count nowhere; an empty table gives no rows; further columns are ignored.
+Defined results: null text has no words; a null host is a host of its own; a line's documents are counted by distinct doc_id (by text
+where that is null), a host's by rows; rows of one id, host and text get equal results; empty lines count nowhere; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,8 +77,11 @@ def without_lines(text: Column, places: Column) -> Column:
 
 
 def common_lines(docs: DataFrame, min_docs: int, per_mille: int) -> DataFrame:
-    """__ch, __cl: hosts and hashes of lines above the limits. ``docs``: __host, text."""
-    seen = docs.select("__host", F.explode(F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("__hash"))
+    """__ch, __cl: hosts and hashes of lines above the limits. ``docs``: doc_id, __host, text, __key."""
+    own = F.explode(F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("__hash")
+    # documents without an id are told apart by their texts
+    other = F.when(F.col("doc_id").isNull(), F.col("__key")).alias("__other")
+    seen = docs.select("doc_id", other, "__host", own).groupBy("__host", "__hash", "doc_id", "__other").agg(F.lit(1).alias("__one"))
     counts = seen.groupBy("__host", "__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > min_docs)
     hosts = docs.groupBy(F.col("__host").alias("__h")).agg(F.count("*").alias("__docs"))
     over = counts.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).where(F.col("__n") * 1000 > F.col("__docs") * per_mille)
