@@ -158,6 +158,17 @@ def test_encoder_is_the_library(name, spaced):
     assert enc.encode([None, ""]) == [b"", b""]
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_keeps_added_tokens(name, spaced):
+    from tokenizers import Tokenizer
+
+    from vigilis.llm.tokens import Encoder
+
+    enc, library = Encoder(path(name), spaced, limit=50), Tokenizer.from_file(path(name))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "<|startoftext|> a", "<|ENDOFTEXT|> a", "<|endof text|>", "a <| b", "two<|endoftext|><|endoftext|> "]
+    assert enc.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+
+
 # packing
 
 

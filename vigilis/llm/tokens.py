@@ -3,7 +3,7 @@
 The pre-tokenizers of these files never join what a single space or line feed between two non-space characters
 separates, so a text's ids are those of its parts one after another. Most parts are seen again and again; each is encoded by
 the library once per worker and then looked up. Parts for which the rule doesn't hold (runs of white space) make the
-whole text go to the library unsplit.
+whole text go to the library unsplit, and so do texts that hold an added token such as <|endoftext|>.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [(t.content.lower() if t.normalized else t.content, t.normalized) for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -93,11 +93,15 @@ class Encoder:
             ids.extend(map(self.memo.__getitem__, rest))
         return self._library(text) if None in ids else b"".join(ids[1:])
 
+    def _has_added(self, text: str) -> bool:
+        """Whether a token that the library cuts out before all else may be in ``text``."""
+        return any(t in (text.lower() if lower else text) for t, lower in self.added)
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         if self.spaced:
-            return [self._spaced(t) if t else b"" for t in texts]
+            return [(self._library(t) if self._has_added(t) else self._spaced(t)) if t else b"" for t in texts]
         get = self.memo.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        return [(self._library(t) if self._has_added(t) else b"".join(map(get, t.replace("\n", " ").split(" ")))) if t else b"" for t in texts]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
