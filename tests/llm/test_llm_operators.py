@@ -596,6 +596,14 @@ def test_pipeline_links_all_at_eight_tenths(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, made, DATA).collect()} == want
 
 
+def test_pipeline_keeps_unique_text_of_shared_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(1, one), (5, one + " end"), (5, two), (5, two), (6, two), (7, "all by itself"), (7, "another by itself")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
+    assert kept == [(1, one), (5, two), (7, "all by itself"), (7, "another by itself")]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_pipeline_odd(spark, odd, empty, k):
     stage = corpus_pipeline.STAGES[k][1]
