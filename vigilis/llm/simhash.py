@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from vigilis.llm.common import need, written
 from vigilis.llm.components import components
+from vigilis.llm.held import hold
+from vigilis.llm.tokens import batches
 
 SEED = 42
 LOW = 0x5555555555555555  # the lower bit of each segment
@@ -134,12 +136,15 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for page in pages:
-            own = [np.unique(shingle_hashes(t, words)) for t in page["text"]]
-            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
-            yield pd.DataFrame(
-                {"doc_id": page["doc_id"].astype("Int64"), "text_hash": page["text_hash"], "key": keys, "bands": [bands(x) for x in own], "shingles": [x.view(np.int64) for x in own]}
-            )
+        hold("shingle sets", dict)  # drops what the worker holds of another stage
+        for whole in pages:
+            for at in batches(whole["text"].tolist(), 1_000_000):
+                page = whole.iloc[at]
+                own = [np.unique(shingle_hashes(t, words)) for t in page["text"]]
+                keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
+                yield pd.DataFrame(
+                    {"doc_id": page["doc_id"].astype("Int64").array, "text_hash": page["text_hash"].array, "key": keys, "bands": [bands(x) for x in own], "shingles": [x.view(np.int64) for x in own]}
+                )
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     return keyed.mapInPandas(run, "doc_id long, text_hash long, key long, bands array<long>, shingles array<long>")
