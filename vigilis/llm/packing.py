@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, sp
     """doc_id, piece, start, length, ids_crc32: whole texts' ids and an end id, cut where they exceed ``capacity``."""
     need(docs, ["doc_id", "text"])
 
-    def cut(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced)
         end = np.array([end_id], enc.dtype).tobytes()
         for page in pages:
-            ids, texts = page["doc_id"].tolist(), page["text"].tolist()
+            ids, texts = page.column(0).to_pylist(), page.column(1).to_pylist()
             for part in batches(texts):
                 rows = []
                 for doc_id, raw in zip(ids[part], enc.encode(texts[part]), strict=True):
@@ -45,9 +46,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, sp
                     for k, at in enumerate(range(0, len(all_ids), capacity)):
                         own = all_ids[at : at + capacity]
                         rows.append((doc_id, k, at, len(own), zlib.crc32(own.tobytes())))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                if rows:
+                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Lengths:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +70,12 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, fp for every row of ``docs`` (doc_id, text)."""
     need(docs, ["doc_id", "text"])
 
-    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in pages:
-            yield pd.DataFrame({"doc_id": page["doc_id"].astype("Int64"), "fp": [fingerprint(shingle_hashes(t, words)) for t in page["text"]]})
+            made = [fingerprint(shingle_hashes(t.as_py(), words)) for t in page.column(1)]
+            yield pa.RecordBatch.from_arrays([page.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -133,21 +134,22 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, key (hash of the set), bands and shingles (distinct) for every row of ``docs`` (doc_id, text)."""
     need(docs, ["doc_id", "text"])
 
-    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hold("shingle sets", dict)  # drops what the worker holds of another stage
-        for whole in pages:
-            for at in batches(whole["text"].tolist(), 1_000_000):
-                page = whole.iloc[at]
-                own = [np.unique(shingle_hashes(t, words)) for t in page["text"]]
+        lists = pa.list_(pa.int64())
+        for page in pages:
+            texts = page.column(2).to_pylist()
+            for at in batches(texts, 1_000_000):
+                own = [np.unique(shingle_hashes(t, words)) for t in texts[at]]
                 keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
-                yield pd.DataFrame(
-                    {"doc_id": page["doc_id"].astype("Int64").array, "text_hash": page["text_hash"].array, "key": keys, "bands": [bands(x) for x in own], "shingles": [x.view(np.int64) for x in own]}
-                )
+                made = [pa.array(keys), pa.array([bands(x) for x in own], lists), pa.array([x.view(np.int64) for x in own], lists)]
+                part = page.slice(at.start, at.stop - at.start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text_hash", "key", "bands", "shingles"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInPandas(run, "doc_id long, text_hash long, key long, bands array<long>, shingles array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, key long, bands array<long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,25 +111,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
     need(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
 
-    def encode(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced)
         end = np.array([end_id], enc.dtype).tobytes()
         part, chunk, new = TaskContext.get().partitionId(), 0, None
         for page in pages:
-            ids, texts = page["doc_id"].tolist(), page["text"].tolist()
+            ids, texts = page.column(0).to_pylist(), page.column(1).to_pylist()
             for cut in batches(texts):
                 for doc_id, plain in zip(ids[cut], enc.encode(texts[cut]), strict=True):
                     new = new or FileBuilder(enc.dtype.itemsize, part, chunk, level)
-                    new.add(None if doc_id is None or doc_id != doc_id else int(doc_id), plain + end)
+                    new.add(doc_id, plain + end)
                     if new.size >= file_bytes:
-                        yield pd.DataFrame({"file": [new.bytes()]})
+                        yield pa.RecordBatch.from_pydict({"file": [new.bytes()]})
                         chunk, new = chunk + 1, None
         if new:
-            yield pd.DataFrame({"file": [new.bytes()]})
+            yield pa.RecordBatch.from_pydict({"file": [new.bytes()]})
 
-    files = ranged.mapInPandas(encode, "file binary")
+    files = ranged.mapInArrow(encode, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -140,26 +140,28 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: Iterable[int] | None =
     """
     wanted = None if doc_ids is None else set(doc_ids)
     schema = "doc_id long, part int, chunk int, place int, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: len(names)]
 
-    def decode(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in pages:
-            for content in page["content"]:
-                file, rows = FileReader(content), []
+            for content in page.column(0):
+                file, rows = FileReader(content.as_py()), []
                 for i, doc_id in enumerate(file.doc_ids.tolist()):
                     own = None if file.nulls[i] else doc_id
                     if wanted is None or own in wanted:
                         ids = file.document(i)
                         rows.append((own, file.head["part"], file.head["chunk"], i, len(ids), zlib.crc32(ids.tobytes())) + ((ids.tolist(),) if with_ids else ()))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-                yield out.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files with ``start``: the ids of all documents before it. One pass over the files.
 
-    Only the files' totals, one row for each, meet in one place to be summed up.
+    Only the files' totals meet in one place to be summed up: one row for each file of about 8 MB, so some ten million rows
+    of three numbers at 100 TB, which one task sorts.
     """
     rows = written(read_tokens(spark, path), "token-index")
     total = rows.groupBy("part", "chunk").agg(F.sum("n_tokens").alias("own"))
