@@ -546,13 +546,32 @@ def test_decontamination_data(spark, rows):
 
 def test_decontamination_blocks_and_odd(spark, odd, empty, monkeypatch):
     bench = spark.createDataFrame([(1, "One two three four five six seven eight nine ten"), (None, None), (2, ""), (None, "eleven TWELVE thirteen, fourteen fifteen")], "item_id long, text string")
-    whole = {r.doc_id: len(r.hits) for r in decontaminate.find_contamination(odd, bench).collect()}
-    assert whole[4] == 2 and whole[0] == 0 and whole[1] == 0
-    monkeypatch.setattr(decontaminate, "BLOCK", 30)
-    assert len(decontaminate.indexes(bench)) > 1
-    assert {r.doc_id: len(r.hits) for r in decontaminate.find_contamination(odd, bench).collect()} == whole
+    whole = {r.doc_id: r.hits for r in decontaminate.find_contamination(odd, bench).collect()}
+    assert len(whole[4]) == 2 and not whole[0] and not whole[1]
+    assert len(list(decontaminate.blocks_of(bench, 30))) > 1
+    some = decontaminate.find_contamination(odd, bench, block_bytes=30)
+    assert some.columns == [*odd.columns, "hits", "contaminated"]
+    assert {r.doc_id: sorted(r.hits, key=str) for r in some.collect()} == {k: sorted(v, key=str) for k, v in whole.items()}
+    assert some.count() == odd.count()
     assert decontaminate.find_contamination(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.find_contamination(empty, bench).count() == 0
+    built = spark.sparkContext.accumulator(0)
+
+    class Counted(decontaminate.Index):
+        def __post_init__(self):
+            built.add(1)
+            super().__post_init__()
+
+    monkeypatch.setattr(decontaminate, "Index", Counted)
+    one = odd.coalesce(1)
+    for n in (4 << 20, 30):
+        built.value = 0
+        decontaminate.find_contamination(one, bench, block_bytes=n).count()
+        # an index is built once for each block in a worker, not for each batch
+        assert built.value <= 2 * len(list(decontaminate.blocks_of(bench, n)))
+    clash = odd.withColumn("hits", F.lit("mine")).withColumn("k1", F.lit(1)).withColumn("row", F.lit(2))
+    out = decontaminate.find_contamination(clash, bench, block_bytes=30, hits="found", flag="bad")
+    assert out.columns == [*clash.columns, "found", "bad"] and {r.hits for r in out.collect()} == {"mine"}
 
 
 # pipeline

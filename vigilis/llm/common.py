@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space, and tab to carriage return.
@@ -16,9 +17,11 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("vigilis.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("vigilis.shared.dir", base)
     return base.rstrip("/")
@@ -51,6 +54,24 @@ def fold_of(doc_id, k: int) -> F.Column:
     return F.crc32(doc_id.cast("string")) % F.lit(k)
 
 
+def as_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` as one struct column: whatever its columns are called, none clashes with those that an operator adds."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def from_rows(df: DataFrame, columns: Iterable[str], name: str = "row", **new: Column) -> DataFrame:
+    """The ``columns`` of the struct ``name`` and the ``new`` ones, which replace those of the same names."""
+    kept = [F.col(f"{name}.`{c}`").alias(c) for c in columns if c not in new]
+    return df.select(*kept, *[v.alias(k) for k, v in new.items()])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it where ``df`` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def need(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

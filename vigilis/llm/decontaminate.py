@@ -5,35 +5,43 @@ that occurs with at most k edits shares at least m - q + 1 - kq character q-gram
 diagonals (place in the document less place in the item) at most k apart. Hits are counted in overlapping diagonal bands;
 bands with enough of them are aligned, in a band of diagonals, and reported where the item occurs with at most k edits.
 
-The edit budget k is ``error`` of the item's length, less where the bound would be below one. Items shorter than q are looked
-for as whole words. Benchmarks of any size are taken: they are broadcast in blocks of at most ``BLOCK`` characters each.
+The edit budget k is ``error`` (a parameter) of the item's length, less where the bound would be below one: with fewer
+shared q-grams than one, the lemma says nothing. Items shorter than q have no q-gram and are looked for as whole words.
+
+Benchmarks of any size are taken, in blocks of about ``block_bytes`` each: a pass over the documents for each block, whose
+broadcast is given back before the next. A pass writes the hits of documents that have any; with one block nothing is written.
 
 Defined results: null and empty texts have no hits; null and wordless items are never found; a null id of an item is reported
-as null; repeated rows get equal results; with an empty benchmark nothing is found; other columns are kept.
+as null; repeated rows get equal results; with an empty benchmark nothing is found; other columns are kept, but one that is
+called as a new one is replaced.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilis.llm.common import need
+from vigilis.llm.common import as_rows, from_rows, need, written
 from vigilis.llm.held import hold
 
 WORD = re.compile(r"[^\W_]+")
 Q = 12
 ERROR = 0.05
-BLOCK = 4 << 20
+BLOCK_BYTES = 4 << 20
 TABLE = 22  # bits of the table that sorts out most q-grams
 BASE = 0x9E3779B97F4A7C15
 BASES = [np.uint64(pow(BASE, n, 1 << 64)) for n in (1, 2, 4)]
 BAND = 1 << 40
+HITS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
 def plain(text: str | None) -> bytes:
@@ -91,11 +99,12 @@ class Index:
 
     ids: list
     texts: list[bytes]
+    error: float = ERROR
 
     def __post_init__(self):
         self.short = [(i, b" " + t + b" ") for i, t in enumerate(self.texts) if 0 < len(t) < Q]
         own = [np.frombuffer(t, np.uint8) for t in self.texts]
-        self.budget = np.array([max(0, min(int(ERROR * len(t)), (len(t) - Q) // Q)) for t in self.texts], np.int64)
+        self.budget = np.array([max(0, min(int(self.error * len(t)), (len(t) - Q) // Q)) for t in self.texts], np.int64)
         self.least = np.array([max(1, len(t) - Q + 1 - int(k) * Q) for t, k in zip(self.texts, self.budget, strict=True)], np.int64)
         codes = [qgrams(x) if len(x) >= Q else np.empty(0, np.uint64) for x in own]
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -163,41 +172,55 @@ class Index:
                 found[i] = got
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark in blocks, each of a bounded size, that the driver reads one after another."""
-    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """The benchmark's ids and reduced texts, a block of about ``block_bytes`` at a time; equal rows once."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // BLOCK)) if size > BLOCK else 1
-    out = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toPandas()
-        rows = sorted(((None if i != i else i, plain(t)) for i, t in zip(own["i"], own["t"], strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    n = max(1, -(-size // block_bytes))
+    for b in range(n):
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()  # one block
+        rows = sorted(((r.i, plain(r.t)) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         rows = [r for r in rows if r[1]]
-        out.append(Index([None if i is None else int(i) for i, _ in rows], [t for _, t in rows]))
-    return out
-
+        if rows or n == 1:
+            yield [i for i, _ in rows], [t for _, t in rows]
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> Column:
-    """A column of ``docs``: array of (item_id, start, end, edits), one for each item that occurs in the text."""
-    need(docs, ["text"])
-    need(benchmark, ["item_id", "text"])
-    spark = docs.sparkSession
 
-    def column(index: Index) -> Column:
-        shared, key = spark.sparkContext.broadcast((index.ids, index.texts)), f"index {uuid.uuid4().hex}"
+def hits_in(block: Broadcast, error: float) -> Callable[[Column], Column]:
+    """A function of a text column: array of (item_id, start, end, edits), one for each item of the block that occurs in the text."""
+    key = f"index {uuid.uuid4().hex}"
 
-        @F.pandas_udf("array<struct<item_id:long,start:int,end:int,edits:int>>")
-        def search(text: pd.Series) -> pd.Series:
-            own = hold(key, lambda: Index(*shared.value))
-            names = ("item_id", "start", "end", "edits")
-            return pd.Series([[dict(zip(names, h, strict=True)) for h in own.search(t)] for t in text])
+    @F.pandas_udf(HITS)
+    def search(text: pd.Series) -> pd.Series:
+        own = hold(key, lambda: Index(*block.value, error))
+        names = ("item_id", "start", "end", "edits")
+        return pd.Series([[dict(zip(names, h, strict=True)) for h in own.search(t)] for t in text])
 
-        return search(F.col("text"))
+    return search.asNondeterministic()  # or a filter on its result would run it a second time
 
-    own = [column(x) for x in indexes(benchmark)]
-    return own[0] if len(own) == 1 else F.concat(*own)
 
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``hits``, and ``contaminated`` where there are any."""
-    return docs.withColumn("hits", benchmark_hits(docs, benchmark)).withColumn("contaminated", F.size("hits") > 0)
+def find_contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, block_bytes: int = BLOCK_BYTES, hits: str = "hits", flag: str = "contaminated") -> DataFrame:
+    """``docs`` with ``hits``, an array of (item_id, start, end, edits), and ``flag`` where there are any."""
+    need(docs, ["text"])
+    need(benchmark, ["item_id", "text"])
+    sc, rows, found, first = docs.sparkSession.sparkContext, as_rows(docs), [], None
+    key = [F.xxhash64("row.text").alias("k1"), F.crc32("row.text").alias("k2"), F.length("row.text").alias("k3")]
+    for block in blocks_of(benchmark, block_bytes):
+        if first is not None:  # there are several: each one's hits are written, by text
+            found.append(_pass(rows, key, sc.broadcast(first), error))
+        first = block
+    if not found:
+        whole = rows.withColumn("h", hits_in(sc.broadcast(first), error)(F.col("row.text")))
+        return from_rows(whole, docs.columns, **{hits: F.col("h"), flag: F.size("h") > 0})
+    found.append(_pass(rows, key, sc.broadcast(first), error))
+    every = reduce(DataFrame.unionByName, found).groupBy("k1", "k2", "k3").agg(F.flatten(F.collect_list("h")).alias("h"))
+    every = every.withColumn("h", F.array_sort("h"))
+    out = rows.select("row", *key).join(every, ["k1", "k2", "k3"], "left").withColumn("h", F.coalesce("h", F.array().cast(HITS)))
+    return from_rows(out, docs.columns, **{hits: F.col("h"), flag: F.size("h") > 0})
+
+
+def _pass(rows: DataFrame, key: list[Column], block: Broadcast, error: float) -> DataFrame:
+    """One block's hits by text (hashes and length), written; the broadcast is given back."""
+    texts = rows.where("row.text is not null").select(*key, hits_in(block, error)(F.col("row.text")).alias("h"))
+    out = written(texts.where(F.size("h") > 0).dropDuplicates(["k1", "k2", "k3"]), "hits")
+    block.unpersist()
+    return out
