@@ -8,7 +8,7 @@ It is fitted on at most ``fit_rows`` labelled rows, taken by a hash of their ids
 
 Defined results: null and empty texts are scored by their statistics; a null length counts as the text's; a null label is not
 learned from; without labels of both kinds all scores are the share of label 1, (ones + 1) / (rows + 2); repeated rows get
-equal scores; an empty table gives no rows; other columns are kept as they are.
+equal scores; an empty table gives no rows; other columns are kept as they are, but one called like the score is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vigilis.llm.common import need
 from vigilis.llm.held import hold
-from vigilis.llm.sample import by_hash
+from vigilis.llm.sample import first_by_hash, texts_of
 
 WORD_BUCKETS = 1 << 15
 BINS = 8
@@ -156,14 +156,21 @@ def fit(texts: list[str | None], lengths: list, labels: list[int], rank: int = 8
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", fit_rows: int = 4000) -> Machine:
-    """A machine fitted on rows of ``docs`` that have a label and satisfy ``learn`` (a condition on doc_id)."""
+    """A machine fitted on at most ``fit_rows`` rows of ``docs`` that have a label and satisfy ``learn`` (a condition on doc_id).
+
+    Of an id with both labels the lower counts, of one with several texts the smallest.
+    """
     need(docs, ["doc_id", "text"])
-    length = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    own = labels.where(learn & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).alias("__y"))
-    taken = by_hash(own, "__id", fit_rows)
-    rows = docs.select("doc_id", "text", length.alias("__n")).join(F.broadcast(taken), F.col("doc_id") == F.col("__id"))
-    got = rows.select("__id", "text", "__n", "__y").toPandas().sort_values(["__id", "__y"])  # at most fit_rows texts, but for repeated ids
-    return fit(got["text"].tolist(), got["__n"].tolist(), got["__y"].tolist())
+    own = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"))
+    taken = first_by_hash(own, fit_rows)
+    rows = docs.select("doc_id", "text", stated_length(docs).alias("n"))
+    found = texts_of(rows, taken, "n")
+    return fit([r.text for r in found], [r.n for r in found], [r.label for r in found])
+
+
+def stated_length(docs: DataFrame) -> Column:
+    """Metadata: n_chars where ``docs`` has it."""
+    return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
 
 
 def score_quality(docs: DataFrame, model: Machine, column: str = "score") -> DataFrame:
@@ -175,5 +182,4 @@ def score_quality(docs: DataFrame, model: Machine, column: str = "score") -> Dat
     def score(text: pd.Series, n_chars: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(text.tolist(), n_chars.tolist()))
 
-    length = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.withColumn(column, score(F.col("text"), length))
+    return docs.withColumn(column, score(F.col("text"), stated_length(docs)))

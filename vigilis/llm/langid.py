@@ -2,11 +2,13 @@
 
 The vocabulary is a public tokenizer's fixed list of pieces. A language is a probability for each piece; a word's probability
 is the sum, over all ways to cut it into pieces, of the products of their probabilities, which a forward pass adds up
-without listing them. A text's is the product over its words. The probabilities are learned by expectation maximisation, with
-backward passes, on a bounded sample of each language's texts; every whole text is scored.
+without listing them. A text's is the product over its words. All pieces of any length take part, and words of any length are
+passed whole; sums are scaled on the way, so that none becomes zero. The probabilities are learned by expectation
+maximisation, with backward passes, on a bounded sample of each language's texts; every whole text is scored.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a null language is not learned from; without
-languages to learn all are ``und``; repeated rows get equal results; an empty table gives no rows; other columns are kept.
+languages to learn all are ``und``; repeated rows get equal results; an empty table gives no rows; other columns are kept, but
+one called ``language`` is replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ from pyspark.sql import functions as F
 
 from vigilis.llm.common import need
 from vigilis.llm.held import hold
-from vigilis.llm.sample import by_hash
+from vigilis.llm.sample import first_by_hash, texts_of
 
 UNKNOWN = "und"
 #: A word is marked by this character before it, as in the vocabulary.
 MARK = "▁"
-LONGEST = 10  # characters in a piece
-CUT = 32  # longer words are scored in slices of so many characters
+RESCALE = 16  # characters after which a forward pass scales its sums
 MEMO = 500_000
 TABLE = 20  # bits
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -36,12 +37,12 @@ SPACES = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def vocabulary(path: str) -> list[str]:
-    """The file's pieces of at most LONGEST characters, without its control and byte pieces."""
+    """The file's pieces that a marked lower-case word can hold: no control and byte pieces, no capitals, no inner mark or space."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    own = range(model.get_piece_size())
-    return [p for i in own if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(p := model.id_to_piece(i)) <= LONGEST]
+    own = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return [p for p in own if MARK not in p[1:] and p == p.lower() and b" " not in p.encode().translate(SPACES)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,11 +50,6 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().encode("utf-8", "replace").translate(SPACES).decode().split()
 
 
-def slices(word: str) -> list[str]:
-    word = MARK + word
-    return [word[i : i + CUT] for i in range(0, len(word), CUT)] if len(word) > CUT else [word]
-
-
 class Pieces:
     """Piece numbers; one number after the last stands for any other single character, two after for no piece at all.
 
@@ -62,6 +58,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.names = list(dict.fromkeys(pieces))
+        self.longest = max(map(len, self.names), default=1)
         self.other, self.none = len(self.names), len(self.names) + 1
         codes = np.array([self.code(p) for p in self.names], np.uint64)
         order = np.argsort(codes, kind="stable")
@@ -79,7 +76,7 @@ class Pieces:
     def ends(self, words: list[str]) -> np.ndarray:
         """For words of one length n: the pieces of k characters that end after character j, as [word, j - 1, k - 1]."""
         n = len(words[0])
-        width = min(n, LONGEST)
+        width = min(n, self.longest)
         chars = (np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)) * np.uint64(MIX)
         out = np.full((len(words), n, width), self.none, np.int32)
         h = chars
@@ -109,6 +106,25 @@ def forward(ends: np.ndarray, p: np.ndarray) -> np.ndarray:
     return sums
 
 
+def log_sums(ends: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over segmentations of whole words, [word, language], for words of any length.
+
+    Only the sums that a piece can still reach are kept; they are scaled by their largest every few characters.
+    """
+    words, n, width = ends.shape
+    recent, scale = np.zeros((words, width, p.shape[1])), np.zeros((words, p.shape[1]))
+    recent[:, 0] = 1  # recent[:, k]: the sum of the prefix that lacks the last k characters
+    for j in range(1, n + 1):
+        new = np.einsum("wkl,wkl->wl", recent, p[ends[:, j - 1]])
+        recent[:, 1:] = recent[:, :-1].copy()
+        recent[:, 0] = new
+        if j % RESCALE == 0:
+            most = np.maximum(recent.max(1), 1e-300)
+            recent /= most[:, None]
+            scale += np.log(most)
+    return scale + np.log(np.maximum(recent[:, 0], 1e-300))
+
+
 def expectation(ends: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Expected counts of all pieces for one language in words seen ``times``."""
     words, n, width = ends.shape
@@ -126,12 +142,13 @@ def expectation(ends: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarra
     return counts
 
 
-def by_length(words: list[str], most: int = 4096) -> list[list[int]]:
-    """Indices of words of equal length, in groups of at most ``most``."""
+def by_length(words: list[str], most: int = 4096, chars: int = 100_000) -> list[list[int]]:
+    """Indices of words of equal length, in groups of at most ``most`` and of about ``chars`` characters."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
-    return [own[at : at + most] for own in groups.values() for at in range(0, len(own), most)]
+    steps = {n: max(1, min(most, chars // n)) for n in groups}
+    return [own[at : at + steps[n]] for n, own in groups.items() for at in range(0, len(own), steps[n])]
 
 
 class Languages:
@@ -143,11 +160,10 @@ class Languages:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities [word, language] by the forward pass."""
-        parts = [(i, s) for i, w in enumerate(words) for s in slices(w)]
+        marked = [MARK + w for w in words]
         out = np.zeros((len(words), len(self.names)))
-        for own in by_length([s for _, s in parts]):
-            sums = forward(self.pieces.ends([parts[i][1] for i in own]), self.p)[:, -1]
-            np.add.at(out, [parts[i][0] for i in own], np.log(np.maximum(sums, 1e-300)))
+        for own in by_length(marked):
+            out[own] = log_sums(self.pieces.ends([marked[i] for i in own]), self.p)
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -188,12 +204,12 @@ class Either:
         return self.second[key] if found is None else found
 
 
-def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> Languages:
-    """``rows``: (text, language)."""
+def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = 4, smooth: float = 0.05, longest_taught: int = 32) -> Languages:
+    """``rows``: (text, language). Words of over ``longest_taught`` characters are scored like any, but not learned from."""
     own = defaultdict(Counter)
     docs = Counter(lang for _, lang in rows)
     for text, lang in rows:
-        own[lang].update(s for w in words_of(text) for s in slices(w))
+        own[lang].update(MARK + w for w in words_of(text) if len(w) <= longest_taught)
     index, names = Pieces(pieces), sorted(own)
     p = np.zeros((index.none + 1, len(names)))
     for k, lang in enumerate(names):
@@ -212,20 +228,14 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = 4, smooth:
 
 
 def fit_languages(docs: DataFrame, learn: Column, vocabulary_file: str, fit_rows: int = 250) -> Languages:
-    """Learned from at most ``fit_rows`` rows of each language, taken by a hash of doc_id, that satisfy ``learn``."""
+    """Learned from at most ``fit_rows`` rows of each language, taken by a hash of doc_id, that satisfy ``learn``.
+
+    One scan of ids ranks them within their languages, another fetches the texts; the driver holds ``fit_rows`` texts for each language.
+    """
     need(docs, ["doc_id", "text", "lang"])
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    taken = [by_hash(rows.where(F.col("lang") == n), "doc_id", fit_rows) for n in names]
-    if not taken:
-        return fit([], vocabulary(vocabulary_file))
-    wanted = taken[0]
-    for more in taken[1:]:
-        wanted = wanted.unionByName(more)
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    got = docs.select("doc_id", "lang", "text").join(F.broadcast(wanted), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-    found = got.select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang"])
-    return fit(list(zip(found["text"], found["lang"], strict=True)), vocabulary(vocabulary_file))
+    rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang")
+    found = texts_of(docs.select("doc_id", "text"), first_by_hash(rows, fit_rows, "lang"))
+    return fit([(r.text, r.lang) for r in found if r.text is not None], vocabulary(vocabulary_file))
 
 
 def predict_language(docs: DataFrame, model: Languages) -> DataFrame:

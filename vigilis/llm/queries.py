@@ -40,7 +40,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), chain)
     p = F.col("toxicity")
-    return scored.select("doc_id", p["insult"].alias("insult"), p["contempt"].alias("contempt"), p["toxic"].alias("score"), p["flagged"].alias("toxic"))
+    # fewer categories may be found than are asked for
+    earlier = [(p[f"category_{k}"] if f"category_{k}" in chain.names else F.lit(0.0)).alias(f"category_{k}") for k in range(1, toxicity.CATEGORIES + 1)]
+    return scored.select("doc_id", *earlier, p["toxic"].alias("score"), p["flagged"].alias("toxic"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
-def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows with distinct ``key``, in the order of a hash of it."""
-    return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(most)
+GROUPS = 256
+
+
+def first_by_hash(rows: DataFrame, most: int, within: str | None = None) -> DataFrame:
+    """Of distinct ``rows`` (doc_id and another column) the first ``most`` ids in the order of a hash, for each value of ``within``.
+
+    Ranked in GROUPS groups first, then among those that are left, so that no task gets more than GROUPS x ``most`` rows of a value;
+    Spark limits groups before the shuffle already, so a value that most rows have is no burden.
+    """
+    at, own = F.xxhash64("doc_id"), [within] if within else []
+    out = rows.where("doc_id is not null")
+    for first in ([F.pmod(F.xxhash64(at), F.lit(GROUPS))], []):
+        order = Window.partitionBy(*own, *first).orderBy(at, "doc_id")
+        out = out.withColumn("__rank", F.dense_rank().over(order)).where(F.col("__rank") <= most).drop("__rank")
+    return out.distinct()
+
+
+def texts_of(docs: DataFrame, taken: DataFrame, *more: str) -> list[Row]:
+    """Rows of ``taken`` (doc_id and another column; a bounded sample) with the text and columns ``more`` of ``docs`` (doc_id, text),
+    one for each of ``taken`` that ``docs`` has: of repeated ids the row with the smallest text. Sorted by the columns of ``taken``."""
+    key, group = taken.columns
+    wanted = taken.select(F.col(key).alias("__id"), F.col(group).alias("__group"))
+    own = F.min(F.struct(F.col("text"), *[F.col(c) for c in more])).alias("__own")
+    got = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("__id")).groupBy("__id", "__group").agg(own)
+    out = got.select(F.col("__id").alias(key), F.col("__group").alias(group), "__own.*").collect()
+    return sorted(out, key=lambda r: (r[0], r[1]))
