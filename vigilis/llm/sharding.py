@@ -7,7 +7,8 @@ sizes and new capacities is solved by successive shortest paths, then cut into w
 take a block are written anew; others stay as they are.
 
 Defined results: null text counts no bytes; a null id or a null shard key is hashed like a value; repeated rows are kept and
-take slots one after another; an empty table gives no rows; further columns are carried along.
+take slots one after another; an empty table gives no rows; further columns are carried along, but those called ``__old``,
+``__shard`` or ``__slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilis.llm.common import need, new_path
+from vigilis.llm.common import from_rows, need, new_path
 
 
 def min_cost_flow(have: list[int], want: list[int]) -> dict[tuple[int, int], int]:
@@ -84,34 +85,58 @@ def min_cost_flow(have: list[int], want: list[int]) -> dict[tuple[int, int], int
 def transfers(blocks: dict[int, list[tuple[int, int, int]]], want: list[int]) -> list[tuple[int, int, int, int]]:
     """(old shard, block, new shard, first slot) of whole blocks; ``blocks``: (block, bytes, rows) by old shard.
 
-    Each old shard's blocks follow its flows one after another; a block goes where most of it lies. What a shard has got
-    too much or too little by whole blocks is carried on, so that errors don't add up.
+    An old shard's blocks, large ones first, go to whichever of its flows' shards lacks most; what a shard has got too much or
+    too little by whole blocks is carried on to the next old shard. What is left of that is evened out by ``evened``.
     """
     have = [sum(x[1] for x in blocks.get(i, [])) for i in range(max([len(want), *[i + 1 for i in blocks]]))]
-    flow: dict[int, list[list[int]]] = defaultdict(list)
-    for (i, j), x in sorted(min_cost_flow(have, want).items(), key=lambda f: (f[0][0], f[0][0] != f[0][1], f[0][1])):
-        flow[i].append([j, x])
+    flow: dict[int, dict[int, int]] = defaultdict(dict)
+    for (i, j), x in min_cost_flow(have, want).items():
+        flow[i][j] = x
     owed: dict[int, int] = defaultdict(int)  # bytes that a new shard is short of by rounding so far
-    placed: list[tuple[int, int, int, int, int]] = []
+    at: dict[tuple[int, int], int] = {}
+    size = {(i, b): x for i, own in blocks.items() for b, x, _ in own}
     for i in sorted(blocks):
-        todo, at, given = flow[i] or [[i if i < len(want) else 0, 0]], 0, 0
-        for k, (j, x) in enumerate(todo):
-            target = given + x + owed[j]
-            start = given
-            while at < len(blocks[i]) and (k == len(todo) - 1 or given + blocks[i][at][1] / 2 <= target):
-                block, size, rows = blocks[i][at]
-                placed.append((i, block, j, size, rows))
-                given += size
-                at += 1
-            owed[j] += x - (given - start)
+        lacks = [(-(x + owed[j]), j) for j, x in flow[i].items()] or [(0, i if i < len(want) else 0)]
+        heapq.heapify(lacks)
+        given: dict[int, int] = defaultdict(int)
+        for block, x, _ in sorted(blocks[i], key=lambda b: (-b[1], b[0])):
+            lack, j = lacks[0]
+            at[i, block] = j
+            given[j] += x
+            heapq.heapreplace(lacks, (lack + x, j))
+        for j in given.keys() | flow[i].keys():
+            owed[j] += flow[i].get(j, 0) - given[j]
+    at = evened(at, size, want)
+    rows = {(i, b): n for i, own in blocks.items() for b, _, n in own}
     slots: dict[int, int] = defaultdict(int)
     out = []
-    for i, block, j, _, rows in sorted(placed, key=lambda p: (p[2], p[0], p[1])):
+    for (i, block), j in sorted(at.items(), key=lambda p: (p[1], p[0])):
         out.append((i, block, j, slots[j]))
-        slots[j] += rows
+        slots[j] += rows[i, block]
     return out
 
 
+def evened(at: dict[tuple[int, int], int], size: dict[tuple[int, int], int], want: list[int], most: int = 1000) -> dict[tuple[int, int], int]:
+    """``at`` with at most ``most`` further moves from the shard that has most too much to the one that lacks most: the block whose
+    size is nearest to half of the difference, preferably one that would move anyhow, as long as that brings the two nearer."""
+    own: dict[int, list[tuple[int, tuple[int, int]]]] = {j: [] for j in range(len(want))}
+    for k, j in at.items():
+        own[j].append((size[k], k))
+    over = [sum(x for x, _ in own[j]) - want[j] for j in range(len(want))]
+    for _ in range(most if len(want) > 1 else 0):
+        a, b = max(range(len(want)), key=lambda j: over[j]), min(range(len(want)), key=lambda j: over[j])
+        half = (over[a] - over[b]) / 2
+        fit = [(abs(x - half), k[0] == a, k, x) for x, k in own[a] if 0 < x < over[a] - over[b]]
+        if not fit:
+            break
+        _, _, k, x = min(fit)
+        own[a].remove((x, k))
+        own[b].append((x, k))
+        over[a] -= x
+        over[b] += x
+    return {k: j for j, those in own.items() for _, k in those}
+
+
 @dataclass
 class Resharding:
     """``plan``: (old shard, block, new shard, first slot), at most shards x blocks rows. ``placed``: the documents' columns with
@@ -145,19 +170,21 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int, blocks: int = 1024,
     """
     need(docs, ["doc_id", "text"])
     spark = docs.sparkSession
-    laid = docs.withColumn("__old", old_shard.cast("int")).withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    sized = laid.select("__old", "__block", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("__size"))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    laid = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), old_shard.cast("int").alias("old"), block.alias("block"))
+    sized = laid.select("old", "block", (F.coalesce(F.octet_length("row.text"), F.lit(0)) + overhead).cast("long").alias("size"))
     found = defaultdict(list)
-    for r in sorted(sized.groupBy("__old", "__block").agg(F.sum("__size"), F.count("*")).collect()):  # at most shards x blocks rows
+    for r in sorted(sized.groupBy("old", "block").agg(F.sum("size"), F.count("*")).collect()):  # at most shards x blocks rows
         found[r[0]].append((r[1], r[2], r[3]))
     total = sum(x[1] for own in found.values() for x in own)
     plan = transfers(found, [total // n_new + (j < total % n_new) for j in range(n_new)])
-    moves = spark.createDataFrame(plan, "__o int, __b int, __shard int, __first long")
-    at = laid.join(F.broadcast(moves), (F.col("__old") == F.col("__o")) & (F.col("__block") == F.col("__b")))
-    ranged = at.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__shard", "__first")
-    within = Window.partitionBy("__shard", "__first").orderBy("doc_id", F.crc32("text"))
-    placed = ranged.withColumn("__slot", F.col("__first") + F.row_number().over(within) - 1)
-    return Resharding(plan, placed.drop("__o", "__b", "__first", "__block"))
+    moves = spark.createDataFrame(plan, "o int, b int, shard int, first long")
+    at = laid.join(F.broadcast(moves), (F.col("old") == F.col("o")) & (F.col("block") == F.col("b")))
+    ranged = at.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "first")
+    within = Window.partitionBy("shard", "first").orderBy("row.doc_id", F.crc32("row.text"))
+    slot = F.col("first") + F.row_number().over(within) - 1
+    placed = ranged.select("row", "old", "shard", slot.alias("slot"))
+    return Resharding(plan, from_rows(placed, docs.columns, __old=F.col("old"), __shard=F.col("shard"), __slot=F.col("slot")))
 
 
 def reshard_files(docs: DataFrame, old_shard: Column, n_new: int, blocks: int = 1024) -> DataFrame:
