@@ -4,9 +4,12 @@ A fingerprint's 64 bits are 32 segments of two bits. Its embedding is the count
 in unary in a 64-bit number, so that the Manhattan distance of two embeddings is the bit count of their exclusive or. That
 distance is never more than the number of differing bits. The segments are grouped to bands that lay a grid over the
 embedding: two embeddings at a distance of at most ``bits`` have equal counts in all but ``bits`` bands, so they share a
-grid cell in some choice of the other bands. Cells are joined, pairs beyond the Manhattan bound are left out, and the
+grid cell in some choice of the other bands. Cells are joined where the embeddings are within the Manhattan bound, and the
 fingerprints themselves decide. Equal fingerprints are one row before any of that.
 
+How many bands must be equal follows from the number of fingerprints (``equal_bands``): with more of them a cell is made
+narrower, so that chance candidates of a fingerprint stay few; none is lost with any number of bands.
+
 ``similar_documents`` is the pipeline's: it links texts by the similarity of their shingle sets, not by fingerprints. A radius of 13
 bits would need 16 bands of two segments, whose cells hold large parts of a corpus. So candidates share one of BANDS hashes
 of ROWS minima each (a pair at 0.8 shares none with a probability of 7 in 100,000), and the exact sets decide.
@@ -18,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -33,8 +37,8 @@ from vigilis.llm.tokens import batches
 
 SEED = 42
 LOW = 0x5555555555555555  # the lower bit of each segment
-#: Bands of the grid beyond the number of differing bits: so many must have equal counts.
-SAME = 3
+CELL_BITS = 1.5  # of information in a segment's count
+PAIR_COST = 0.2  # of comparing a chance candidate, where dealing out a fingerprint to a cell is 1
 BANDS, ROWS = 24, 5
 #: Odd factors that reorder the 64-bit hashes for each minimum.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,25 +88,34 @@ def embedding(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def grid(bits: int) -> list[int]:
-    """Masks (signed 64-bit) over the embedding: all choices of SAME of ``bits`` + SAME bands of whole segments."""
-    n = bits + SAME
+def equal_bands(n: int, bits: int) -> int:
+    """Of ``bits`` + k bands k must be equal: the k with the least work for ``n`` fingerprints, by cells and chance candidates."""
+
+    def work(k: int) -> float:
+        return math.comb(bits + k, k) * (1 + PAIR_COST * n / 2 ** (32 * CELL_BITS * k / (bits + k)))
+
+    return min(range(1, 32 - bits), key=work)
+
+
+def grid(bits: int, same: int) -> list[int]:
+    """Masks (signed 64-bit) over the embedding: all choices of ``same`` of ``bits`` + ``same`` bands of whole segments."""
+    n = bits + same
     edges = [round(32 * k / n) for k in range(n + 1)]
     bands = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(own) for own in combinations(bands, SAME)]
+    masks = [sum(own) for own in combinations(bands, same)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def close_pairs(fps: DataFrame, bits: int) -> DataFrame:
     """a, b: all pairs of different fingerprints of ``fps`` (fp, distinct) that differ in at most ``bits`` bits."""
-    cells = fps.select("fp", embedding(F.col("fp")).alias("u")).select(
-        "fp", F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(m)) for m in grid(bits)])).alias("grid", "cell")
-    )
+    masks = F.array(*map(F.lit, grid(bits, equal_bands(fps.count(), bits))))
+    embedded = fps.select("fp", embedding(F.col("fp")).alias("u"))
+    cells = embedded.select("fp", "u", F.posexplode(F.transform(masks, lambda m: F.col("u").bitwiseAND(m))).alias("grid", "cell"))
     a, b = cells.alias("a"), cells.alias("b")
-    manhattan = F.bit_count(embedding(F.col("a.fp")).bitwiseXOR(embedding(F.col("b.fp")))) <= bits
+    manhattan = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.u"))) <= bits
     exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
-    pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & manhattan & exact)
+    pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & manhattan).where(exact)
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
