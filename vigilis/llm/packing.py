@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilis.llm.common import need, written
+from vigilis.llm.common import as_rows, from_rows, need, written
 from vigilis.llm.tokens import batches, encoder
 
 #: A length's documents are ranked in so many groups, as one length may hold a third of all rows.
@@ -135,18 +135,16 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     need(pieces, ["doc_id", "piece", "start", "length"])
     spark = pieces.sparkSession
     pieces = written(pieces, "pieces")
-    own = pieces.columns
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("__n")).collect()}
+    rows = as_rows(pieces).select("row", F.col("row.length").alias("length"), F.pmod(F.xxhash64("row.doc_id", "row.piece"), F.lit(SALTS)).cast("int").alias("salt"))
+    sizes = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
     table = places(fillings(counts, capacity))
     edges = (table["length"].to_numpy(np.int64), table["low"].to_numpy(np.int64), table["first"].to_numpy(np.int64), table["offset"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(edges)
-    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
-    base = sizes.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), F.coalesce(before, F.lit(0)).alias("__base"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start")) - 1)
-    # at most capacity x SALTS rows are broadcast
-    ranked = ranked.join(F.broadcast(base), (F.col("length") == F.col("__l")) & (F.col("__salt") == F.col("__s")))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))  # at most ``capacity`` x SALTS rows
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece", "row.start")) - 1
+    ranked = rows.withColumn("rank", within).join(base, ["length", "salt"])
 
     @F.pandas_udf("struct<sequence_id:long,offset:long>")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -157,8 +155,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         at = np.searchsorted(lengths * span + low, n * span + np.minimum(r, span - 1), "right") - 1
         return pd.DataFrame({"sequence_id": first[at] + r - low[at], "offset": offset[at]})
 
-    out = ranked.withColumn("__at", place("length", F.col("__base") + F.col("__rank")))
-    return out.select(*own, F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
+    out = ranked.withColumn("at", place("length", F.col("base") + F.col("rank")))
+    return from_rows(out, pieces.columns, sequence_id=F.col("at.sequence_id"), offset=F.col("at.offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaced: bool = False) -> DataFrame:
