@@ -2,10 +2,11 @@
 
 Lines are normalised (white space to single spaces, lower case) and hashed; for each host, the distinct documents with a line
 are counted. Lines in more documents than the limit are removed; a document of which they are more than half is rejected.
+The limit is a number of documents, so what is common stays so as a host grows.
 A window of eight words is known by a 64-bit hash built from those of its halves.
 
 Defined results: null text has no words; a null host is a host of its own; a line's documents are counted by distinct doc_id (by text
-where that is null), a host's by rows; rows of one id, host and text get equal results; empty lines count nowhere; an empty table gives no rows; further columns are ignored.
+where that is null); rows of one id, host and text get equal results; empty lines count nowhere; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,27 +77,25 @@ def without_lines(text: Column, places: Column) -> Column:
     return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
-def common_lines(docs: DataFrame, min_docs: int, per_mille: int) -> DataFrame:
-    """__ch, __cl: hosts and hashes of lines above the limits. ``docs``: doc_id, __host, text, __key."""
+def common_lines(docs: DataFrame, max_docs: int) -> DataFrame:
+    """__ch, __cl: hosts and hashes of lines above the limit. ``docs``: doc_id, __host, text, __key."""
     own = F.explode(F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("__hash")
     # documents without an id are told apart by their texts
     other = F.when(F.col("doc_id").isNull(), F.col("__key")).alias("__other")
     seen = docs.select("doc_id", other, "__host", own).groupBy("__host", "__hash", "doc_id", "__other").agg(F.lit(1).alias("__one"))
-    counts = seen.groupBy("__host", "__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > min_docs)
-    hosts = docs.groupBy(F.col("__host").alias("__h")).agg(F.count("*").alias("__docs"))
-    over = counts.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).where(F.col("__n") * 1000 > F.col("__docs") * per_mille)
-    return over.select(F.col("__host").alias("__ch"), F.col("__hash").alias("__cl"))
+    counts = seen.groupBy("__host", "__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > max_docs)
+    return counts.select(F.col("__host").alias("__ch"), F.col("__hash").alias("__cl"))
 
 
-def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 10, per_mille: int = 1, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def line_frequency(docs: DataFrame, host: str = "source", max_docs: int = 10, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, text without its common lines, the word columns, base_failed, removed_chars, line_chars and kept for every row of ``docs``.
 
-    A line is removed where more than ``min_docs`` documents of its host have it and more than ``per_mille`` in a thousand.
+    A line is removed where more than ``max_docs`` documents of its host have it.
     The word columns are of the text as it was; a null text stays null.
     """
     need(docs, ["doc_id", "text", host])
     keyed = docs.select("doc_id", F.col(host).alias("__host"), "text", F.xxhash64("text").alias("__key"))
-    common = common_lines(keyed, min_docs, per_mille)
+    common = common_lines(keyed, max_docs)
     places = F.transform(F.split("text", "\n"), lambda x, i: F.struct(normalised(x).alias("line"), i.alias("place")))
     parts = F.transform(F.filter(places, lambda x: x["line"] != ""), lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), x["place"].alias("place")))
     lines = keyed.select("doc_id", "__key", "__host", F.inline(parts))

@@ -7,8 +7,8 @@ OP7 = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documen
   twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM g) WHERE k > 1),
   covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
   l AS (SELECT doc_id, source, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM (SELECT doc_id, source, unnest(ls) AS x FROM w)),
-  f AS (SELECT source, line, count(DISTINCT doc_id) AS k FROM l GROUP BY 1, 2), h AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
-  r AS (SELECT doc_id, sum(length(l.line)) AS line_chars, coalesce(sum(length(l.line)) FILTER (WHERE k > 10 AND k * 1000 > docs), 0) AS removed_chars FROM l JOIN f ON l.source = f.source AND l.line = f.line JOIN h ON l.source = h.source GROUP BY 1),
+  f AS (SELECT source, line, count(DISTINCT doc_id) AS k FROM l GROUP BY 1, 2),
+  r AS (SELECT doc_id, sum(length(l.line)) AS line_chars, coalesce(sum(length(l.line)) FILTER (WHERE k > 10), 0) AS removed_chars FROM l JOIN f ON l.source = f.source AND l.line = f.line GROUP BY 1),
   b AS (SELECT n.*, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_chars, 0) AS removed_chars, coalesce(line_chars, 0) AS line_chars FROM n LEFT JOIN covered c ON n.doc_id = c.doc_id LEFT JOIN r ON n.doc_id = r.doc_id)
   SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(removed_chars AS BIGINT) AS removed_chars, CAST(line_chars AS BIGINT) AS line_chars,
