@@ -639,7 +639,7 @@ def test_spans_brute_force(spark, rows):
         own = rule.sentences(rows[i].text or "")
         gone = set()
         for j in range(len(own)):
-            k = next((k for k in range(j + 2, len(own) + 1) if sum(len(w) for _, _, w in own[j:k]) >= 20), None)
+            k = next((k for k in range(j + 2, len(own) + 1) if sum(len(w) for _, _, w in own[j:k]) >= rule.least_words), None)
             if k is not None and first.setdefault(tuple(w for _, _, ws in own[j:k] for w in ws), (i, j)) != (i, j):
                 gone.update(range(j, k))
         text = rows[i].text if not gone else "".join(rows[i].text[a:b] for j, (a, b, _) in enumerate(own) if j not in gone).strip()

@@ -40,9 +40,9 @@ class Rule:
     """What a span is: see the module."""
 
     least_sentences: int = 2
-    least_words: int = 20
-    long: int = 12
-    cut: int = 4
+    least_words: int = 18
+    long: int = 16
+    cut: int = 5
     most: int = 64
 
     def sentences(self, text: str) -> list[tuple[int, int, list[str]]]:
@@ -50,7 +50,7 @@ class Rule:
         found: list[tuple[int, int, list[str]]] = []
         a = 0
         for b in [*[m.end() for m in ENDS.finditer(text)], len(text)]:
-            words = [w.lower() for w in text[a:b].split()]
+            words = text[a:b].lower().split()
             if len(words) <= self.long:
                 if words:
                     found.append((a, b, words))
