@@ -97,15 +97,18 @@ def line_frequency(docs: DataFrame, host: str = "source", max_docs: int = 10, mi
     keyed = docs.select("doc_id", F.col(host).alias("__host"), "text", F.xxhash64("text").alias("__key"))
     common = common_lines(keyed, max_docs)
     places = F.transform(F.split("text", "\n"), lambda x, i: F.struct(normalised(x).alias("line"), i.alias("place")))
-    parts = F.transform(F.filter(places, lambda x: x["line"] != ""), lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), x["place"].alias("place")))
-    lines = keyed.select("doc_id", "__key", "__host", F.inline(parts))
+    part = lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), x["place"].alias("place"), F.length(x["line"]).alias("chars"))
+    lines = keyed.select("doc_id", "__key", "__host", F.inline(F.transform(F.filter(places, lambda x: x["line"] != ""), part)))
     gone = lines.join(common, F.col("__host").eqNullSafe(F.col("__ch")) & (F.col("hash") == F.col("__cl")))
-    # a document's lines are bounded by its own text; rows of one id, host and text have the same places
-    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), F.col("__host").alias("__g")).agg(F.collect_set("place").alias("__gone"))
+    # a document's lines are bounded by its own text; rows of one id, host and text have the same lines
+    own = F.collect_set(F.struct("place", "chars")).alias("__gone")
+    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), F.col("__host").alias("__g")).agg(own)
     base = word_columns(keyed.withColumn("line_chars", line_chars(F.col("text"))), F.col("text"))
     at = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__key").eqNullSafe(F.col("__k")) & F.col("__host").eqNullSafe(F.col("__g"))
-    out = base.join(gone, at, "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("__gone"))))
-    out = out.withColumn("removed_chars", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.col("line_chars") - line_chars(F.col("text"))).cast("long"))
+    # who asks for no texts has none in the join: all other columns are worked out before it
+    out = base.join(gone, at, "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("__gone.place"))))
+    removed = F.aggregate("__gone", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
+    out = out.withColumn("removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return out.select(
         "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
