@@ -71,10 +71,25 @@ def test_ledger_csv(spark, tmp_path):
     df = spark.createDataFrame([("r1", 'say "hi"', 3), ("r2", None, None)], "report_id string, title string, cases int")
     writers.write_ledger_csv(df, str(tmp_path / "out"), 5)
     lines = next((tmp_path / "out").glob("part*")).read_text("utf-8").splitlines()
-    assert lines[0].startswith('﻿"report_id","published_at"') and len(lines) == 3 and len(writers.LEDGER_COLUMNS) == 31
+    assert lines[0].startswith("\ufeffNo,Source Country,Surveillance Scope,Case Country,Language,Source URL,") and len(lines) == 3 and len(writers.LEDGER) == 31
+    assert lines[0].count(",") == 30 and lines[1].startswith('"1",') and lines[2].startswith('"2",')
     assert any('"r1"' in x and '"say ""hi"""' in x for x in lines)
 
 
+def test_ledger_shows_summaries(spark):
+    df = spark.createDataFrame([("a", 3, "three", 1.5, 2.5, "A; B"), ("b", 4, "", 1.5, 2.5, None)], "report_id string, cases int, cases_display string, lat double, lon double, geo_summary string")
+    got = [r.line.split('","') for r in writers.ledger_lines(df).orderBy("no").collect()]
+    at = {h: i for i, (h, _) in enumerate(writers.LEDGER)}
+    assert [(x[at["Number of Cases"]], x[at["Latitude"]], x[at["Longitude"]]) for x in got] == [("three", "A; B", ""), ("4", "1.5", "2.5")]
+
+
+def test_posts_without_an_id(spark, tmp_path):
+    for k, (head, row) in enumerate([("post_id,url,comment", ",https://x/1,first"), ("id,link,text", "7,https://x/2,second"), ("post_id,url,comment", ",https://x/1,third")]):
+        (tmp_path / f"f{k}.csv").write_text(f"{head}\n{row}\n")
+    got = {r.post_id: sorted(r.comments) for r in readers.read_posts(spark, str(tmp_path)).collect()}
+    assert got == {"https://x/1": ["first", "third"], "7": ["second"]}
+
+
 def test_training_export(spark, tmp_path):
     df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(200)], "id long, label string")
     manifest = {(r.part, r.label): r.n for r in writers.export_training(df, str(tmp_path / "t")).collect()}

@@ -33,9 +33,20 @@ def test_rates(spark):
 
 
 def test_severity_rules_differ(spark):
-    df = spark.createDataFrame([(True, 60, 0, 0.9, 1.0, 2.0, 50), (False, 1, 0, 0.9, 1.0, 2.0, 50), (False, 1, 0, 0.2, 1.0, 2.0, 50), (False, 120, 0, 0.9, None, 2.0, 50)], "alert boolean, cases int, deaths int, confidence double, lat double, lon double, threshold int")
-    got = df.select(predicates.severity_cluster(), predicates.severity_signal()).collect()
-    assert [tuple(r) for r in got] == [("critical", "high"), ("warning", "warning"), ("info", "warning"), ("info", "high")]
+    schema = "alert boolean, cases int, deaths int, confidence double, lat double, lon double, threshold int, place string"
+    rows = [(True, 60, 0), (True, 100, 0), (True, 1, 1), (False, 500, 9), (False, 60, 0), (False, 1, 0), (True, 0, 0), (False, 0, 0)]
+    df = spark.createDataFrame([(*r, 0.9, 1.0, 2.0, 50, "P") for r in rows] + [(True, 500, 5, 0.2, 1.0, 2.0, 50, "P"), (True, 500, 5, 0.9, None, 2.0, 50, "P"), (True, 500, 5, 0.9, 1.0, 2.0, 50, " "), (None, 500, None, 0.9, 1.0, 2.0, None, "P")], schema)
+    got = [tuple(r) for r in df.select(predicates.severity_cluster(), predicates.severity_signal()).collect()]
+    assert got == [
+        ("high", "high"), ("critical", "critical"), ("critical", "critical"), ("info", "critical"), ("info", "high"), ("info", "warning"), ("high", "high"), ("info", "info"),
+        ("info", "info"), ("info", "critical"), ("info", "critical"), ("info", "critical"),
+    ]
+
+
+def test_credibility_takes_the_higher(spark):
+    rows = [(1, "https://moph.go.th/x", "rss"), (2, "https://a.bbc.com", "government"), (3, "https://x.org", "facebook"), (4, "https://x.org", "other"), (5, "https://dinkes.go.id/a", "web")]
+    got = {r.source_id: (r.credibility, r.reason) for r in predicates.source_credibility(spark.createDataFrame(rows, "source_id long, url string, kind string")).collect()}
+    assert got == {1: (0.98, "domain"), 2: (0.95, "heuristic"), 3: (0.35, "heuristic"), 4: (0.5, "heuristic"), 5: (0.95, "domain")}
 
 
 def test_filter_stage(spark):
@@ -61,10 +72,16 @@ def test_pages(spark):
 
 
 def test_urls(spark):
-    cases = {"HTTP://Example.ORG:80/a/?utm_source=x&b=2&a=1#top": "http://example.org/a?a=1&b=2", "https://x.org": "https://x.org", "ftp://x": None, " https://X.org/?ref=1 ": "https://x.org"}
+    cases = {
+        "HTTP://Example.ORG:80/a/?utm_source=x&b=2&a=1#top": "http://example.org/a?a=1&b=2", "https://x.org": "https://x.org/", "ftp://x": None, " https://X.org/?ref=1 ": "https://x.org/?ref=1",
+        "https://x.org/a/": "https://x.org/a/", "https://x.org/a/?_ga=1": "https://x.org/a", "https://x.org/a/./b/../c/": "https://x.org/a/c/", "https://x.org//a//b": "https://x.org/a/b", "https://u:p@x.org/a": None,
+        "https://x.org:8443/a?source=rss&UTM_x=1&dclid=2&yclid=3": "https://x.org:8443/a?source=rss", "https://x.org/a b?q=a%20b&e": "https://x.org/a%20b?e=&q=a+b", "https://x.org:abc/": None, "https://x.org/%7Eme/é": "https://x.org/~me/%C3%A9",
+    }
     df = spark.createDataFrame([(k,) for k in cases], "u string")
     assert {r.u: r.n for r in df.select("u", text.normalize_url(F.col("u")).alias("n")).collect()} == cases
-    assert one(spark, text.normalize_url(F.lit("https://x.org/a/?ref=1"), "api")) == ("https://x.org/a/?ref=1",)
+    api, export = (lambda u, v=v: one(spark, text.normalize_url(F.lit(u), v))[0] for v in ("api", "export"))
+    assert (api("https://x.org/a//b/?ref=1&_ga=2&gclid=3"), api("https://x.org/a/../b/."), api("https://u@x.org/")) == ("https://x.org/a//b/?_ga=2&ref=1", "https://x.org/b/", None)
+    assert (export("https://u:p@x.org/a//?ref=1&oc=5&b=1&source=s#f"), export("https://x.org/?ref_src=t")) == ("https://x.org/a?b=1&source=s", "https://x.org/")
 
 
 def test_counts_in_text(spark):
@@ -134,11 +151,46 @@ def test_sentences_and_chunks(spark):
     df = spark.createDataFrame([(1, t)], "doc_id long, text string")
     rows = textjobs.sentences(df).orderBy("sentence").collect()
     assert [r.text for r in rows] == ["It rose 3.5 per cent.", "Then fell!", "New", "line here"]
-    assert all(t[r.start : r.end].strip() == r.text for r in rows)
+    assert all(t[r.start : r.end] == r.text for r in rows)
     parts = [r.text for r in textjobs.chunks(df, 25).orderBy("chunk").collect()]
     assert "".join(parts) == t and all(len(p) <= 25 for p in parts)
 
 
+def test_sentence_rules(spark):
+    cases = {
+        "Malang had 2.001 cases, sedangkan Kediri had 215. Others none": ["Malang had 2.001 cases,", "sedangkan Kediri had 215.", "Others none"],
+        "Meanwhile it rose by 5. 3 more. End in 2024.": ["Meanwhile it rose by 5. 3 more.", "End in 2024."],
+        "第一句。第二句！第三句": ["第一句。", "第二句！", "第三句"],
+        "See who.int now?! Yes...\n\n  Next": ["See who.int now?!", "Yes...", "Next"],
+        "": [], " \n ": [], None: [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = textjobs.sentences(df).orderBy("doc_id", "sentence").collect()
+    assert [[r.text for r in got if r.doc_id == i] for i in range(len(cases))] == list(cases.values())
+    long = spark.createDataFrame([(1, "word " * 20_000)], "doc_id long, text string")
+    assert [len(r.text) for r in textjobs.sentences(long).collect()] == [99_999]
+
+
+def test_mentions_of_any_length(spark):
+    lex = spark.createDataFrame([("of public", "C1"), ("Ministry of Public Health", "C2"), ("health", "C3"), ("the the", "C4")], "alias string, concept string")
+    df = spark.createDataFrame([(1, "The ministry of public health and the the the health of public works")], "doc_id long, text string")
+    got = {(r.start, r.end, r.concept) for r in textjobs.mentions(df, lex).collect()}
+    assert got == {(1, 5, "C2"), (6, 8, "C4"), (7, 9, "C4"), (9, 10, "C3"), (10, 12, "C1")}
+
+
+def test_nearest_mention(spark):
+    m = spark.createDataFrame([(1, 0, 2, "a"), (1, 0, 6, "b"), (1, 0, 6, "c"), (2, 0, 9, "z")], "doc_id long, sentence int, pos int, mention string")
+    n = spark.createDataFrame([(1, 0, 4, "x"), (1, 0, 5, "y"), (1, 0, 6, "w"), (1, 1, 3, "v"), (2, 0, 1, "u")], "doc_id long, sentence int, pos int, anchor string")
+    assert {(r.anchor, r.mention) for r in dedup.nearest_mention(m, n).collect()} == {("x", "a"), ("y", "b"), ("w", "b"), ("u", "z")}
+
+
+def test_evidence_sections_lede(spark):
+    df = spark.createDataFrame([(1, "FIRST PART\nTen more were ill. In all 12 cases were found there.\n2. Next\nNo numbers of cases here at all.\nRelated: 9 cases in the other article.")], "doc_id long, text string")
+    assert [r.text for r in textjobs.evidence(textjobs.sentences(df), "cases").orderBy("sentence").collect()] == ["In all 12 cases were found there.", "Related: 9 cases in the other article."]
+    assert [(r.section, r.title) for r in textjobs.sections(df).orderBy("section").collect()] == [(1, "FIRST PART"), (2, "2. Next")]
+    assert one(spark, F.lit(textjobs.lede(df, 9).first().lede))[0].endswith("at all.")
+
+
 def test_relations_before_wins(spark):
     m = spark.createDataFrame([("d", 0, 2, "place", "far"), ("d", 0, 4, "place", "before"), ("d", 0, 8, "place", "after"), ("d", 1, 1, "label", "other")], "doc_id string, sentence int, pos int, kind string, name string")
     c = spark.createDataFrame([("d", 0, 6, "cases", 5), ("d", 0, 6, "cases", 9)], "doc_id string, sentence int, pos int, metric string, n long")

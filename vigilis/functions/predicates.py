@@ -135,24 +135,42 @@ def channel_of(url: Column, kind: Column) -> Column:
     )
 
 
-#: Credibility by kind of source, and what a domain adds.
-KIND_CREDIBILITY = {"api": 0.8, "csv": 0.5, "rss": 0.6, "web": 0.55}
-
-
-def source_credibility(sources: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """``sources`` with credibility (0 to 1) and reason: override, domain or heuristic."""
-    base = F.lit(0.4)
-    for kind, value in KIND_CREDIBILITY.items():
-        base = F.when(F.lower("kind") == kind, F.lit(value)).otherwise(base)
-    boost = F.when(F.col("url").rlike(r"\.gov(\.|/|$)|who\.int"), 0.15).when(F.col("url").rlike("blog"), -0.2)
-    score = F.greatest(F.least(base + F.coalesce(boost, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    out = sources
+#: Other names of kinds of sources.
+KIND_NAMES = {"official government sites": "government", "local news": "news", "google": "web", "facebook": "social_media", "html": "web", "chart": "web", "json": "api", "xml": "rss"}
+#: Credibility by kind of source; 0.5 for others.
+KIND_CREDIBILITY = {"government": 0.95, "who": 0.95, "hospital": 0.9, "research": 0.85, "news": 0.7, "rss": 0.65, "web": 0.5, "social_media": 0.35, "csv": 0.6, "api": 0.7}
+#: Credibility by domain (patterns of a source's URL and name), the first that is found counts.
+DOMAIN_CREDIBILITY = [
+    (r"who\.int|kemenkes\.go\.id|kemkes\.go\.id|moh\.gov|moph\.go\.th|doh\.gov\.ph", 0.98),
+    (r"cdc\.gov", 0.97),
+    (r"\.(go\.id|gov\.vn|go\.th|gov\.sg|gov\.my|gov\.ph|gov\.bn|gov\.la|gov\.mm|gov\.kh|gov\.tl)([/:?]|$)", 0.95),
+    (r"bbc\.com|bbc\.co\.uk|reuters\.com", 0.94),
+    (r"cidrap|apnews\.com|dw\.com", 0.92),
+    (r"reliefweb\.int|antaranews\.com|detik\.com", 0.9),
+    (r"kompas\.com|cnnindonesia\.com|channelnewsasia\.com|vnexpress\.net|thestar\.com\.my|straitstimes\.com|bangkokpost\.com|nationthailand\.com|rappler\.com|phnompenhpost\.com|malaymail\.com|astroawani\.com", 0.88),
+]
+
+
+def source_credibility(sources: DataFrame, overrides: DataFrame | None = None, domains: Sequence[tuple[str, float]] = DOMAIN_CREDIBILITY) -> DataFrame:
+    """``sources`` with credibility (0 to 1) and reason: an override, else the higher of the domain's and the kind's."""
+    kind = F.lower(F.trim("kind"))
+    for name, other in KIND_NAMES.items():
+        kind = F.when(F.lower(F.trim("kind")) == name, F.lit(other)).otherwise(kind)
+    base = F.lit(0.5)
+    for name, value in KIND_CREDIBILITY.items():
+        base = F.when(kind == name, F.lit(value)).otherwise(base)
+    text = F.lower(F.concat_ws(" ", *[c for c in ("url", "name") if c in sources.columns]))
+    domain = F.lit(None).cast("double")
+    for pattern, value in reversed(domains):
+        domain = F.when(text.rlike(pattern), F.lit(value)).otherwise(domain)
+    out = sources.select(F.struct(*sources.columns).alias("__row"), base.alias("__base"), domain.alias("__domain"))
     given = F.lit(None).cast("double")
     if overrides is not None:
-        out = out.join(overrides.select(F.col("source_id").alias("__s"), F.col("credibility").alias("__given")), F.col("source_id") == F.col("__s"), "left")
+        out = out.join(overrides.select(F.col("source_id").alias("__s"), F.col("credibility").alias("__given")), F.col("__row.source_id") == F.col("__s"), "left")
         given = F.col("__given")
-    reason = F.when(given.isNotNull(), "override").when(boost.isNotNull(), "domain").otherwise("heuristic")
-    return out.select(*sources.columns, F.round(F.coalesce(given, score), 4).alias("credibility"), reason.alias("reason"))
+    score = F.coalesce(given, F.greatest("__domain", "__base"))
+    reason = F.when(given.isNotNull(), "override").when(F.col("__domain") >= F.col("__base"), "domain").otherwise("heuristic")
+    return out.select("__row.*", F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 4).alias("credibility"), reason.alias("reason"))
 
 
 def coverage_class(country: Column, members: Sequence[str]) -> Column:
@@ -160,20 +178,23 @@ def coverage_class(country: Column, members: Sequence[str]) -> Column:
 
 
 def severity_cluster() -> Column:
-    """For clusters: an alert comes first, then deaths and multiples of the threshold; gated by confidence and coordinates."""
-    gate = (F.col("confidence") >= 0.35) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    t = F.coalesce("threshold", F.lit(100))
+    """For clusters: only an alert has a severity, critical at twice the threshold or any death, else high; gated by confidence and place."""
+    gate = (F.col("confidence") >= 0.35) & (F.trim("place") != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    t = F.greatest(F.coalesce("threshold", F.lit(100)), F.lit(1))
     return (
-        F.when(~F.coalesce(gate, F.lit(False)), "info").when(F.col("alert") & (F.col("cases") >= t), "critical")
-        .when((F.col("cases") >= 2 * t) | (F.col("deaths") >= 10), "critical").when((F.col("cases") >= t) | (F.col("deaths") > 0), "high")
-        .when(F.col("cases") > 0, "warning").otherwise("info")
+        F.when(~F.coalesce(gate, F.lit(False)) | ~F.coalesce("alert", F.lit(False)), "info")
+        .when((F.col("cases") >= 2 * t) | (F.col("deaths") > 0), "critical").otherwise("high")
     )
 
 
 def severity_signal() -> Column:
-    """For single signals: any case is a warning."""
-    t = F.coalesce("threshold", F.lit(100))
-    return F.when(F.col("deaths") > 0, "critical").when(F.col("cases") >= t, "high").when(F.col("cases") > 0, "warning").otherwise("info")
+    """For single signals: critical at twice the threshold or any death, high at the threshold or with an alert, any case is a
+    warning; gated by confidence."""
+    t = F.greatest(F.coalesce("threshold", F.lit(100)), F.lit(1))
+    return (
+        F.when(~F.coalesce(F.col("confidence") >= 0.35, F.lit(False)), "info").when((F.col("cases") >= 2 * t) | (F.col("deaths") > 0), "critical")
+        .when((F.col("cases") >= t) | F.coalesce("alert", F.lit(False)), "high").when(F.col("cases") > 0, "warning").otherwise("info")
+    )
 
 
 SEVERITY_RANK = {"critical": 3, "high": 2, "warning": 1, "info": 0}

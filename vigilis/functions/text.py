@@ -7,27 +7,72 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track, by variant.
+#: Query parameters that only track, by variant, beside all that begin with ``utm_``.
 TRACKING = {
-    "collector": ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"],
-    "api": ["fbclid", "gclid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"],
+    "collector": ["_ga", "_gl", "dclid", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "yclid"],
+    "api": ["dclid", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "yclid"],
+    "export": ["fbclid", "gclid", "mc_cid", "mc_eid", "oc", "ref", "ref_src"],
 }
+#: Signs that a path keeps unescaped.
+PATH_SIGNS = {"%2F": "/", "%3A": ":", "%40": "@", "%21": "!", "%24": "$", "%26": "&", "%27": "'", "%28": "(", "%29": ")", "%2B": "+", "%2C": ",", "%3B": ";", "%3D": "=", "%7E": "~", "%25": "%"}
+
+
+def _form_encoded(x: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _without_dots(path: Column, collapse_: bool) -> Column:
+    """Dot segments are resolved; with ``collapse_`` empty segments go too. A final slash goes."""
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    idle = (lambda s: s.isin("", ".")) if collapse_ else (lambda s: s == ".")
+    step = lambda acc, s: F.when(idle(s), acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s)))
+    parts = F.split(F.regexp_replace(path, "^/|/$", ""), "/")
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
 def normalize_url(url: Column, variant: str = "collector") -> Column:
-    """Lower-case scheme and host without a default port, no fragment, no tracking parameters, sorted query, no final slash.
+    """Lower-case scheme and host without a default port, no fragment, no tracking parameters, sorted query. Null for what isn't an
+    http URL. Parameters such as ``page``, ``ref`` and ``source`` stay, as they may name another article.
 
-    The collector's variant; 'api' keeps ``ref`` and ``source`` and the path's final slash. Null for what isn't a URL.
+    ``collector``: dot segments and double slashes are resolved, escapes are made uniform, a final slash stays unless there is a
+    query, and a URL with credentials is null. ``api``: as the collector's, but double slashes and a slash before a query stay.
+    ``export``: a training set's identity; credentials, ``ref`` and any final slash go.
     """
     u = F.trim(url)
     scheme, rest = F.lower(F.regexp_extract(u, r"(?i)^(https?)://", 1)), F.regexp_extract(u, r"(?i)^https?://([^#]*)", 1)
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r":(80|443)$", "")
-    path = F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1)
-    path = path if variant == "api" else F.regexp_replace(path, r"/+$", "")
-    query = F.regexp_extract(rest, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING[variant])))
+    authority = F.regexp_extract(rest, r"^([^/?]*)", 1)
+    login, place = F.regexp_extract(authority, r"^(.*@)", 1), F.regexp_replace(authority, "^.*@", "")
+    host = F.rtrim(F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1)), F.lit("."))
+    port = F.regexp_extract(place, r":([^:\]]*)$", 1)
+    default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    raw, query = F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), F.regexp_extract(rest, r"\?(.*)$", 1)
+    path = F.when(raw == "", "/").otherwise(raw)
+    if variant == "export":
+        path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+    else:
+        if variant == "collector":
+            # only where something is escaped or to be escaped
+            plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+            quoted = F.replace(F.url_encode(plain), F.lit("+"), F.lit("%20"))
+            for code, sign in PATH_SIGNS.items():
+                quoted = F.replace(quoted, F.lit(code), F.lit(sign))
+            path = F.when(path.rlike("[^A-Za-z0-9/._~-]"), quoted).otherwise(path)
+        dots = path.rlike(r"//|/\.\.?(/|$)" if variant == "collector" else r"/\.\.?(/|$)")
+        clean = _without_dots(path, variant == "collector")
+        ends = path.rlike(r"/$" if variant == "collector" else r"/(\.\.?)?$") & (clean != "/")
+        path = F.when(dots, F.concat(clean, F.when(ends, "/").otherwise(""))).otherwise(path)
+        if variant == "collector":
+            path = F.when((query != "") & (path != "/"), F.regexp_replace(path, "/+$", "")).otherwise(path)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pair = lambda p: F.struct(F.lower(decoded(F.substring_index(p, "=", 1))).alias("low"), decoded(F.substring_index(p, "=", 1)).alias("key"), decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("value"))
+    pairs = F.filter(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair), lambda x: ~F.startswith(x["low"], F.lit("utm_")) & ~x["low"].isin(TRACKING[variant]))
+    ordered = F.array_sort(F.transform(pairs, lambda x: F.struct(x["key"], x["value"])) if variant == "export" else pairs)
+    kept = F.transform(ordered, lambda x: F.concat(_form_encoded(x["key"]), F.lit("="), _form_encoded(x["value"])))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, path, tail))
+    fine = (scheme != "") & (host != "") & port.rlike("^[0-9]*$")
+    if variant != "export":
+        fine &= login == ""
+    return F.when(fine, F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, tail))
 
 
 def collapse(text: Column) -> Column:
@@ -97,7 +142,7 @@ DIGIT_ZEROS = "٠۰०০๐໐០၀"
 def fold_digits(text: Column) -> Column:
     """Digits of other scripts become ASCII digits."""
     other = "".join(chr(ord(z) + k) for z in DIGIT_ZEROS for k in range(10))
-    return F.translate(text, other, "0123456789" * len(DIGIT_ZEROS))
+    return F.when(text.rlike(f"[{other}]"), F.translate(text, other, "0123456789" * len(DIGIT_ZEROS))).otherwise(text)
 
 
 #: Letters with accents and their plain forms.

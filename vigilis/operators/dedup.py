@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,10 +83,20 @@ def quantile_classes(df: DataFrame, value: str, k: int, ident: str) -> DataFrame
 
 
 def nearest_mention(mentions: DataFrame, anchors: DataFrame) -> DataFrame:
-    """For each anchor (doc_id, sentence, pos, anchor) the closest mention in its sentence; before wins over after."""
-    pair = anchors.join(mentions.select("doc_id", "sentence", F.col("pos").alias("__pos"), "mention"), ["doc_id", "sentence"])
-    rank = F.struct(F.abs(F.col("pos") - F.col("__pos")), F.col("__pos") > F.col("pos"), F.col("__pos"))
-    return pair.groupBy("doc_id", "sentence", "pos", "anchor").agg(F.min_by("mention", rank).alias("mention"))
+    """For each anchor (doc_id, sentence, pos, anchor) the closest mention in its sentence; before wins over after.
+
+    The last mention before an anchor and the first after it come from one window; anchors never meet all mentions.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    one = mentions.groupBy("doc_id", "sentence", "pos").agg(F.min("mention").alias("mention"))
+    one = one.select("doc_id", "sentence", "pos", F.struct(F.col("pos").alias("at"), F.col("mention").alias("mention")).alias("m"), none("string").alias("anchor"))
+    own = anchors.select("doc_id", "sentence", "pos", none(one.schema["m"].dataType).alias("m"), F.col("anchor"))
+    w = Window.partitionBy("doc_id", "sentence").orderBy("pos")
+    before = F.last("m", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("m", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    both = own.unionByName(one).withColumn("b", before).withColumn("a", after).where("anchor is not null and (a is not null or b is not null)").distinct()
+    nearer = F.col("a").isNull() | (F.col("pos") - F.col("b.at") <= F.col("a.at") - F.col("pos"))
+    return both.select("doc_id", "sentence", "pos", "anchor", F.when(F.col("b").isNotNull() & nearer, F.col("b.mention")).otherwise(F.col("a.mention")).alias("mention"))
 
 
 def drop_nested(spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -93,16 +105,23 @@ def drop_nested(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.withColumn("__far", F.max("end").over(w)).where("__far is null or end > __far").drop("__far")
 
 
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; where it is unset, to a temporary folder in local mode only."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+
+
 def star_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root (smallest reachable) of links (a, b), by rounds of large and small stars; each round is checkpointed.
 
     Raises if ``rounds`` don't suffice; they grow with the logarithm of the longest path.
     """
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    set_checkpoint_dir(links.sparkSession)
     e = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = None
     for _ in range(rounds):
@@ -139,11 +158,7 @@ def resolve_roots(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
     Raises if ``rounds`` doublings don't suffice.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    set_checkpoint_dir(edges.sparkSession)
     own = edges.where("parent is not null and node <> parent").groupBy("node").agg(F.min("parent").alias("up"))
     # least: smallest node on the way so far, which names a cycle
     state = own.withColumn("least", F.least("node", "up")).checkpoint()

@@ -29,35 +29,52 @@ def language_profile(docs: DataFrame, markers: DataFrame, hint: str | None = Non
     for lang, block in SCRIPTS.items():
         n = F.regexp_count("text", F.lit(f"[{block}]"))
         script = F.when((n >= 3) & (n * 10 >= size), lang).otherwise(script)
+    # the script is worked out before the join, so texts stay where they are
+    known = docs.select("doc_id", F.coalesce(F.col(hint) if hint else F.lit(None).cast("string"), script).alias("known"))
     votes = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).join(markers, "word").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
     lead = votes.groupBy("doc_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("top"), F.max("n").alias("most"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     marked = F.when((F.col("most") >= 2) & (F.coalesce(F.get("ns", F.lit(1)), F.lit(0)) < F.col("most")), F.col("top"))
-    given = F.col(hint) if hint else F.lit(None).cast("string")
-    return docs.join(lead, "doc_id", "left").select("doc_id", F.coalesce(given, script, marked, F.lit("unknown")).alias("language"))
+    return known.join(lead, "doc_id", "left").select("doc_id", F.coalesce("known", marked, F.lit("unknown")).alias("language"))
+
+
+#: Connectives that begin a clause of their own.
+CONTRASTIVE = ["sementara\\s+itu", "sedangkan", "meanwhile", "in\\s+the\\s+meantime", "by\\s+contrast", "trong\\s+khi(?:\\s+đó)?", "ขณะที่", "samantala", "enquanto\\s+isso", "manakala"]
+#: Where a text is cut: places between two characters, so that no pattern runs over a long text.
+CUTS = "|".join([
+    r"(?<=\n)(?!\n)", r"(?<=[!?。！？])(?![.!?。！？])", r"(?<![0-9]\.)(?<=\.)(?=\s|\z)", r"(?<=[0-9]\.)(?=\s+[A-Z\"“'‘]|\s*\z)",
+    r"(?<=[\s,;:])(?=(?iu:" + "|".join(CONTRASTIVE) + r")(?:\s|\z))",
+])
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, sentence, start, end, text: at signs that end sentences and at lines' ends; decimal points don't count."""
-    cut = F.regexp_extract_all("text", F.lit(r"((?:[^.!?\n]|(?<=\d)[.](?=\d))+[.!?]*|[.!?\n]+)"), 1)
-    rows = docs.select("doc_id", F.posexplode(cut).alias("i", "raw"))
+    """doc_id, sentence, start, end, text: cut after signs that end sentences, at lines' ends and before contrastive connectives.
+
+    A full stop ends a sentence before white space; behind a digit only before a capital, a quotation mark or the text's end.
+    Full-width signs need no white space. Offsets are in characters.
+    """
+    rows = docs.select("doc_id", F.posexplode(F.split("text", CUTS)).alias("i", "raw"))
     before = F.sum(F.length("raw")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    at = rows.withColumn("start", F.coalesce(before, F.lit(0))).where(F.col("raw").rlike(r"\w"))
-    lead = F.length("raw") - F.length(F.ltrim("raw"))
+    space = r"[\x20\x09-\x0D]+"
+    at = rows.withColumn("start", F.coalesce(before, F.lit(0))).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.regexp_replace("raw", f"^{space}", "")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1
-    return at.select("doc_id", number.alias("sentence"), (F.col("start") + lead).alias("start"), (F.col("start") + F.length("raw")).alias("end"), F.trim("raw").alias("text"))
+    text = F.regexp_replace(left, f"{space}$", "")
+    start = F.col("start") + F.length("raw") - F.length(left)
+    return at.select("doc_id", number.alias("sentence"), start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"))
 
 
-def mentions(docs: DataFrame, lexicon: DataFrame, most: int = 3, text: str = "text") -> DataFrame:
-    """doc_id, start, end (words, end exclusive), alias, concept: aliases of up to ``most`` words, the longest where they nest.
+def mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, start, end (words, end exclusive), alias, concept: aliases of any number of words, the longest where they nest.
 
-    One row for each word with what follows; it meets aliases by their first word.
+    Words meet the lexicon's words; an alias of several words is found where all of its words stand one after another. Only
+    words of the lexicon leave the join.
     """
-    w = words(F.col(text))
-    grams = F.transform("__w", lambda x, i: F.struct(x.alias("word"), F.concat(F.array_join(F.slice("__w", i + 1, most), " "), F.lit(" ")).alias("run"), i.alias("start")))
-    rows = docs.select("doc_id", w.alias("__w")).select("doc_id", F.inline(grams))
-    lex = lexicon.select(alias_key(F.col("alias")).alias("alias"), "concept").distinct().withColumn("first", F.substring_index("alias", " ", 1)).where("alias <> ''")
-    hit = rows.join(lex, F.col("word") == F.col("first")).where(F.startswith("run", F.concat("alias", F.lit(" "))))
-    found = hit.select("doc_id", "start", (F.col("start") + F.size(F.split("alias", " "))).alias("end"), "alias", "concept")
+    rows = docs.select("doc_id", F.posexplode(words(F.col(text))).alias("at", "word"))
+    lex = lexicon.select(alias_key(F.col("alias")).alias("alias"), "concept").distinct().where("alias <> ''").withColumn("size", F.size(F.split("alias", " ")))
+    parts = lex.select("alias", "concept", "size", F.posexplode(F.split("alias", " ")).alias("k", "word"))
+    hit = rows.join(parts, "word").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "alias", "concept", "size")
+    long = hit.where("size > 1").groupBy("doc_id", "start", "alias", "concept", "size").agg(F.count("*").alias("n")).where("n = size").drop("n")
+    found = hit.where("size = 1").unionByName(long).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "alias", "concept")
     return drop_nested(found)
 
 

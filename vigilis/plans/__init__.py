@@ -21,3 +21,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+#: CTEs ending in urls (page_id, collector, api, export): addresses of pages, normalised by each variant's rule.
+URLS_SQL = r"""parts AS (SELECT page_id, split_part(url, '#', 1) AS u FROM pages),
+  cut AS (SELECT page_id, lower(regexp_extract(u, '^(https?)://', 1)) || '://' || lower(regexp_extract(u, '^https?://([^/?]*)', 1)) AS site, regexp_extract(u, '^https?://[^/?]*([^?]*)', 1) AS path, regexp_extract(u, '\?(.*)$', 1) AS query FROM parts),
+  kept AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND lower(x) NOT LIKE 'utm\_%' ESCAPE '\' AND lower(split_part(x, '=', 1)) NOT IN ('_ga', '_gl', 'dclid', 'fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'msclkid', 'yclid'))) AS ps FROM cut),
+  urls AS (SELECT page_id, site || CASE WHEN path IN ('', '/') THEN '/' WHEN query <> '' THEN regexp_replace(path, '/+$', '') ELSE path END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS collector,
+    site || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS api,
+    site || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(list_filter(ps, lambda x: split_part(x, '=', 1) NOT IN ('oc', 'ref', 'ref_src'))) > 0
+      THEN '?' || array_to_string(list_filter(ps, lambda x: split_part(x, '=', 1) NOT IN ('oc', 'ref', 'ref_src')), '&') ELSE '' END AS export FROM kept)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigilis.functions.sql import normalize_unicode, register_functions, summary_view
 from vigilis.functions.text import normalize_url, short_label
 from vigilis.operators.textjobs import expand_abbreviations
-from vigilis.plans import query
+from vigilis.plans import URLS_SQL, query
 from vigilis.sources import adapters as a
 from vigilis.sources import readers, writers
 from vigilis.sources.adapters import SIGNALS_SQL
@@ -77,11 +77,14 @@ def sc13_filter_key(spark, d):
     return names.select(F.col("r_regionkey").alias("k"), F.concat(F.lower("r_name"), F.lit(writers.filter_key("", None, "1996-01-01", "1996-12-31")[3:])).alias("key"))
 
 
-@query("SELECT count(DISTINCT url) > 0 AS ok FROM pages")
+@query(f"""WITH {URLS_SQL}, v AS (SELECT 'collector' AS variant, collector AS u FROM urls UNION ALL SELECT 'api', api FROM urls UNION ALL SELECT 'export', export FROM urls)
+  SELECT variant, count(DISTINCT u) AS n, min(u) AS first, max(u) AS last, CAST(0 AS BIGINT) AS changed FROM v GROUP BY 1""")
 def fn9_idempotent(spark, d):
-    """Normalising twice changes nothing."""
-    u = normalize_url(F.col("url"))
-    return a.scan(spark, d, "pages").agg((F.count_if(normalize_url(u) != u) == 0).alias("ok"))
+    """By variant: how many addresses there are, and how many change when they are normalised again (none)."""
+    pages = a.scan(spark, d, "pages", ["url"])
+    rows = [F.struct(F.lit(v).alias("variant"), normalize_url(F.col("url"), v).alias("u"), normalize_url(normalize_url(F.col("url"), v), v).alias("again")) for v in ("collector", "api", "export")]
+    flat = pages.select(F.inline(F.array(*rows)))
+    return flat.groupBy("variant").agg(F.count_distinct("u").alias("n"), F.min("u").alias("first"), F.max("u").alias("last"), F.count_if(F.col("u") != F.col("again")).alias("changed"))
 
 
 @query("""WITH x AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem), s AS (SELECT d, d - CAST(dayofweek(d) AS INTEGER) AS sun FROM x), y AS (SELECT d, sun, year(sun + 3) AS y FROM s)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilis.functions import dates, text, values
 from vigilis.operators import articles, dedup, kpi, lookup, ops, paging
-from vigilis.plans import query
+from vigilis.plans import URLS_SQL, query
 from vigilis.plans.kpi import MEMBERS, SUMS, best
 from vigilis.sources import adapters as a
 from vigilis.sources.adapters import ALIASES_SQL, BEST_SQL, FACTS_SQL, PLACES_SQL, RULES_SQL, RUNS_SQL, SIGNALS_SQL, SOURCES_SQL, VALID_SQL
@@ -227,7 +227,7 @@ def tk3_page_keys(spark, d):
     return paging.page_keys(a.facts(spark, d), "report_id", "created_at", 2, 20).select("fact_id", "report_id")
 
 
-@query(f"""WITH {BEST_SQL}, {RULES_SQL}, s AS (SELECT best.*, CASE WHEN deaths > 0 THEN 'critical' WHEN cases >= coalesce(threshold, 100) THEN 'high' WHEN cases > 0 THEN 'warning' ELSE 'info' END AS severity FROM best LEFT JOIN rules ON lower(best.label) = lower(rules.label))
+@query(f"""WITH {BEST_SQL}, {RULES_SQL}, s AS (SELECT best.*, CASE WHEN NOT coalesce(confidence >= 0.35, false) THEN 'info' WHEN cases >= 2 * coalesce(threshold, 100) OR deaths > 0 THEN 'critical' WHEN cases >= coalesce(threshold, 100) OR alert THEN 'high' WHEN cases > 0 THEN 'warning' ELSE 'info' END AS severity FROM best LEFT JOIN rules ON lower(best.label) = lower(rules.label))
   SELECT fact_id, label, place, published_at, severity, cases FROM s ORDER BY published_at DESC, CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END DESC, cases DESC, fact_id LIMIT 100""")
 def tk4_signal_feed(spark, d):
     return paging.signal_feed(best(spark, d), a.rules(spark, d))
@@ -280,7 +280,7 @@ def ag18_crawl_stats(spark, d):
 
 
 @query(f"""WITH {SOURCES_SQL}, c AS (SELECT *, CASE WHEN contains(url, '.gov') THEN 'official' WHEN contains(url, 'news') THEN 'media' WHEN contains(url, 'blog') OR kind = 'csv' THEN 'social' ELSE 'other' END AS channel,
-    round(greatest(least(CASE kind WHEN 'api' THEN 0.8 WHEN 'csv' THEN 0.5 WHEN 'rss' THEN 0.6 ELSE 0.55 END::DOUBLE + CASE WHEN contains(url, '.gov.') THEN 0.15 WHEN contains(url, 'blog') THEN -0.2 ELSE 0 END::DOUBLE, 1), 0), 4) AS credibility FROM sources)
+    CASE kind WHEN 'api' THEN 0.7 WHEN 'csv' THEN 0.6 WHEN 'rss' THEN 0.65 ELSE 0.5 END::DOUBLE AS credibility FROM sources)
   SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'rss') AS rss, count(*) FILTER (WHERE kind = 'web') AS web, count(*) FILTER (WHERE kind = 'api') AS api, count(*) FILTER (WHERE kind = 'csv') AS csv,
     count(*) FILTER (WHERE channel = 'official') AS official, count(*) FILTER (WHERE channel = 'media') AS media, count(*) FILTER (WHERE channel = 'social') AS social, count(*) FILTER (WHERE channel = 'other') AS other,
     count(*) FILTER (WHERE credibility >= 0.7) AS trusted, count(*) FILTER (WHERE credibility < 0.4) AS doubtful, CAST(0 AS BIGINT) AS overridden, round(avg(credibility), 4) AS credibility FROM c""")
@@ -457,9 +457,7 @@ def fn21_json_field(spark, d):
     return s.select("event_id", values.json_field(F.col("payload"), ["cases", "K"]).alias("field"), values.json_count(F.col("payload"), ["k"]).alias("n"))
 
 
-@query("""WITH p AS (SELECT page_id, url, split_part(url, '#', 1) AS u FROM pages), q AS (SELECT page_id, lower(regexp_extract(u, '^(https?)://', 1)) AS s, lower(regexp_extract(u, '^https?://([^/?]*)', 1)) AS h, regexp_replace(regexp_extract(u, '^https?://[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    list_sort(list_filter(string_split(CASE WHEN contains(u, '?') THEN u[position('?' IN u) + 1:] ELSE '' END, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS ps FROM p)
-  SELECT page_id, s || '://' || h || path || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS url, sha256(s || '://' || h || path || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END) AS hash FROM q""")
+@query(f"WITH {URLS_SQL} SELECT page_id, collector AS url, sha256(collector) AS hash FROM urls")
 def fn9_normalize_url(spark, d):
     u = F.col("url")
     return a.scan(spark, d, "pages", ["page_id", "url"]).select("page_id", text.normalize_url(u).alias("url"), text.url_hash(u).alias("hash"))

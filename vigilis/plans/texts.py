@@ -42,7 +42,22 @@ def tx1_language_profile(spark, d):
     return textjobs.language_profile(a.scan(spark, d, "documents", ["doc_id", "text"]), F.broadcast(markers))
 
 
-@query()
+WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def sentences_sql(source: str) -> str:
+    """CTEs ending in sents (doc_id, sentence, start, end, text) of a relation (doc_id, text), cut at marks put in by replacement."""
+    t, mark = "text", "' || chr(31) || '"
+    clause = "sementara\\s+itu|sedangkan|meanwhile|in\\s+the\\s+meantime|by\\s+contrast|trong\\s+khi(?:\\s+đó)?|ขณะที่|samantala|enquanto\\s+isso|manakala"
+    for pattern in (r"([!?。！？])([^.!?。！？]|$)", r"((?:^|[^0-9])\.)(\s|$)", r"([0-9]\.)(\s+[A-Z\"“''‘]|\s*$)", rf"([\s,;:])((?i:{clause})(?:\s|$))", r"(\n+)()"):
+        t = rf"regexp_replace({t}, '{pattern}', '\1{mark}\2', 'g')"
+    return f"""pieces AS (SELECT doc_id, string_split({t}, chr(31)) AS ps FROM {source}), raws AS (SELECT doc_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS i FROM pieces),
+  placed AS (SELECT doc_id, raw, i, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM raws),
+  sents AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sentence, CAST(before + length(raw) - length(ltrim(raw, {WS_SQL})) AS BIGINT) AS "start",
+    CAST(before + length(rtrim(raw, {WS_SQL})) AS BIGINT) AS "end", trim(raw, {WS_SQL}) AS text FROM placed WHERE trim(raw, {WS_SQL}) <> '')"""
+
+
+@query(f'WITH {sentences_sql("documents")} SELECT doc_id, sentence, "start", "end", text FROM sents')
 def tx2_sentences(spark, d):
     return textjobs.sentences(a.scan(spark, d, "documents", ["doc_id", "text"]))
 
@@ -101,7 +116,8 @@ def tx7_status(spark, d):
     return articles_of(spark, d).select("doc_id", textjobs.epistemic_status(t).alias("status"), textjobs.metric_type(t).alias("metric"), textjobs.period_type(t).alias("period"))
 
 
-@query()
+@query(f"""WITH {ARTICLES_SQL}, {sentences_sql("arts")} SELECT doc_id, sentence, "start", "end", text FROM sents
+  WHERE length(text) BETWEEN 20 AND 800 AND regexp_matches(text, '[0-9]') AND regexp_matches(text, '(?i)\\b(cases|deaths|samples)\\b')""")
 def tx9_evidence(spark, d):
     return textjobs.evidence(textjobs.sentences(articles_of(spark, d).select("doc_id", "text")), "cases|deaths|samples")
 
@@ -148,7 +164,9 @@ def tx16_discover_terms(spark, d):
     return textjobs.discover_terms(a.scan(spark, d, "documents", ["doc_id", "text"]), lex, least=20)
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  h AS (SELECT *, regexp_matches(line, '^(?:[0-9]+\.|[A-Z][A-Z ]{3,}$)') AS head FROM l), s AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h)
+  SELECT doc_id, CAST(section AS BIGINT) AS section, max(line) FILTER (WHERE head) AS title, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head), '') AS body FROM s GROUP BY doc_id, section""")
 def tx17_sections(spark, d):
     return textjobs.sections(a.scan(spark, d, "documents", ["doc_id", "text"]))
 
@@ -170,7 +188,8 @@ def tx20_post_digest(spark, d):
     return textjobs.post_digest(a.scan(spark, d, "conversations"))
 
 
-@query()
+@query(r"""WITH o AS (SELECT doc_id, regexp_extract(text, '(?is)^(.*?)(?:\n\s*(?:related|read also|baca juga)\b.*)?$', 1) AS t FROM documents),
+  s AS (SELECT doc_id, list_filter(regexp_extract_all(t, '([^.!?\n]+[.!?]*)', 1), lambda x: trim(x) <> '') AS s FROM o) SELECT doc_id, array_to_string(list_transform(s[1:2], lambda x: trim(x)), ' ') AS lede FROM s""")
 def tx21_lede(spark, d):
     return textjobs.lede(a.scan(spark, d, "documents", ["doc_id", "text"]))
 
@@ -199,7 +218,7 @@ def tx23_event_period(spark, d):
 def tx24_dictionary_terms(spark, d):
     lex = spark.createDataFrame([(w, w) for w in ("la", "und", "the")], "alias string, concept string")
     docs = a.scan(spark, d, "documents", ["doc_id", "text"])
-    return textjobs.mentions(docs, lex, 1).select("doc_id", "concept").distinct()
+    return textjobs.mentions(docs, lex).select("doc_id", "concept").distinct()
 
 
 @query(f"""WITH {FACTS_SQL}, m AS (SELECT report_id AS doc_id, place AS country, sum(CASE WHEN cases > 45 THEN 0 WHEN deaths = 0 THEN 3 WHEN deaths < 3 THEN 2 ELSE 1 END) AS points FROM facts GROUP BY 1, 2)
@@ -450,7 +469,11 @@ def fn24_children(spark, d):
     return parents.unionByName(kids)
 
 
-@query()
+@query(rf"""WITH {sentences_sql("documents")}, w AS (SELECT doc_id, sentence, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM sents),
+  p AS (SELECT doc_id, sentence, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w), m AS (SELECT * FROM p WHERE word IN ('the', 'la', 'die')),
+  c AS (SELECT p.doc_id, p.sentence, p.pos, p.word AS anchor, m.word AS mention, row_number() OVER (PARTITION BY p.doc_id, p.sentence, p.pos ORDER BY abs(p.pos - m.pos), m.pos) AS k
+    FROM p JOIN m ON p.doc_id = m.doc_id AND p.sentence = m.sentence WHERE length(p.word) >= 12)
+  SELECT doc_id, sentence, CAST(pos AS INTEGER) AS pos, anchor, mention FROM c WHERE k = 1""")
 def wn12_nearest_mention(spark, d):
     s = textjobs.sentences(a.scan(spark, d, "documents", ["doc_id", "text"])).select("doc_id", "sentence", F.posexplode(textjobs.words(F.col("text"))).alias("pos", "word"))
     m = s.where("word in ('the', 'la', 'die')").withColumnRenamed("word", "mention")

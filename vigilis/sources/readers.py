@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,13 @@ POST_HEADERS = {
 
 
 def posts_of(rows: DataFrame) -> DataFrame:
-    """One row for each post_id: first non-blank url, date, caption and the comments in order of their place. rows may have any of POST_HEADERS."""
+    """One row for each post_id, or URL where there is none: first non-blank url, date, caption and the comments in order of their place. rows may have any of POST_HEADERS."""
     have = {c.lower(): c for c in rows.columns}
     blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     pick = lambda names: F.coalesce(*[blank(have[n]) for n in names if n in have], F.lit(None).cast("string"))
     at = F.col("turn") if "turn" in rows.columns else F.lit(0)
-    flat = rows.select(at.alias("place"), *[pick(n).alias(k) for k, n in POST_HEADERS.items()]).where("post_id is not null")
+    flat = rows.select(at.alias("place"), *[pick(n).alias(k) for k, n in POST_HEADERS.items()])
+    flat = flat.withColumn("post_id", F.coalesce("post_id", "url")).where("post_id is not null")
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("place", c))).alias(c)
     comments = F.array_sort(F.collect_list(F.when(F.col("comment").isNotNull(), F.struct("place", "comment"))))
     return flat.groupBy("post_id").agg(first("url"), first("date"), first("caption"), first("account"), F.transform(comments, lambda x: x["comment"]).alias("comments"))
@@ -46,10 +48,13 @@ def posts_of(rows: DataFrame) -> DataFrame:
 def read_posts(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of CSV files with different headers: each header's files are read with their own columns."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mergeSchema", True)
-    files = [f.path for f in spark.read.format("binaryFile").load(folder).select("path").distinct().collect()]
+    # files are grouped by their first line, so that there is one plan for each header, however many files
+    heads = spark.read.text(folder, wholetext=False).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("i"))
+    first = heads.groupBy("path").agg(F.min_by("value", "i").alias("head"))
+    groups = first.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect()
     out = None
-    for f in sorted(files):
-        own = raw.csv(f).withColumn("turn", F.monotonically_increasing_id())
+    for g in groups:
+        own = raw.csv([unquote(x) for x in g.paths]).withColumn("turn", F.monotonically_increasing_id())
         own = own.select("turn", *[F.col(f"`{c}`").alias(c.lower()) for c in own.columns if c != "turn" and c.lower() in {x for v in POST_HEADERS.values() for x in v}])
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return posts_of(out)
