@@ -40,6 +40,7 @@ LOW = 0x5555555555555555  # the lower bit of each segment
 CELL_BITS = 1.5  # of information in a segment's count
 PAIR_COST = 0.2  # of comparing a chance candidate, where dealing out a fingerprint to a cell is 1
 BANDS, ROWS = 24, 5
+BROADCAST_KEYS = 1_000_000
 #: Odd factors that reorder the 64-bit hashes for each minimum.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -165,11 +166,18 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, text_hash long, key long, bands array<long>, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
+def verified(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys) whose shingle sets have a Jaccard similarity of at least ``percent`` in a hundred.
+
+    ``firsts``: for each key the row of ``sets`` that stands for it. Only sets of keys in ``pairs`` leave the scan.
+    """
     pairs = written(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    own = written(sets.select("key", "shingles").join(asked, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("own")), "shingles")
+    asked = written(firsts.join(asked, "key", "left_semi"), "asked")
+    # 24 bytes a key; more of them than that are joined by a shuffle
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+    here = (sets["key"] == asked["key"]) & sets["doc_id"].eqNullSafe(asked["doc_id"]) & sets["text_hash"].eqNullSafe(asked["text_hash"])
+    own = sets.join(asked, here, "left_semi").groupBy("key").agg(F.first("shingles").alias("own"))
     both = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
     shared, sizes = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
     return written(both.where(shared * (100 + percent) >= sizes * percent).select("a", "b"), "verified")
@@ -178,20 +186,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, component for every row of ``docs``: texts are linked whose similarity is at least ``percent`` in a hundred.
 
-    Each cell's members are compared with its smallest; then pairs of a cell that are still in different components.
+    Each text is compared with one that shares a cell, the smallest there is; then with the smallest of each of its other cells;
+    then pairs of a cell are compared. Pairs already in one component, and those whose sizes rule a link out, are left out.
     """
     sets = written(shingle_sets(docs, words), "sets")
-    cells = sets.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.posexplode("bands").alias("band", "cell"))
-    cells = written(cells, "cells")
-    shared = cells.groupBy("band", "cell").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = written(cells.join(shared, ["band", "cell"]).where("key <> least"), "members")
-    links = verified(members.select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), sets, percent)
+    firsts = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"), F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("n"))
+    firsts = written(firsts.select("key", "s.doc_id", "s.text_hash", "bands", "n"), "firsts")
+    ids = firsts.select("key", "doc_id", "text_hash")
+    cells = firsts.select("key", "n", F.posexplode("bands").alias("band", "cell"))
+    shared = cells.groupBy("band", "cell").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
+    members = written(cells.join(shared, ["band", "cell"]).select("band", "cell", "key", "n", "least", "members"), "members")
+
+    def fit(x, y):
+        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+    pairs = members.where((F.col("key") != F.col("least.key")) & fit(F.col("n"), F.col("least.n"))).select(F.col("least.key").alias("a"), F.col("key").alias("b"))
+    links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, ids, percent)
+    roots = written(components(links), "roots")
+    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    other = pairs.distinct().join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    links = links.unionByName(verified(other.select("a", "b"), sets, ids, percent))
     roots = written(components(links), "roots")
-    own = members.where("n > 2").join(roots, members["key"] == roots["node"], "left").select("band", "cell", "key", F.coalesce("root", "key").alias("root"))
+    own = members.where("members > 2").join(roots, members["key"] == roots["node"], "left").select("band", "cell", "key", "n", F.coalesce("root", "key").alias("root"))
     mixed = own.groupBy("band", "cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band", "cell")
     own = written(own.join(mixed, ["band", "cell"]), "mixed")
     a, b = own.alias("a"), own.alias("b")
     apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
-    rest = a.join(b, apart).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    roots = components(links.unionByName(verified(rest, sets, percent)))
+    rest = a.join(b, apart & fit(F.col("a.n"), F.col("b.n"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    roots = components(links.unionByName(verified(rest, sets, ids, percent)))
     return sets.select("doc_id", "text_hash", "key").join(roots, F.col("key") == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("component"))
