@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing needs any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/vigilis/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,7 +99,8 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     if spark.conf.get(BATCH) == "10000":  # Spark's own default; whole texts are long, and workers hold a batch in full
-        spark.conf.set(BATCH, "2000")
+        spark.conf.set(BATCH, "500")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     root = Path(__file__).resolve().parents[2]
     out = Path(tempfile.mkdtemp(prefix="spark-")) / "vigilis.zip"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

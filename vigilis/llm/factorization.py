@@ -32,7 +32,7 @@ BINS = 8
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
-MEMO = 300_000
+MEMO = 100_000
 
 STATISTICS = ["chars", "words", "word_length", "distinct", "top_word", "upper", "digits", "symbols", "bangs", "stops", "lines", "repeated_lines", "line_words", "common_line"]
 

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
-GROUPS = 256
+GROUPS = (256, 4, 1)
 
 
 def first_by_hash(rows: DataFrame, most: int, within: str | None = None) -> DataFrame:
     """Of distinct ``rows`` (doc_id and another column) the first ``most`` ids in the order of a hash, for each value of ``within``.
 
-    Ranked in GROUPS groups first, then among those that are left, so that no task gets more than GROUPS x ``most`` rows of a value;
-    Spark limits groups before the shuffle already, so a value that most rows have is no burden.
+    Ranked in many groups first, then in fewer among those that are left, so that the last step gets 4 x ``most`` rows of a value,
+    whatever the input's size; Spark limits groups before the shuffle already, so a value that most rows have is no burden.
     """
     at, own = F.xxhash64("doc_id"), [within] if within else []
     out = rows.where("doc_id is not null")
-    for first in ([F.pmod(F.xxhash64(at), F.lit(GROUPS))], []):
-        order = Window.partitionBy(*own, *first).orderBy(at, "doc_id")
+    for n in GROUPS:
+        order = Window.partitionBy(*own, *([F.pmod(F.xxhash64(at), F.lit(n))] if n > 1 else [])).orderBy(at, "doc_id")
         out = out.withColumn("__rank", F.dense_rank().over(order)).where(F.col("__rank") <= most).drop("__rank")
     return out.distinct()
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilis.llm.common import need, written
+from vigilis.llm.common import dropped, need, written
 from vigilis.llm.components import components
 from vigilis.llm.held import hold
 from vigilis.llm.tokens import batches
@@ -213,5 +213,9 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     a, b = own.alias("a"), own.alias("b")
     apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
     rest = a.join(b, apart & fit(F.col("a.n"), F.col("b.n"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    roots = components(links.unionByName(verified(rest, sets, ids, percent)))
-    return sets.select("doc_id", "text_hash", "key").join(roots, F.col("key") == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("component"))
+    last = verified(rest, sets, ids, percent)
+    rows = written(sets.select("doc_id", "text_hash", "key"), "rows")
+    # what is left to do needs no shingles
+    dropped(sets, firsts, members, own)
+    roots = components(links.unionByName(last))
+    return rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("component"))

@@ -34,7 +34,7 @@ TOGETHER = 500  # parts that the library encodes in one call
 #: What is kept of a key's two numbers, by its length.
 KEEP_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(KEY + 1)], np.uint64)
 ONLY_HIGH = np.array([(1 << 8 * max(0, n - 8)) - 1 for n in range(KEY + 1)], np.uint64)
-STEP = 1 << 18  # parts that are looked up together
+STEP = 1 << 16  # parts that are looked up together
 
 
 class Memo:
@@ -98,7 +98,7 @@ class Encoder:
     The memo holds at most ``limit`` parts beside those of the batch at work.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 1 << 20):
+    def __init__(self, path: str, spaced: bool, limit: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -186,7 +186,7 @@ class Encoder:
                 else:
                     own = self._part(*self._split(key))
                     if k < 100:
-                        if len(self.long) >= self.limit // 8:
+                        if len(self.long) >= self.limit // 32:
                             self.long.clear()
                         self.long[key] = own
                 first[i], count[i] = at, -1 if own is None else len(own)
@@ -236,7 +236,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return hold(f"encoder {path} {spaced}", lambda: Encoder(path, spaced))
 
 
-def batches(rows: Sequence[str | None], most: int = 4_000_000):
+def batches(rows: Sequence[str | None], most: int = 1_500_000):
     """Slices of ``rows`` of about ``most`` characters, so that a batch of very long texts stays small."""
     at = size = 0
     for i, t in enumerate(rows):
