@@ -99,8 +99,8 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     if spark.conf.get(BATCH) == "10000":  # Spark's own default; whole texts are long, and workers hold a batch in full
-        spark.conf.set(BATCH, "500")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        spark.conf.set(BATCH, "200")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     root = Path(__file__).resolve().parents[2]
     out = Path(tempfile.mkdtemp(prefix="spark-")) / "vigilis.zip"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

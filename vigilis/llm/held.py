@@ -8,12 +8,15 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[str, Any] = {}
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system, where the C library can do that."""
+def give_back() -> None:
+    """Freed memory goes back to the system: Arrow's, and where the C library can do that the rest."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -23,6 +26,7 @@ def hold(key: str, make: Callable[[], Any]) -> Any:
     if key not in _held:
         if _held:
             _held.clear()
-            _give_back()
+            give_back()
         _held[key] = make()
+        give_back()  # what making it has left
     return _held[key]

@@ -38,6 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, sp
         enc = encoder(tokenizer, spaced)
         end = np.array([end_id], enc.dtype).tobytes()
         for page in pages:
+            pa.default_memory_pool().release_unused()
             ids, texts = page.column(0).to_pylist(), page.column(1).to_pylist()
             for part in batches(texts):
                 rows = []

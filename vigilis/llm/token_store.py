@@ -118,6 +118,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
         end = np.array([end_id], enc.dtype).tobytes()
         part, chunk, new = TaskContext.get().partitionId(), 0, None
         for page in pages:
+            pa.default_memory_pool().release_unused()
             ids, texts = page.column(0).to_pylist(), page.column(1).to_pylist()
             for cut in batches(texts):
                 for doc_id, plain in zip(ids[cut], enc.encode(texts[cut]), strict=True):

@@ -236,7 +236,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return hold(f"encoder {path} {spaced}", lambda: Encoder(path, spaced))
 
 
-def batches(rows: Sequence[str | None], most: int = 1_500_000):
+def batches(rows: Sequence[str | None], most: int = 400_000):
     """Slices of ``rows`` of about ``most`` characters, so that a batch of very long texts stays small."""
     at = size = 0
     for i, t in enumerate(rows):
