@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_: each operator over its whole table, with production parameters."""
+"""The queries op1_ to op13_: each operator over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilis.llm import decontaminate, factorization, langid, line_rules, packing, sharding, simhash, span_dedup, token_store, toxicity
+from vigilis.llm import (
+    decontaminate, factorization, langid, line_rules, packing, partenum, sharding, simhash, span_dedup, spelling, token_store, toxicity,
+)
 from vigilis.llm.common import crc32_text, fold_of, table
 from vigilis.llm.sql import ORACLES
 
@@ -98,9 +100,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("edits"))
 
 
+def op12_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of three-word shingles are alike to 90 in a hundred."""
+    return partenum.similar_sets(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots."""
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 OPERATORS = (
     op1_reshard, op2_toxicity, op3_quality, op4_token_files, op5_near_duplicates,
     op6_language, op7_line_frequency, op8_pack, op9_repeated_spans, op10_decontaminate,
+    op12_similar_sets, op13_spelling_variants,
 )
 
 
