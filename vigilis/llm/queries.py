@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilis.llm import (
-    decontaminate, factorization, langid, line_rules, packing, partenum, sharding, simhash, span_dedup, spelling, token_store, toxicity,
+    alignment, decontaminate, factorization, langid, line_rules, packing, partenum, sharding, simhash, span_dedup, spelling, token_store, toxicity,
 )
 from vigilis.llm.common import crc32_text, fold_of, table
 from vigilis.llm.sql import ORACLES
@@ -100,6 +100,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("edits"))
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two public tokenizers' tokens over all documents, with corpus-wide counts of linked pairs."""
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op12_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of three-word shingles are alike to 90 in a hundred."""
     return partenum.similar_sets(table(spark, sf_dir, "documents"), words=3, percent=90)
@@ -114,7 +119,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_reshard, op2_toxicity, op3_quality, op4_token_files, op5_near_duplicates,
     op6_language, op7_line_frequency, op8_pack, op9_repeated_spans, op10_decontaminate,
-    op12_similar_sets, op13_spelling_variants,
+    op11_align_tokens, op12_similar_sets, op13_spelling_variants,
 )
 
 
