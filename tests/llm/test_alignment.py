@@ -95,16 +95,18 @@ def test_odd_rows(spark, monkeypatch):
     assert found(docs.limit(0)) == []
 
 
-def test_parts_are_the_whole_text(spark):
-    """The memo's parts give what the libraries give for the whole text."""
+def test_parts_are_the_whole_text(spark, monkeypatch):
+    """The memo's parts give what the libraries give for the whole text, also where the memo is far too small."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
     own = alignment.Aligner(path(A), path(B))
-    rows = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()
-    for r in rows:
-        whole = own.align(" " + r.text, own.b.encode(r.text))
-        parts = own.text(r.text)
-        assert len(parts) > 1
-        assert ";".join(p.groups for p in parts) == whole.groups
-        assert [x for p in parts for x in p.pairs] == list(whole.pairs)
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    for at in (slice(0, 30), slice(30, 60), slice(0, 60)):
+        cut, found = own.texts(texts[at])
+        for t, parts in zip(texts[at], cut, strict=True):
+            whole = own.alone(t)
+            assert len(parts) > 1
+            assert ";".join(found[k].groups for k in parts) == whole.groups
+            assert [x for k in parts for x in found[k].pairs] == list(whole.pairs)
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 20_000])

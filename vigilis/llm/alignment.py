@@ -11,7 +11,7 @@ there are at most as many distinct pairs as the two vocabularies have suffixes,
 the vectors and what is broadcast.
 
 Between words neither tokenizer has a token: a single space or line feed between two other visible characters begins a part
-whose tokens and groups are its own. Parts are aligned once and remembered in a memo of bounded size; texts for which the rule
+whose tokens and groups are its own, and so do signs such as a comma behind a word. Parts are aligned once and remembered in a memo of bounded size; texts for which the rule
 can't be shown to hold (odd white space, characters outside Latin scripts) are aligned whole.
 
 Defined results: texts that are null, empty or whose tokens don't spell a space and the text have no tokens, and zeros; null ids are
@@ -25,6 +25,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,12 @@ from vigilis.llm.tokens import batches
 BREAK = re.compile("(?<=[!-~¡-¬®-ɏ])(?=[ \n][!-~¡-¬®-ɏ])")
 #: Texts whose parts stand alone: those, tabs and white space that the break leaves inside a part.
 SIMPLE = re.compile("[\t\n !-~¡-¬®-ɏ]*")
-REMEMBERED, LONGEST = 1 << 17, 64
+#: Parts of each of the memo's two generations, length up to which a part is remembered, characters of parts that are encoded in one call.
+REMEMBERED, LONGEST, TOGETHER = 1 << 18, 64, 4000
+#: Stands before the parts of a call, and before signs.
+FIRST = " a"
+BREAKS = " \n\t"
+SIGNS = ".,;:!?"
 #: Keys of a bucket, entries of a slice, vectors that are summed in one task.
 BUCKET, SLICE, FAN_IN = 1 << 15, 1 << 14, 16
 B_BITS = 32
@@ -63,6 +69,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+NOTHING = Aligned(0, 0, "", ())
+
+
+def parts_of(text: str, signs: str) -> list[str]:
+    """``text`` behind a space, cut at its breaks and before ``signs`` that follow a letter and end a word."""
+    if "\t" in text or "  " in text or " \n" in text or "\n " in text or text[-1] in " \n":
+        return BREAK.split(" " + text)
+    parts = []
+    for word in text.split(" "):
+        for part in BREAK.split(" " + word) if "\n" in word else (" " + word,):
+            if part[-1] in signs and (core := part.rstrip(signs))[-1:].isalpha():
+                parts.append(core)
+                parts.append(part[len(core) :])
+            else:
+                parts.append(part)
+    return parts
+
+
 class Aligner:
     """Both tokenizers and the memo of parts; one for each worker."""
 
@@ -78,56 +102,113 @@ class Aligner:
         self.bytes_a = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # what the memo rests on: no piece goes on behind a space or over a line feed
-        self.apart = not any(re.search("[^▁]▁|\n", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.lone = self.b.piece_to_id("▁")
+        # what the memo rests on: no piece goes on behind a space, over a line feed, or from a letter to a sign
+        own = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
+        self.apart = not any(re.search("[^▁]▁|\n", p) for p in own)
+        self.signs = SIGNS if not any(x.isalpha() and y in SIGNS for p in own for x, y in zip(p, p[1:], strict=False)) else ""
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 2)])
+        self.size_b = np.array(list(map(len, self.bytes_b)))
         self.memo: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}
 
-    def align(self, spaced: str, ids_b: list[int]) -> Aligned | None:
-        """Of text ``spaced`` and its tokens by B; None where a tokenizer doesn't spell it."""
-        ids_a = self.a.encode(spaced, add_special_tokens=False).ids
-        own_a, own_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
+    def align(self, spaced: str, ends: np.ndarray, said: bool) -> list[Aligned] | None:
+        """``spaced`` in parts that end at ``ends`` (bytes); None where a tokenizer doesn't spell it. ``said``: with the groups in text."""
+        ids_a, ids_b = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:])
         whole = spaced.encode()
-        if b"".join(own_a) != whole or b"".join(own_b) != whole:
+        if b"".join([self.bytes_a.get(i, b"") for i in ids_a]) != whole or b"".join([self.bytes_b[i] for i in ids_b]) != whole:
             return None
-        ends_a, ends_b = np.cumsum(list(map(len, own_a))), np.cumsum(list(map(len, own_b)))
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, return_indices=True)
-        groups, pairs, i, j = [], [], 0, 0
-        for x, y in zip(last_a.tolist(), last_b.tolist(), strict=True):
-            groups.append(f"{','.join(map(str, ids_a[i : x + 1]))}|{','.join(map(str, ids_b[j : y + 1]))}")
-            pairs.append(ids_a[x] << B_BITS | ids_b[y])
-            i, j = x + 1, y + 1
-        return Aligned(len(ids_a), len(ids_b), ";".join(groups), tuple(pairs))
-
-    def part(self, part: str) -> Aligned | None:
-        """Of a part that begins with a space or a line feed."""
-        if part in self.memo:
-            return self.memo[part]
-        if part[0] == " ":
-            own = self.align(part, self.b.encode(part[1:]))
-        else:  # B would put a space before it: a piece of its own, as none goes on to a line feed
-            ids = self.b.encode(part)
-            own = self.align(part, ids[1:]) if ids[0] == self.lone else None
-        if len(part) <= LONGEST:
-            if len(self.memo) >= REMEMBERED:
-                self.memo.clear()
-            self.memo[part] = own
-        return own
-
-    def text(self, text: str | None) -> list[Aligned]:
-        """A text's parts in order; none if it has no tokens."""
-        if not text:
-            return []
-        if self.apart and SIMPLE.fullmatch(text) and text[0] not in " \n\t":
-            parts = BREAK.split(" " + text)
-            found = [self.part(p) for p in parts]
+        a, b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = np.cumsum(self.size_a[np.minimum(a, len(self.size_a) - 1)]), np.cumsum(self.size_b[b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
+        pairs = (a[last_a] << B_BITS | b[last_b]).tolist()
+        at = np.searchsorted(both, ends, "right").tolist()
+        n_a, n_b = np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right")
+        many_a, many_b = np.diff(n_a, prepend=0).tolist(), np.diff(n_b, prepend=0).tolist()
+        if not said:
+            return [Aligned(x, y, "", tuple(pairs[i:j])) for x, y, i, j in zip(many_a, many_b, [0, *at], at, strict=False)]
+        # every token with the sign that follows it, A's of a group and then B's
+        marks_a, marks_b = [","] * len(ids_a), [","] * len(ids_b)
+        for x in last_a.tolist():
+            marks_a[x] = "|"
+        for y in last_b.tolist():
+            marks_b[y] = ";"
+        first_a, first_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
+        text_a, text_b = [f"{x}{m}" for x, m in zip(ids_a, marks_a, strict=True)], [f"{y}{m}" for y, m in zip(ids_b, marks_b, strict=True)]
+        groups = ["".join(text_a[i:j]) + "".join(text_b[k:m]) for i, j, k, m in zip(first_a, first_a[1:], first_b, first_b[1:], strict=False)]
+        return [Aligned(x, y, "".join(groups[i:j])[:-1], tuple(pairs[i:j])) for x, y, i, j in zip(many_a, many_b, [0, *at], at, strict=False)]
+
+    def alone(self, text: str, said: bool = True) -> Aligned | None:
+        """A whole text behind a space."""
+        found = self.align(" " + text, np.array([len(text.encode()) + 1]), said)
+        return found and found[0]
+
+    def learn(self, parts: list[str], said: bool) -> None:
+        """Aligns parts, many in one call: one behind another they keep their tokens, as each begins with a break. Signs follow a word."""
+        joined = [p if p[0] in BREAKS else FIRST + p for p in parts]
+        sizes = np.array([len(p.encode()) for p in parts])
+        before = np.array([len(p) - len(own) for p, own in zip(joined, parts, strict=True)])
+        ends = len(FIRST) + np.cumsum(sizes + before)
+        cuts = np.stack([ends - sizes, ends], axis=1).ravel()
+        found = self.align(FIRST + "".join(joined), cuts, said)
+        if found is not None:
+            self.memo.update(zip(parts, found[1::2], strict=True))
+        elif len(parts) == 1:
+            self.memo[parts[0]] = None
         else:
-            found = [self.align(" " + text, self.b.encode(text))]
-        return [] if None in found else found
-
-
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return hold(f"aligner {path_a} {path_b}", lambda: Aligner(path_a, path_b))
+            self.learn(parts[: len(parts) // 2], said)
+            self.learn(parts[len(parts) // 2 :], said)
+
+    def all_aligned(self, parts: list[str], said: bool) -> list[Aligned | None]:
+        """Of distinct ``parts``; what is new is remembered, and what wasn't asked for of late is forgotten."""
+        if len(self.memo) >= REMEMBERED:
+            self.memo, self.older = {}, self.memo
+        new, size = [], 0
+        for part in parts:
+            if part not in self.memo:
+                if part in self.older:
+                    self.memo[part] = self.older[part]
+                elif part[-1] in BREAKS:  # white space would run into the next part's
+                    self.learn([part], said)
+                else:
+                    new.append(part)
+                    size += len(part)
+                    if size >= TOGETHER:
+                        self.learn(new, said)
+                        new, size = [], 0
+        if new:
+            self.learn(new, said)
+        out = [self.memo[p] for p in parts]
+        for part in [p for p in parts if len(p) > LONGEST]:
+            del self.memo[part]
+        return out
+
+    def texts(self, texts: list[str | None], said: bool = True) -> tuple[list[list[int]], list[Aligned]]:
+        """For each text the numbers of its parts in order (none if it has no tokens), and the distinct parts."""
+        index: dict[str, int] = {}
+        cut: list[list[int]] = []
+        whole = []
+        for n, t in enumerate(texts):
+            if t and self.apart and SIMPLE.fullmatch(t) and t[0] not in BREAKS:
+                cut.append([index.setdefault(p, len(index)) for p in parts_of(t, self.signs)])
+            else:
+                cut.append([])
+                if t:
+                    whole.append(n)
+        found = self.all_aligned(list(index), said)
+        lost = {n for n, own in enumerate(found) if own is None}
+        if lost:
+            cut = [[] if lost.intersection(own) else own for own in cut]
+        for n in whole:
+            if (own := self.alone(texts[n], said)) is not None:
+                cut[n] = [len(found)]
+                found.append(own)
+        return cut, [own or NOTHING for own in found]
+
+
+def aligner(path_a: str, path_b: str, said: bool) -> Aligner:
+    """One for each worker and kind of pass, as the memo of the first has no groups in text."""
+    return hold(f"aligner {path_a} {path_b} {said}", lambda: Aligner(path_a, path_b))
 
 
 def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -136,13 +217,16 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, task = aligner(path_a, path_b), TaskContext.get().partitionId()
+        own, task = aligner(path_a, path_b, False), TaskContext.get().partitionId()
         total_keys, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for page in pages:
             texts = page.column(0).to_pylist()
             for at in batches(texts):
-                pairs = [p for t in texts[at] for part in own.text(t) for p in part.pairs]
-                keys, n = np.unique(np.array(pairs, np.int64), return_counts=True)
+                cut, found = own.texts(texts[at], said=False)
+                times = np.bincount(np.fromiter(chain.from_iterable(cut), np.int64), minlength=len(found))
+                keys = np.fromiter(chain.from_iterable(part.pairs for part in found), np.int64)
+                n = np.repeat(times, [len(part.pairs) for part in found])
+                keys, n = keys[n > 0], n[n > 0]
                 total_keys, back = np.unique(np.concatenate([total_keys, keys]), return_inverse=True)
                 total = np.bincount(back, np.concatenate([total, n]), len(total_keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), task, np.int32)), pa.array(total_keys), pa.array(total)], ["task", "pair", "n"])
@@ -231,25 +315,39 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((hashed, n, n == highest[ids_b]))
 
     def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (at_of, counted, best) = aligner(path_a, path_b), shared.value
+        own, (at_of, counted, best) = aligner(path_a, path_b, True), shared.value
         for page in pages:
             ids, texts = page.column(0).to_pylist(), page.column(1).to_pylist()
             for at in batches(texts):
-                found = [own.text(t) for t in texts[at]]
-                links = [[p for part in parts for p in part.pairs] for parts in found]
-                index = at_of.index(np.array([p for own_links in links for p in own_links], np.int64))
-                if (index < 0).any():
+                cut, found = own.texts(texts[at])
+                used = np.zeros(len(found), bool)
+                order = np.fromiter(chain.from_iterable(cut), np.int64)
+                used[order] = True
+                index = at_of.index(np.fromiter(chain.from_iterable(p.pairs for p in found), np.int64))
+                sizes = np.array([len(p.pairs) for p in found], np.int64)
+                if (index[np.repeat(used, sizes)] < 0).any():
                     raise ValueError("a pair that the first pass hasn't met")
-                edges = np.cumsum([0, *map(len, links)])
-                sums = np.concatenate([[0], np.cumsum(counted[index])])
-                bests = np.concatenate([[0], np.cumsum(best[index])])
-                n_links = np.diff(edges)
-                digests = [hashlib.sha256(";".join(part.groups for part in parts).encode()).hexdigest() if parts else "" for parts in found]
+                edges, ends = np.cumsum([0, *map(len, cut)]), np.cumsum([0, *sizes])
+
+                def by_text(of_parts, order=order, edges=edges):
+                    sums = np.concatenate([[0], np.cumsum(np.asarray(of_parts, np.int64)[order])])
+                    return pa.array(sums[edges[1:]] - sums[edges[:-1]], pa.int64())
+
+                def by_part(of_links, ends=ends):
+                    sums = np.concatenate([[0], np.cumsum(of_links, dtype=np.int64)])
+                    return sums[ends[1:]] - sums[ends[:-1]]
+
+                said = [p.groups for p in found]
+                digests = [hashlib.sha256(";".join([said[k] for k in parts]).encode()).hexdigest() if parts else "" for parts in cut]
+                known = np.maximum(index, 0)
                 columns = [
                     pa.array(ids[at], pa.int64()),
-                    pa.array([sum(part.n_a for part in parts) for parts in found], pa.int64()),
-                    pa.array([sum(part.n_b for part in parts) for parts in found], pa.int64()),
-                    *[pa.array(x, pa.int64()) for x in (n_links, n_links, bests[edges[1:]] - bests[edges[:-1]], sums[edges[1:]] - sums[edges[:-1]])],
+                    by_text([p.n_a for p in found]),
+                    by_text([p.n_b for p in found]),
+                    by_text(sizes),
+                    by_text(sizes),
+                    by_text(by_part(best[known] if len(best) else known)),
+                    by_text(by_part(counted[known] if len(counted) else known)),
                     pa.array(digests),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
