@@ -98,15 +98,11 @@ def test_odd_rows(spark, monkeypatch):
 def test_parts_are_the_whole_text(spark, monkeypatch):
     """The memo's parts give what the libraries give for the whole text, also where the memo is far too small."""
     monkeypatch.setattr(alignment, "REMEMBERED", 50)
-    own = alignment.Aligner(path(A), path(B))
+    own = alignment.Encoder(path(A), path(B))
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
-    for at in (slice(0, 30), slice(30, 60), slice(0, 60)):
-        cut, found = own.texts(texts[at])
-        for t, parts in zip(texts[at], cut, strict=True):
-            whole = own.alone(t)
-            assert len(parts) > 1
-            assert ";".join(found[k].groups for k in parts) == whole.groups
-            assert [x for k in parts for x in found[k].pairs] == list(whole.pairs)
+    texts += ["it's 1,234.5 or a.b, e.g.; x?! (y). \"z\", w", "end.\nStart, so: 5; 6", "tail ", "tail\n", "a, b\nc", "odd .\n.x ,y"]
+    for at in (slice(0, 30), slice(30, 70), slice(0, 70)):
+        assert own.encode(texts[at]) == [own.whole(t) for t in texts[at]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 20_000])

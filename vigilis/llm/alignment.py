@@ -4,15 +4,15 @@ Tokenizer A (byte-level BPE) encodes a space and the text, tokenizer B (pieces w
 space. Both give tokens with byte ranges; offsets where tokens of both end cut them into groups, and the last tokens of a
 group are a link. No token is empty, so a group has exactly one link.
 
-The first pass aligns all documents and counts each task's links by pair. The distinct pairs get a minimal perfect hash; each
-task's counts become a dense vector over it, the vectors are summed in a tree of bounded fan-in, and the second pass aligns the
-documents again and looks every link up, by index and verified key. A pair's shorter token is a suffix of the longer one, so
+Documents are encoded once and their ids written. The first pass aligns them and counts each task's links by pair. The distinct
+pairs get a minimal perfect hash; each task's counts become a dense vector over it, the vectors are summed in a tree of bounded
+fan-in, and the second pass aligns the documents again and looks every link up, by index and verified key. A pair's shorter token is a suffix of the longer one, so
 there are at most as many distinct pairs as the two vocabularies have suffixes, however large the corpus: that bounds the hash,
 the vectors and what is broadcast.
 
 Between words neither tokenizer has a token: a single space or line feed between two other visible characters begins a part
-whose tokens and groups are its own, and so do signs such as a comma behind a word. Parts are aligned once and remembered in a memo of bounded size; texts for which the rule
-can't be shown to hold (odd white space, characters outside Latin scripts) are aligned whole.
+whose tokens are its own, and so do signs such as a comma behind a word. Parts are encoded once and remembered in a memo of
+bounded size; texts for which the rule can't be shown to hold (characters outside Latin scripts) are encoded whole.
 
 Defined results: texts that are null, empty or whose tokens don't spell a space and the text have no tokens, and zeros; null ids are
 kept; repeated rows count again; an empty table gives no rows; further columns are ignored.
@@ -20,12 +20,11 @@ kept; repeated rows count again; an empty table gives no rows; further columns a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -43,23 +42,18 @@ BREAK = re.compile("(?<=[!-~¡-¬®-ɏ])(?=[ \n][!-~¡-¬®-ɏ])")
 #: Texts whose parts stand alone: those, tabs and white space that the break leaves inside a part.
 SIMPLE = re.compile("[\t\n !-~¡-¬®-ɏ]*")
 #: Parts of each of the memo's two generations, length up to which a part is remembered, characters of parts that are encoded in one call.
-REMEMBERED, LONGEST, TOGETHER = 1 << 18, 64, 4000
+REMEMBERED, LONGEST, TOGETHER = 1 << 19, 64, 4000
 #: Stands before the parts of a call, and before signs.
 FIRST = " a"
 BREAKS = " \n\t"
 SIGNS = ".,;:!?"
+#: Words behind a break, and signs; signs that don't stand between a letter or digit and a break.
+WORDS = re.compile(f"[ \n][^ \n{SIGNS}]+|[{SIGNS}]+")
+INNER = re.compile(f"(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ{SIGNS}])[{SIGNS}]|[{SIGNS}](?![ \n{SIGNS}]|$)")
 #: Keys of a bucket, entries of a slice, vectors that are summed in one task.
 BUCKET, SLICE, FAN_IN = 1 << 15, 1 << 14, 16
 B_BITS = 32
-
-
-class Aligned(NamedTuple):
-    """A part's numbers of tokens, its groups in text, and its links' pairs (a << 32 | b)."""
-
-    n_a: int
-    n_b: int
-    groups: str
-    pairs: tuple[int, ...]
+NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,26 +63,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-NOTHING = Aligned(0, 0, "", ())
-
-
-def parts_of(text: str, signs: str) -> list[str]:
-    """``text`` behind a space, cut at its breaks and before ``signs`` that follow a letter and end a word."""
-    if "\t" in text or "  " in text or " \n" in text or "\n " in text or text[-1] in " \n":
+def parts_of(text: str, signs: bool) -> list[str]:
+    """``text`` behind a space, cut at its breaks and, with ``signs``, before SIGNS that follow a letter or digit and end a word."""
+    if "\t" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in BREAKS:
         return BREAK.split(" " + text)
-    parts = []
-    for word in text.split(" "):
-        for part in BREAK.split(" " + word) if "\n" in word else (" " + word,):
-            if part[-1] in signs and (core := part.rstrip(signs))[-1:].isalpha():
-                parts.append(core)
-                parts.append(part[len(core) :])
-            else:
-                parts.append(part)
-    return parts
+    if signs and not INNER.search(text):
+        return WORDS.findall(" " + text)
+    return [part for word in text.split(" ") for part in (BREAK.split(" " + word) if "\n" in word else (" " + word,))]
 
 
-class Aligner:
-    """Both tokenizers and the memo of parts; one for each worker."""
+class Vocabularies:
+    """Both tokenizers, and the bytes of their tokens by id."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -99,139 +84,206 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        own = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [own.get(i, b"") for i in range(self.a.get_vocab_size())]
+        self.pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.pieces)]
+        self.size_a, self.size_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        #: Of ids as they are written.
+        self.dtype = np.dtype("<u2") if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else np.dtype("<u4")
+
+
+Ids = tuple[bytes, bytes]
+NO_IDS: Ids = (b"", b"")
+
+
+class Encoder(Vocabularies):
+    """``encode(texts)``: both tokenizers' ids of each text, and a memo of parts."""
+
+    def __init__(self, path_a: str, path_b: str):
+        super().__init__(path_a, path_b)
         # what the memo rests on: no piece goes on behind a space, over a line feed, or from a letter to a sign
-        own = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
+        own = [p for i, p in enumerate(self.pieces) if not self.b.is_byte(i)]
         self.apart = not any(re.search("[^▁]▁|\n", p) for p in own)
-        self.signs = SIGNS if not any(x.isalpha() and y in SIGNS for p in own for x, y in zip(p, p[1:], strict=False)) else ""
-        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 2)])
-        self.size_b = np.array(list(map(len, self.bytes_b)))
-        self.memo: dict[str, Aligned | None] = {}
-        self.older: dict[str, Aligned | None] = {}
-
-    def align(self, spaced: str, ends: np.ndarray, said: bool) -> list[Aligned] | None:
-        """``spaced`` in parts that end at ``ends`` (bytes); None where a tokenizer doesn't spell it. ``said``: with the groups in text."""
-        ids_a, ids_b = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:])
-        whole = spaced.encode()
-        if b"".join([self.bytes_a.get(i, b"") for i in ids_a]) != whole or b"".join([self.bytes_b[i] for i in ids_b]) != whole:
+        self.signs = not any(re.search(f"[0-9A-Za-zÀ-ÖØ-öø-ɏ][{SIGNS}]", p) for p in own)
+        gc.disable()  # else it goes through the whole memo again and again; the memo has no cycles
+        self.memo: dict[str, Ids | None] = {}
+        self.older: dict[str, Ids | None] = {}
+
+    def spelled(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of ``text``, which begins with a space; None where a tokenizer's tokens aren't the text."""
+        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        whole = text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
             return None
-        a, b = np.array(ids_a), np.array(ids_b)
-        ends_a, ends_b = np.cumsum(self.size_a[np.minimum(a, len(self.size_a) - 1)]), np.cumsum(self.size_b[b])
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
-        pairs = (a[last_a] << B_BITS | b[last_b]).tolist()
-        at = np.searchsorted(both, ends, "right").tolist()
-        n_a, n_b = np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right")
-        many_a, many_b = np.diff(n_a, prepend=0).tolist(), np.diff(n_b, prepend=0).tolist()
-        if not said:
-            return [Aligned(x, y, "", tuple(pairs[i:j])) for x, y, i, j in zip(many_a, many_b, [0, *at], at, strict=False)]
-        # every token with the sign that follows it, A's of a group and then B's
-        marks_a, marks_b = [","] * len(ids_a), [","] * len(ids_b)
-        for x in last_a.tolist():
-            marks_a[x] = "|"
-        for y in last_b.tolist():
-            marks_b[y] = ";"
-        first_a, first_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
-        text_a, text_b = [f"{x}{m}" for x, m in zip(ids_a, marks_a, strict=True)], [f"{y}{m}" for y, m in zip(ids_b, marks_b, strict=True)]
-        groups = ["".join(text_a[i:j]) + "".join(text_b[k:m]) for i, j, k, m in zip(first_a, first_a[1:], first_b, first_b[1:], strict=False)]
-        return [Aligned(x, y, "".join(groups[i:j])[:-1], tuple(pairs[i:j])) for x, y, i, j in zip(many_a, many_b, [0, *at], at, strict=False)]
-
-    def alone(self, text: str, said: bool = True) -> Aligned | None:
-        """A whole text behind a space."""
-        found = self.align(" " + text, np.array([len(text.encode()) + 1]), said)
-        return found and found[0]
-
-    def learn(self, parts: list[str], said: bool) -> None:
-        """Aligns parts, many in one call: one behind another they keep their tokens, as each begins with a break. Signs follow a word."""
-        joined = [p if p[0] in BREAKS else FIRST + p for p in parts]
-        sizes = np.array([len(p.encode()) for p in parts])
-        before = np.array([len(p) - len(own) for p, own in zip(joined, parts, strict=True)])
-        ends = len(FIRST) + np.cumsum(sizes + before)
-        cuts = np.stack([ends - sizes, ends], axis=1).ravel()
-        found = self.align(FIRST + "".join(joined), cuts, said)
+        return np.array(ids_a, self.dtype), np.array(ids_b, self.dtype)
+
+    def whole(self, text: str) -> Ids | None:
+        found = self.spelled(" " + text)
+        return found and (found[0].tobytes(), found[1].tobytes())
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes parts, many in one call: one behind another they keep their tokens, as each begins with a break. Signs follow a word."""
+        joined, ends, kept, end = [FIRST], [len(FIRST)], [], len(FIRST)
+        for p in parts:
+            if p[0] not in BREAKS:
+                joined.append(FIRST)
+                end += len(FIRST)
+                ends.append(end)
+            joined.append(p)
+            end += len(p) if p.isascii() else len(p.encode())
+            kept.append(len(ends))
+            ends.append(end)
+        found = self.spelled("".join(joined))
         if found is not None:
-            self.memo.update(zip(parts, found[1::2], strict=True))
+            a, b = found
+            at_a = (np.searchsorted(np.cumsum(self.size_a[a]), ends, "right") * self.dtype.itemsize).tolist()
+            at_b = (np.searchsorted(np.cumsum(self.size_b[b]), ends, "right") * self.dtype.itemsize).tolist()
+            a, b = a.tobytes(), b.tobytes()
+            for p, k in zip(parts, kept, strict=True):
+                self.memo[p] = (a[at_a[k - 1] : at_a[k]], b[at_b[k - 1] : at_b[k]])
         elif len(parts) == 1:
             self.memo[parts[0]] = None
         else:
-            self.learn(parts[: len(parts) // 2], said)
-            self.learn(parts[len(parts) // 2 :], said)
+            self.learn(parts[: len(parts) // 2])
+            self.learn(parts[len(parts) // 2 :])
 
-    def all_aligned(self, parts: list[str], said: bool) -> list[Aligned | None]:
+    def all_parts(self, parts: list[str]) -> list[Ids | None]:
         """Of distinct ``parts``; what is new is remembered, and what wasn't asked for of late is forgotten."""
         if len(self.memo) >= REMEMBERED:
             self.memo, self.older = {}, self.memo
-        new, size = [], 0
+            gc.collect()
+        memo, new, size = self.memo, [], 0
         for part in parts:
-            if part not in self.memo:
+            if part not in memo:
                 if part in self.older:
-                    self.memo[part] = self.older[part]
+                    memo[part] = self.older[part]
                 elif part[-1] in BREAKS:  # white space would run into the next part's
-                    self.learn([part], said)
+                    self.learn([part])
                 else:
                     new.append(part)
                     size += len(part)
                     if size >= TOGETHER:
-                        self.learn(new, said)
+                        self.learn(new)
                         new, size = [], 0
         if new:
-            self.learn(new, said)
-        out = [self.memo[p] for p in parts]
+            self.learn(new)
+        out = [memo[p] for p in parts]
         for part in [p for p in parts if len(p) > LONGEST]:
-            del self.memo[part]
+            del memo[part]
         return out
 
-    def texts(self, texts: list[str | None], said: bool = True) -> tuple[list[list[int]], list[Aligned]]:
-        """For each text the numbers of its parts in order (none if it has no tokens), and the distinct parts."""
+    def encode(self, texts: list[str | None]) -> list[Ids]:
+        """Ids of each text by A and B; none where it has no tokens."""
         index: dict[str, int] = {}
-        cut: list[list[int]] = []
-        whole = []
-        for n, t in enumerate(texts):
-            if t and self.apart and SIMPLE.fullmatch(t) and t[0] not in BREAKS:
-                cut.append([index.setdefault(p, len(index)) for p in parts_of(t, self.signs)])
-            else:
-                cut.append([])
-                if t:
-                    whole.append(n)
-        found = self.all_aligned(list(index), said)
+        cut: list[list[int] | None] = []
+        for t in texts:
+            simple = t and self.apart and t[0] not in BREAKS and SIMPLE.fullmatch(t)
+            cut.append([index.setdefault(p, len(index)) for p in parts_of(t, self.signs)] if simple else None)
+        found = self.all_parts(list(index))
         lost = {n for n, own in enumerate(found) if own is None}
-        if lost:
-            cut = [[] if lost.intersection(own) else own for own in cut]
-        for n in whole:
-            if (own := self.alone(texts[n], said)) is not None:
-                cut[n] = [len(found)]
-                found.append(own)
-        return cut, [own or NOTHING for own in found]
-
+        a, b = [own and own[0] for own in found], [own and own[1] for own in found]
+        out = []
+        for t, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(t and self.whole(t) or NO_IDS)
+            elif lost and lost.intersection(parts):
+                out.append(NO_IDS)
+            else:
+                out.append((b"".join([a[k] for k in parts]), b"".join([b[k] for k in parts])))
+        return out
 
-def aligner(path_a: str, path_b: str, said: bool) -> Aligner:
-    """One for each worker and kind of pass, as the memo of the first has no groups in text."""
-    return hold(f"aligner {path_a} {path_b} {said}", lambda: Aligner(path_a, path_b))
 
+class Aligner(Vocabularies):
+    """Aligns ids of a batch of documents, by arrays."""
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """task, pair, n: the links of each task's documents by pair."""
+    def __init__(self, path_a: str, path_b: str):
+        super().__init__(path_a, path_b)
+        self.first_b = 2 * len(self.bytes_a)
+        said = [f"{i}{m}" for i in range(len(self.bytes_a)) for m in ",|"] + [f"{i}{m}" for i in range(len(self.bytes_b)) for m in ",;"]
+        #: Ids in text with the sign behind them: 2 · id, and one more where the token ends a group; B's behind A's.
+        self.said = np.array(said, object)
+
+    def align(self, all_a: list[bytes], all_b: list[bytes]) -> Alignment:
+        """As A's and B's tokens of a document have the same bytes, so have those of all documents one behind another."""
+        a, b = (np.frombuffer(b"".join(x), self.dtype).astype(np.int64) for x in (all_a, all_b))
+        edges_a, edges_b = (np.cumsum([0, *map(len, x)]) // self.dtype.itemsize for x in (all_a, all_b))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        size = int(ends_a[-1]) + 1 if len(a) else 1
+        in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+        in_a[ends_a], in_b[ends_b] = True, True
+        return Alignment(a, b, edges_a, edges_b, in_b[ends_a], in_a[ends_b])
+
+    def digests(self, own: Alignment) -> list[str]:
+        """Hashes of the documents' groups in text."""
+        last_a, last_b = np.flatnonzero(own.last_a), np.flatnonzero(own.last_b)
+        group_a, group_b = np.cumsum(own.last_a) - own.last_a, np.cumsum(own.last_b) - own.last_b
+        codes = np.empty(len(own.a) + len(own.b), np.int64)
+        codes[np.arange(len(own.a)) + np.concatenate([[0], last_b + 1])[group_a]] = 2 * own.a + own.last_a
+        codes[np.arange(len(own.b)) + np.concatenate([last_a + 1, [0]])[group_b]] = self.first_b + 2 * own.b + own.last_b
+        edges = (own.edges_a + own.edges_b).tolist()
+        return [hashlib.sha256("".join(self.said[codes[i:j]].tolist())[:-1].encode()).hexdigest() if i < j else "" for i, j in zip(edges, edges[1:], strict=False)]
+
+
+class Alignment(NamedTuple):
+    """A batch's ids, where each document's begin, and which tokens end a group."""
+
+    a: np.ndarray
+    b: np.ndarray
+    edges_a: np.ndarray
+    edges_b: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return self.a[self.last_a] << B_BITS | self.b[self.last_b]
+
+    @property
+    def edges(self) -> np.ndarray:
+        """Where each document's links begin."""
+        return np.concatenate([[0], np.cumsum(self.last_a)])[self.edges_a]
+
+
+def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """doc_id, ids_a, ids_b (binary) for every row of ``docs`` (doc_id, text)."""
 
     def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, task = aligner(path_a, path_b, False), TaskContext.get().partitionId()
-        total_keys, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = hold(f"encoder {path_a} {path_b}", lambda: Encoder(path_a, path_b))
         for page in pages:
-            texts = page.column(0).to_pylist()
+            texts = page.column(1).to_pylist()
             for at in batches(texts):
-                cut, found = own.texts(texts[at], said=False)
-                times = np.bincount(np.fromiter(chain.from_iterable(cut), np.int64), minlength=len(found))
-                keys = np.fromiter(chain.from_iterable(part.pairs for part in found), np.int64)
-                n = np.repeat(times, [len(part.pairs) for part in found])
-                keys, n = keys[n > 0], n[n > 0]
-                total_keys, back = np.unique(np.concatenate([total_keys, keys]), return_inverse=True)
-                total = np.bincount(back, np.concatenate([total, n]), len(total_keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), task, np.int32)), pa.array(total_keys), pa.array(total)], ["task", "pair", "n"])
+                found = own.encode(texts[at])
+                ids = page.column(0).slice(at.start, at.stop - at.start)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "ids_a", "ids_b"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids_a binary, ids_b binary")
+
+
+def aligned(pages: Iterator[pa.RecordBatch], own: Aligner) -> Iterator[tuple[pa.Array, Alignment]]:
+    """doc_ids and alignments of batches (doc_id, ids_a, ids_b) of bounded size."""
+    for page in pages:
+        all_a, all_b = page.column(1).to_pylist(), page.column(2).to_pylist()
+        for at in batches(all_a, 1_000_000):
+            yield page.column(0).slice(at.start, at.stop - at.start), own.align(all_a[at], all_b[at])
+
 
-    return docs.select("text").mapInArrow(run, "task int, pair long, n long")
+def aligner(path_a: str, path_b: str) -> Aligner:
+    return hold(f"aligner {path_a} {path_b}", lambda: Aligner(path_a, path_b))
+
+
+def pair_counts(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """pair, n: the links of each task's documents by pair; ``ids``: doc_id, ids_a, ids_b."""
+
+    def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total_keys, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, own in aligned(pages, aligner(path_a, path_b)):
+            keys, n = np.unique(own.pairs, return_counts=True)
+            total_keys, back = np.unique(np.concatenate([total_keys, keys]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([total, n]), len(total_keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total_keys), pa.array(total)], ["pair", "n"])
+
+    return ids.mapInArrow(run, "pair long, n long")
 
 
 def build_hash(pairs: DataFrame) -> PerfectHash:
@@ -293,17 +345,17 @@ def summed(counts: DataFrame, hashed: PerfectHash) -> np.ndarray:
     return out
 
 
-@lru_cache(1)
 def suffixes(path_a: str, path_b: str) -> int:
     """How many distinct pairs there can be at most: twice (B has some bytes under two ids) the suffixes of all tokens."""
-    own = Aligner(path_a, path_b)
-    return 2 * (sum(map(len, own.bytes_a.values())) + sum(map(len, own.bytes_b)))
+    own = Vocabularies(path_a, path_b)
+    return 2 * int(own.size_a.sum() + own.size_b.sum())
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of ``docs`` (doc_id, text)."""
     need(docs, ["doc_id", "text"])
-    counts = written(pair_counts(docs, path_a, path_b), "pair_counts")
+    ids = written(encoded(docs, path_a, path_b), "ids")
+    counts = written(pair_counts(ids, path_a, path_b), "pair_counts")
     hashed = build_hash(counts.select("pair").distinct())
     if len(hashed) > suffixes(path_a, path_b):
         raise ValueError("more pairs than the vocabularies have suffixes")
@@ -315,42 +367,15 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((hashed, n, n == highest[ids_b]))
 
     def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (at_of, counted, best) = aligner(path_a, path_b, True), shared.value
-        for page in pages:
-            ids, texts = page.column(0).to_pylist(), page.column(1).to_pylist()
-            for at in batches(texts):
-                cut, found = own.texts(texts[at])
-                used = np.zeros(len(found), bool)
-                order = np.fromiter(chain.from_iterable(cut), np.int64)
-                used[order] = True
-                index = at_of.index(np.fromiter(chain.from_iterable(p.pairs for p in found), np.int64))
-                sizes = np.array([len(p.pairs) for p in found], np.int64)
-                if (index[np.repeat(used, sizes)] < 0).any():
-                    raise ValueError("a pair that the first pass hasn't met")
-                edges, ends = np.cumsum([0, *map(len, cut)]), np.cumsum([0, *sizes])
-
-                def by_text(of_parts, order=order, edges=edges):
-                    sums = np.concatenate([[0], np.cumsum(np.asarray(of_parts, np.int64)[order])])
-                    return pa.array(sums[edges[1:]] - sums[edges[:-1]], pa.int64())
-
-                def by_part(of_links, ends=ends):
-                    sums = np.concatenate([[0], np.cumsum(of_links, dtype=np.int64)])
-                    return sums[ends[1:]] - sums[ends[:-1]]
-
-                said = [p.groups for p in found]
-                digests = [hashlib.sha256(";".join([said[k] for k in parts]).encode()).hexdigest() if parts else "" for parts in cut]
-                known = np.maximum(index, 0)
-                columns = [
-                    pa.array(ids[at], pa.int64()),
-                    by_text([p.n_a for p in found]),
-                    by_text([p.n_b for p in found]),
-                    by_text(sizes),
-                    by_text(sizes),
-                    by_text(by_part(best[known] if len(best) else known)),
-                    by_text(by_part(counted[known] if len(counted) else known)),
-                    pa.array(digests),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        at_of, counted, best = shared.value
+        tokens = aligner(path_a, path_b)
+        for doc_ids, own in aligned(pages, tokens):
+            index, edges = at_of.index(own.pairs), own.edges
+            if (index < 0).any():
+                raise ValueError("a pair that the first pass hasn't met")
+            n_links = np.diff(edges)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[index], dtype=np.int64)])[edges]) for x in (best, counted)]
+            columns = [pa.array(x, pa.int64()) for x in (np.diff(own.edges_a), np.diff(own.edges_b), n_links, n_links, *sums)]
+            yield pa.RecordBatch.from_arrays([doc_ids, *columns, pa.array(tokens.digests(own), pa.string())], NAMES)
+
+    return ids.mapInArrow(run, ", ".join(f"{n} {'string' if n == 'groups_sha256' else 'long'}" for n in NAMES))
