@@ -35,6 +35,8 @@ from vigilis.llm.simhash import SEED, shingle_hashes
 from vigilis.llm.tokens import batches
 
 CELLS, MISSED = 3, 1
+#: The filter of shared signatures has 2 to the power of this many bits at most: 16 MB.
+FILTER_BITS = 27
 CHOICES = np.array([[c in own for c in range(CELLS)] for own in combinations(range(CELLS), CELLS - MISSED)], np.uint64)
 
 
@@ -151,18 +153,47 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, p
     return written(pairs.join(x, "a").join(y, "b").where(shared * (100 + percent) >= sizes * percent).select("a", "b"), "verified")
 
 
+def maybe_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """cell, key, n for the signatures in ``rows`` that may be among ``shared`` (cell): all that are, and few others.
+
+    The others are left out where they lie, by a filter of FILTER_BITS bits at most: most signatures are a set's alone and need no
+    second shuffle. Where the filter is full it only lets more of them through.
+    """
+    bits = max(6, min(FILTER_BITS, (16 * shared.count()).bit_length()))
+    place = F.shiftrightunsigned("cell", 64 - bits)
+    words = shared.select(F.shiftright(place, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    known = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in pages:
+            lists = page.column(2)
+            cells = lists.flatten().to_numpy(zero_copy_only=False)
+            whose = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = cells.view(np.uint64) >> np.uint64(64 - bits)
+            kept = (known.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            those = pa.array(whose[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[kept], pa.int64()), page.column(0).take(those), page.column(1).take(those)], ["cell", "key", "n"])
+
+    return rows.where("signatures is not null").select("key", "n", "signatures").mapInArrow(run, "cell long, key long, n long")
+
+
 def key_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: links between different sets (keys) that connect all whose similarity is at least ``percent`` in a hundred."""
-    firsts = written(rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    cells = rows.select("key", "n", F.explode("signatures").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("least"), F.max("key").alias("last")).where("least.key < last")
-    members = written(cells.join(shared.select("cell", "least"), "cell").distinct(), "members")
+    firsts = written(rows.where("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "firsts")
+    cells = rows.select("key", F.explode("signatures").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("key").alias("least"), F.max("key").alias("last")).where("least < last")
+    shared = written(shared.select("cell", "least"), "shared")
+    members = written(maybe_shared(rows, shared).join(shared, "cell").distinct(), "members")
 
     def fit(x, y):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    pairs = members.where((F.col("key") != F.col("least.key")) & fit(F.col("n"), F.col("least.n")))
-    pairs = written(pairs.select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct(), "first_pairs")
+    pairs = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
+    pairs = pairs.join(firsts.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").where(fit(F.col("na"), F.col("nb")))
+    pairs = written(pairs.select("a", "b"), "first_pairs")
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, firsts, words, percent)
     roots = written(components(links), "roots")
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
