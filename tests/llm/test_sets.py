@@ -95,3 +95,12 @@ def test_similar_sets_share_a_signature():
         if k == 0 or common_size * 100 < (len(x) + len(y) - common_size) * percent:
             continue
         assert set(partenum.signatures(x, percent)) & set(partenum.signatures(y, percent))
+
+
+def test_sketches_never_rule_a_link_out():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900)), np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, len(x))) :], rng.integers(0, 1 << 63, int(rng.integers(0, 200)), np.uint64)]))
+        apart = sum(int(a ^ b).bit_count() for a, b in zip(partenum.sketch(x).view(np.uint64), partenum.sketch(y).view(np.uint64), strict=True))
+        assert apart <= len(np.setxor1d(x, y))

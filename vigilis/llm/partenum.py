@@ -7,7 +7,8 @@ of all but ``MISSED`` cells are enumerated: a set's elements in the chosen cells
 one whose cells hold no difference. A set has signatures for its own band and for the next, so that neighbouring bands meet.
 
 An element's cell adds up the hashes of its elements, so the signature of a choice is a sum of a few cells' sums. Signatures
-only propose; the exact sets decide. Sets are compared in rounds so that no group is expanded into all its pairs: with the least
+only propose; the exact sets decide. Before that a sketch, parities of the elements' numbers by group, rules pairs out that differ in too
+many elements: it never rules a link out, and such pairs don't leave a join. Sets are compared in rounds so that no group is expanded into all its pairs: with the least
 set of one shared signature, with the least of every shared signature, and then those that a signature holds together but no
 chain of links does.
 
@@ -35,6 +36,8 @@ from vigilis.llm.simhash import SEED, shingle_hashes
 from vigilis.llm.tokens import batches
 
 CELLS, MISSED = 3, 1
+#: Words of 64 bits in a set's sketch.
+SKETCH = 16
 #: The filter of shared signatures has 2 to the power of this many bits at most: 16 MB.
 FILTER_BITS = 27
 CHOICES = np.array([[c in own for c in range(CELLS)] for own in combinations(range(CELLS), CELLS - MISSED)], np.uint64)
@@ -87,6 +90,15 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(both).view(np.int64)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements in each of 64 · SKETCH groups, as signed numbers.
+
+    An element that one set has and another hasn't turns one bit, so sets differ in at least as many elements as their sketches in bits.
+    """
+    groups = np.bincount((mixed(own, 1 << 40) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits(groups % 2 == 1, bitorder="little").view(np.int64)
+
+
 def set_key(own: np.ndarray) -> int:
     """A sorted set's 64-bit hash, signed. Among a billion sets, two are taken for one with a probability of 3 %."""
     import xxhash
@@ -96,7 +108,7 @@ def set_key(own: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the shingle set), key (the set's hash) and signatures for every row of ``docs`` (doc_id, text).
+    """doc_id, n (size of the shingle set), key (the set's hash), signatures and sketch for every row of ``docs`` (doc_id, text).
 
     A set has its signatures once in each task, however many copies the task meets; without an id or elements it has none.
     """
@@ -110,16 +122,17 @@ def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for at in batches(texts, 1_000_000):
                 own = [np.unique(shingle_hashes(t, words)) for t in texts[at]]
                 keys = [set_key(x) for x in own]
-                signs = []
+                signs, sketches = [], []
                 for doc_id, key, x in zip(ids[at], keys, own, strict=True):
                     new = doc_id is not None and key not in seen
                     signs.append(signatures(x, percent) if new else None)
+                    sketches.append(sketch(x) if new else None)
                     if new:
                         seen.add(key)
-                made = [pa.array([len(x) for x in own], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), *made], ["doc_id", "n", "key", "signatures"])
+                made = [pa.array([len(x) for x in own], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), *made], ["doc_id", "n", "key", "signatures", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, signatures array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, signatures array<long>, sketch array<long>")
 
 
 def shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -188,12 +201,19 @@ def key_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     shared = written(shared.select("cell", "least"), "shared")
     members = written(maybe_shared(rows, shared).join(shared, "cell").distinct(), "members")
 
-    def fit(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    # a set of every shared signature, with what rules most dissimilar pairs out
+    known = rows.where("signatures is not null").select("key", "n", "sketch").join(members.select("key").distinct(), "key", "left_semi")
+    known = written(known.dropDuplicates(["key"]), "known")
+
+    def near(x: str, y: str) -> F.Column:
+        """Sizes and sketches of two rows allow a link."""
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        bits = sum(F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))).cast("long") for i in range(SKETCH))
+        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (bits * (100 + percent) <= (nx + ny) * (100 - percent))
 
-    pairs = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = pairs.join(firsts.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").where(fit(F.col("na"), F.col("nb")))
-    pairs = written(pairs.select("a", "b"), "first_pairs")
+    pairs = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    met = pairs.join(known.alias("x"), F.col("a") == F.col("x.key")).join(known.alias("y"), (F.col("b") == F.col("y.key")) & near("x", "y"))
+    pairs = written(met.select("a", "b"), "first_pairs")
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, firsts, words, percent)
     roots = written(components(links), "roots")
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -201,11 +221,11 @@ def key_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     other = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     links = links.unionByName(verified(other.select("a", "b"), docs, firsts, words, percent))
     roots = written(components(links), "roots")
-    own = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "n", F.coalesce("root", "key").alias("root"))
+    own = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
     apart = own.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("in_cell")).where("r1 < r2 and in_cell > 2")
-    own = written(own.join(apart.select("cell"), "cell"), "apart")
+    own = written(own.join(apart.select("cell"), "cell").join(known, "key"), "apart")
     x, y = own.alias("x"), own.alias("y")
-    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & fit(F.col("x.n"), F.col("y.n"))
+    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
     rest = x.join(y, meet).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti"), docs, firsts, words, percent))
