@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilis.functions.unicode import normal_form, strip_marks
+
 #: Query parameters that only track, by variant, beside all that begin with ``utm_``.
 TRACKING = {
     "collector": ["_ga", "_gl", "dclid", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "yclid"],
@@ -84,8 +86,8 @@ def url_hash(url: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """SHA-256 of the text with collapsed white space; null for texts without any."""
-    t = collapse(text)
+    """SHA-256 of the text in NFKC with collapsed white space of all kinds; null for texts without anything else."""
+    t = F.trim(F.regexp_replace(normal_form(text, "NFKC"), r"[\x09-\x0D\x1C-\x20\x85\p{Z}]+", " "))
     return F.when(F.length(t) > 0, F.sha2(t, 256))
 
 
@@ -145,14 +147,9 @@ def fold_digits(text: Column) -> Column:
     return F.translate(text, other, "0123456789" * len(DIGIT_ZEROS))
 
 
-#: Letters with accents and their plain forms.
-ACCENTED = "áàâäãåāăéèêëēėíìîïīóòôöõōőúùûüūůçčñńýÿšžđđł"
-PLAIN = "aaaaaaaaeeeeeeiiiiioooooooouuuuuuccnnyyszddl"
-
-
 def fold_accents(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), ACCENTED[: len(PLAIN)], PLAIN[: len(ACCENTED)])
+    """Lower case in NFKD without combining marks: letters such as đ and ł, which no form takes apart, stay."""
+    return strip_marks(F.lower(text))
 
 
 #: Words that multiply a number.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilis.functions.text import alias_key
-from vigilis.operators.dedup import best_per_key
+from vigilis.operators.dedup import best_per_key, identity_links, star_components
 
 
 def latest_lookup(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: Sequence[str], order: Sequence[Column], active: str = "active") -> DataFrame:
@@ -77,6 +77,21 @@ def match_any_key(new: DataFrame, old: DataFrame, keys: Sequence[str], ident: st
     return explode(new, "new_id").join(explode(old, "old_id"), "k").select("new_id", "old_id").distinct()
 
 
+def identity_classes(new: DataFrame, old: DataFrame, keys: Sequence[str], ident: str = "id") -> DataFrame:
+    """side, id, class_id, n_new, n_old: one row for each row of both, with how many of either side share its class.
+
+    Rows that share any key, directly or through others, are a class; no pairs are made, so equal rows cost no more than
+    others. ``class_id`` is the smallest 2 · id + side (new 0, old 1) of the class. Ids are numbers, unique on each side; null and empty keys
+    link nothing.
+    """
+    own = lambda df, side: df.select(F.lit(side).alias("side"), F.col(ident).cast("long").alias("id"), *keys)
+    rows = own(new, "new").unionByName(own(old, "old")).withColumn("__node", F.col("id") * 2 + (F.col("side") == "old").cast("long"))
+    roots = star_components(identity_links(rows, "__node", keys).where("a <> b"))
+    classed = rows.join(roots, F.col("__node") == F.col("node"), "left").select("side", "id", F.coalesce("root", "__node").alias("class_id"))
+    sizes = classed.groupBy("class_id").agg(F.count_if(F.col("side") == "new").alias("n_new"), F.count_if(F.col("side") == "old").alias("n_old"))
+    return classed.join(sizes, "class_id").select("side", "id", "class_id", "n_new", "n_old")
+
+
 def expand_terms(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """All spellings of the labels that any of ``terms`` (term) stands for, and the terms themselves."""
     own = terms.select(F.lower("term").alias("term"))

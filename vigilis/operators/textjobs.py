@@ -12,11 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilis.functions.text import alias_key, collapse, fold_accents, fold_digits, parse_count, parse_counts
-from vigilis.operators.dedup import drop_nested
+from vigilis.functions.unicode import latin_letters
+from vigilis.operators.dedup import drop_nested, set_checkpoint_dir
 
 #: Scripts and their languages.
 SCRIPTS = {"th": "\\p{IsThai}", "my": "\\p{IsMyanmar}", "km": "\\p{IsKhmer}", "lo": "\\p{IsLao}", "zh": "\\p{IsHan}", "ar": "\\p{IsArabic}"}
 
+#: Words up to which a lexicon is sent to the scan of the texts.
+FEW = 1000
+
+
+def plain_key(text: Column) -> Column:
+    """``alias_key`` without the accents of Latin letters, by built-in functions alone."""
+    return alias_key(F.translate(F.lower(text), *latin_letters()))
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(alias_key(text), " "), lambda w: w != "")
@@ -66,11 +75,14 @@ def sentences(docs: DataFrame) -> DataFrame:
 def mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, start, end (words, end exclusive), alias, concept: aliases of any number of words, the longest where they nest.
 
-    Words meet the lexicon's words; an alias of several words is found where all of its words stand one after another. Only
-    words of the lexicon leave the join.
+    Words are compared in lower case without accents. They meet the lexicon's words; an alias of several words is found where all of
+    its words stand one after another. Words of a small lexicon are told apart where the texts lie; of a large one, only its words
+    leave the join. Aliases inside texts without spaces: ``scripts.unspaced_mentions``.
     """
-    rows = docs.select("doc_id", F.posexplode(words(F.col(text))).alias("at", "word"))
-    lex = lexicon.select(alias_key(F.col("alias")).alias("alias"), "concept").distinct().where("alias <> ''").withColumn("size", F.size(F.split("alias", " ")))
+    lex = lexicon.select(plain_key(F.col("alias")).alias("alias"), "concept").distinct().where("alias <> ''").withColumn("size", F.size(F.split("alias", " ")))
+    few = [r.word for r in lex.select(F.explode(F.split("alias", " ")).alias("word")).distinct().limit(FEW + 1).collect()]
+    every = F.transform(F.split(plain_key(F.col(text)), " "), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    rows = docs.select("doc_id", F.inline(F.filter(every, lambda x: x["word"].isin(few)) if len(few) <= FEW else every))
     parts = lex.select("alias", "concept", "size", F.posexplode(F.split("alias", " ")).alias("k", "word"))
     hit = rows.join(parts, "word").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "alias", "concept", "size")
     long = hit.where("size > 1").groupBy("doc_id", "start", "alias", "concept", "size").agg(F.count("*").alias("n")).where("n = size").drop("n")
@@ -93,7 +105,7 @@ def labelled_counts(docs: DataFrame, terms: Mapping[str, str]) -> DataFrame:
 def filter_counts(mentions_: DataFrame) -> DataFrame:
     """Number mentions (n, left, right: the text around) that aren't years, ages, days, samples, doses or beyond reason."""
     left, right = F.lower("left"), F.lower("right")
-    year = F.col("n").between(1900, 2100) & (right.rlike(r"^\s*[,.)]?\s*$") | left.rlike(r"\b(in|of|since|year)\s*$"))
+    year = F.col("n").between(1900, 2100) & (right.rlike(r"^\s*[,.)]?\s*$") | left.rlike(r"(^|\W)(in|of|since|year)\s*$"))
     age = right.rlike(r"^\s*-?(years?|yrs?)\b(?!.*cases)") | left.rlike(r"\baged?\s*$")
     day = left.rlike(r"\b(january|february|march|april|may|june|july|august|september|october|november|december)\s*$")
     other = right.rlike(r"^\s*(samples?|doses?|tests?|people were (tested|vaccinated)|percent|%)")
@@ -113,33 +125,62 @@ def relations(mentions_: DataFrame, counts: DataFrame) -> DataFrame:
     return one.groupBy("doc_id", "label", "place", "metric").agg(F.max("n").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_set("sentence")), lambda s: s.cast("string")), ",").alias("evidence"))
 
 
-#: Words of each status, the first that occurs wins.
-STATUS = [("retracted", "retracted|withdrawn|correction"), ("rumor", "rumou?r|unverified|hoax"), ("suspected", "suspected|suspect|probable|possible"), ("negative", "tested negative|no cases|ruled out"), ("confirmed", "confirmed|laboratory-confirmed|verified"), ("official", "ministry|official|officials|who said")]
-
-
-def first_match(text: Column, table: Sequence[tuple[str, str]], default: str) -> Column:
-    out = None
-    for name, pattern in table:
-        test = F.coalesce(text.rlike(rf"(?i)\b({pattern})\b"), F.lit(False))
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise(default)
-
-
-def epistemic_status(text: Column) -> Column:
-    return first_match(text, STATUS, "reported")
-
-
-#: Words of each metric and period type.
-METRICS = [("deaths", "deaths?|died|fatalit(y|ies)|killed"), ("historical", "last year|previous year|historically"), ("cumulative", "cumulative|total|so far|to date"), ("new", "new|newly|additional"), ("active", "active|currently")]
-PERIODS = [("historical", "last year|previous year|historically|in (19|20)[0-9][0-9]"), ("cumulative", "cumulative|total|since|to date|so far")]
+#: Phrases by kind and language, in the order in which kinds win. ``any`` is for languages that aren't divided
+#: by spaces, whose phrases are found anywhere; the others' are found as whole words. A space stands for any white space.
+PHRASES: dict[str, list[tuple[str, dict[str, str]]]] = {
+    "status": [
+        ("retracted", {"id": "hoaks|bantah|membantah|salah diagnosis|bukan (?:kasus|wabah|penyakit|demam berdarah|antraks|rabies|kolera)|tidak benar|kabar bohong", "en": "hoax|disproven|false alarm|retracted", "vi": "bác bỏ|khẳng định sai"}),
+        ("rumor", {"id": "kabar burung|isu beredar|belum terverifikasi|viral di medsos|viral di media sosial|isu liar", "en": "rumor|unverified", "vi": "tin đồn(?: thất thiệt)?"}),
+        ("suspected", {"id": "diduga|suspek|dugaan|kemungkinan|gejala mirip|indikasi|tanda[- ]tanda|menyerupai|terindikasi", "en": "suspected|probable", "vi": "nghi ngờ|ca nghi", "any": "สงสัย"}),
+        ("negative_surveillance", {"id": "tidak ada kasus|belum ada kasus", "en": r"no(?: new)?(?: [\w-]+){0,6} cases?|no case|zero cases?|not yet detected"}),
+        ("confirmed", {"id": "terkonfirmasi|positif|hasil lab(?:oratorium)?|uji lab(?:oratorium)?|swab positif|pcr positif|positif terpapar", "en": "confirmed|laboratory[- ]confirmed", "vi": "xác nhận|ca xác nhận", "any": "ยืนยัน|ผลตรวจยืนยัน"}),
+        ("official_report", {"id": "kemenkes(?:ri)?|dinkes|kementerian kesehatan|dinas kesehatan|pemerintah daerah|pemda|pejabat kesehatan|siaran pers|keterangan resmi|laporan resmi", "en": "who|cdc|moh|doh|press release"}),
+    ],
+    "metric": [
+        ("historical_cases", {"id": "sebelumnya|tahun lalu|wabah sebelumnya|periode sebelumnya|pada tahun (?:19[0-9]{2}|20[01][0-9]|202[0-5])", "en": "in (?:19[0-9]{2}|20[01][0-9]|202[0-5])|historically|previously|past outbreak|prior outbreak|historical|in the same period last year|compared (?:with|to) last year|for the whole of 20[0-9]{2}|in all of 20[0-9]{2}"}),
+        ("cumulative_cases", {"id": "sejak awal tahun|total akumulatif|akumulasi|sepanjang tahun|sepanjang 20[0-9]{2}|total kasus|secara keseluruhan", "en": "cumulative|to date|so far this year|year[- ]to[- ]date|ytd", "vi": "tổng số ca|tích lũy", "ms": "kes kumulatif", "any": "สะสม|ตั้งแต่ต้นปี|จนถึงปัจจุบัน|សរុប|ສະສົມ"}),
+        ("new_cases", {"id": "kasus baru|penambahan(?: kasus)?|tambahan kasus|tercatat hari ini|dalam 24 jam terakhir", "en": "new cases?", "vi": "ca mắc mới|ca mới", "ms": "kes baharu", "tl": "kaso bago", "any": "รายใหม่|ผู้ป่วยใหม่"}),
+        ("active_cases", {"id": "kasus aktif|masih dirawat|dalam perawatan|sedang dirawat", "en": "active cases?|currently hospitali[sz]ed", "vi": "đang điều trị"}),
+    ],
+    "deaths": [("deaths", {"id": "kematian|meninggal(?: dunia)?|korban jiwa|tewas", "en": "deaths?|fatalities", "vi": "tử vong", "any": "เสียชีวิต|ผู้เสียชีวิต|ស្លាប់|អ្នកស្លាប់|ເສຍຊີວິດ|သေဆုံး"})],
+}
+#: How many characters of a text say its status and its metric.
+STATUS_WINDOW, METRIC_WINDOW = 3000, 1500
+
+
+def phrase_pattern(by_language: Mapping[str, str], languages: Sequence[str] | None = None) -> str:
+    """One pattern, without case, for the phrases of ``languages`` (all if None)."""
+    chosen = {k: p.replace(" ", r"\s+") for k, p in by_language.items() if languages is None or k == "any" or k in languages}
+    whole, inside = "|".join(p for k, p in chosen.items() if k != "any"), chosen.get("any")
+    sides = [rf"(?<![\w])(?:{whole})(?![\w])"] if whole else []
+    return "(?iuU)" + "|".join([*sides, *([inside] if inside else [])])
+
+
+def first_match(text: Column, kinds: Sequence[tuple[str, Mapping[str, str]]], default: str, languages: Sequence[str] | None = None) -> Column:
+    """The first of ``kinds`` with a phrase in ``text``; null texts have none."""
+    out = F.lit(default)
+    for name, by_language in reversed(kinds):
+        out = F.when(F.coalesce(text.rlike(phrase_pattern(by_language, languages)), F.lit(False)), name).otherwise(out)
+    return out
 
 
-def metric_type(text: Column) -> Column:
-    return first_match(text, METRICS, "cases")
+def epistemic_status(text: Column, evidence: Column | None = None, languages: Sequence[str] | None = None) -> Column:
+    """retracted, rumor, suspected, negative_surveillance, confirmed, official_report, or else reported."""
+    sample = F.concat_ws(" ", F.coalesce(evidence, F.lit("")), F.coalesce(text, F.lit(""))) if evidence is not None else text
+    return first_match(F.substring(sample, 1, STATUS_WINDOW), PHRASES["status"], "reported", languages)
 
 
-def period_type(text: Column) -> Column:
-    return first_match(text, PERIODS, "incident")
+def metric_type(text: Column, has_cases: Column | None = None, period: Column | None = None, languages: Sequence[str] | None = None) -> Column:
+    """What a count counts. Deaths only where there are no cases (``has_cases``, true if left out); a known ``period`` wins over the text's."""
+    sample = F.substring(text, 1, METRIC_WINDOW)
+    own = first_match(sample, PHRASES["metric"], "cases", languages)
+    if period is not None:
+        historical = own == "historical_cases"
+        own = F.when(historical | (period == "historical"), "historical_cases").when(period == "cumulative", "cumulative_cases").otherwise(own)
+    if has_cases is None:
+        return own
+    died = first_match(sample, PHRASES["deaths"], "", languages) == "deaths"
+    return F.when(~has_cases & died, "deaths").when(~has_cases & (own == "historical_cases"), "historical_deaths").otherwise(own)
 
 
 def evidence(sentences_: DataFrame, pattern: str, most: int = 10) -> DataFrame:
@@ -150,14 +191,22 @@ def evidence(sentences_: DataFrame, pattern: str, most: int = 10) -> DataFrame:
 
 
 #: Words of topics that aren't outbreaks, and of outbreaks.
-TOPICS = {
-    "academic": "study|journal|researchers|peer-reviewed", "agricultural": "crop|livestock|harvest|farmers", "metaphor": "viral video|epidemic of (?:crime|loneliness)", "prevention": "hand washing|prevention campaign|awareness",
-    "vaccine": "vaccination campaign|immuni[sz]ation drive|vaccine rollout", "chronic": "diabetes|cancer|hypertension|stroke", "policy": "regulation|bill|parliament|budget", "disease_free": "declared free|eradicated|end of the outbreak", "outbreak": "outbreak|cluster|cases|surge",
-}
+TOPICS: dict[str, dict[str, str]] = {
+    "academic": {"en": "study|journal|researchers|peer-reviewed", "id": "jurnal|penelitian|peneliti|studi"},
+    "agricultural": {"en": "crop|livestock|harvest|farmers", "id": "peternak|ternak|panen|petani"},
+    "metaphor": {"en": "viral video|epidemic of (?:crime|loneliness)", "id": "video viral|wabah korupsi"},
+    "prevention": {"en": "hand washing|prevention campaign|awareness", "id": "cuci tangan|kampanye pencegahan"},
+    "vaccine": {"en": "vaccination campaign|immuni[sz]ation drive|vaccine rollout", "id": "vaksinasi massal|imunisasi massal"},
+    "chronic": {"en": "diabetes|cancer|hypertension|stroke", "id": "kanker|hipertensi"},
+    "policy": {"en": "regulation|bill|parliament|budget", "id": "peraturan|anggaran|parlemen"},
+    "disease_free": {"en": "declared free|eradicated|end of the outbreak", "id": "bebas dari|dinyatakan bebas"},
+    "outbreak": {"en": "outbreak|cluster|cases|surge", "id": "wabah|klaster|kasus|lonjakan", "vi": "ổ dịch|bùng phát", "any": "ระบาด|ការផ្ទុះ|ລະບາດ"},
+}
 
 
-def topic_flags(docs: DataFrame, patterns: Mapping[str, str] = TOPICS) -> DataFrame:
-    return docs.select("doc_id", *[F.coalesce(F.col("text").rlike(rf"(?i)\b({p})\b"), F.lit(False)).alias(k) for k, p in patterns.items()])
+def topic_flags(docs: DataFrame, topics: Mapping[str, Mapping[str, str]] = TOPICS, languages: Sequence[str] | None = None) -> DataFrame:
+    """doc_id and a flag for each topic: a phrase of any (or of the given) languages occurs. Null texts have no topic."""
+    return docs.select("doc_id", *[F.coalesce(F.col("text").rlike(phrase_pattern(p, languages)), F.lit(False)).alias(k) for k, p in topics.items()])
 
 
 def quality_flags(text: Column) -> Column:
@@ -196,15 +245,57 @@ def hierarchy(df: DataFrame, places: DataFrame, place: str = "place", hint: str
 
 
 def discover_terms(docs: DataFrame, lexicon: DataFrame, least: int = 3, most: int = 2) -> DataFrame:
-    """Runs of up to ``most`` words that no alias is: occurrences, documents and the first document, at least ``least`` documents."""
-    w = words(F.col("text"))
-    rows = None
+    """Runs of up to ``most`` words that no alias is: occurrences, documents and the first document, at least ``least`` documents.
+
+    Level by level: a longer run can't be in more documents than its parts, so it is counted only where both of its parts may
+    have reached the limit. A filter of fixed size, which goes to the scan, tells most of the others.
+    """
+    set_checkpoint_dir(docs.sparkSession)
+    own = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    out = known = None
     for n in range(1, most + 1):
-        runs = F.transform(F.filter(F.transform("__w", lambda x, i: i), lambda i: i + n <= F.size("__w")), lambda i: F.array_join(F.slice("__w", i + 1, n), " "))
-        own = docs.select("doc_id", w.alias("__w")).select("doc_id", F.explode(runs).alias("term"))
-        rows = own if rows is None else rows.unionByName(own)
-    counts = rows.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= least)
-    return counts.join(lexicon.select(alias_key(F.col("alias")).alias("term")).distinct(), "term", "left_anti")
+        found = run_counts(runs_of(own, n, known), least)
+        if n < most:
+            found = found.checkpoint()
+            known = compact_filter(found)
+        out = found if out is None else out.unionByName(found)
+    return out.join(lexicon.select(alias_key(F.col("alias")).alias("term")).distinct(), "term", "left_anti")
+
+
+#: Bits of the filter of frequent runs, 64 to a word: 128 KB.
+FILTER_WORDS = 1 << 14
+
+
+def _filter_place(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FILTER_WORDS * 64))
+
+
+def compact_filter(found: DataFrame) -> DataFrame:
+    """One row, ``frequent``: an array of FILTER_WORDS numbers with a bit set for the hash of each ``term``."""
+    at = _filter_place(F.col("term"))
+    words_ = found.select(F.floor(at / 64).cast("int").alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+    by_word = words_.groupBy("k").agg(F.bit_or("bit").alias("bits"))
+    every = found.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("k")).join(by_word, "k", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("bits", F.lit(0)).cast("long").alias("bits")))), lambda x: x["bits"]).alias("frequent"))
+
+
+def runs_of(own: DataFrame, n: int, known: DataFrame | None) -> DataFrame:
+    """doc_id, term: runs of ``n`` words of ``own`` (doc_id, ws), those alone whose two parts of n - 1 words may be in ``known`` (a filter)."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("ws") - n, F.lit(0))), lambda i: i + n <= F.size("ws"))
+    run = lambda i, k: F.array_join(F.slice("ws", i + 1, k), " ")
+    if known is not None:
+        own = own.crossJoin(F.broadcast(known))  # one row of fixed size
+        # each part is looked up once: part i is the end of run i - 1 and the beginning of run i
+        parts = F.sequence(F.lit(0), F.greatest(F.size("ws") - (n - 1), F.lit(0)))
+        bit = lambda p: F.getbit(F.get("frequent", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
+        own = own.select("doc_id", "ws", F.transform(parts, lambda i: bit(_filter_place(run(i, n - 1)))).alias("seen"))
+        starts = F.filter(starts, lambda i: F.get("seen", i) & F.get("seen", i + 1))
+    return own.select("doc_id", F.explode(F.transform(starts, lambda i: run(i, n))).alias("term"))
+
+
+def run_counts(rows: DataFrame, least: int) -> DataFrame:
+    counts = rows.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return counts.where(F.col("docs") >= least)
 
 
 def sections(docs: DataFrame, heading: str = r"^(?:[0-9]+\.|[A-Z][A-Z ]{3,}$)") -> DataFrame:

@@ -82,14 +82,15 @@ def tx4_labelled_counts(spark, d):
     return textjobs.labelled_counts(docs, {"cases": "cases?", "deaths": "deaths?"}).select("doc_id", "cases", "deaths")
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT doc_id, cases AS n FROM arts WHERE true UNION ALL SELECT doc_id, deaths FROM arts")
+@query(f"WITH {ARTICLES_SQL} SELECT doc_id, cases AS n FROM arts UNION ALL SELECT doc_id, deaths FROM arts UNION ALL SELECT doc_id, 1996 FROM arts WHERE cases % 3 = 0")
 def tx5_filter_counts(spark, d):
-    """Numbers with what stands left and right of them; dates, samples, weeks of a year and years go."""
-    t = articles_of(spark, d).select("doc_id", F.regexp_replace("text", r"\d{4}-\d\d-\d\d|week \d+ of", "day").alias("text"))
+    """Numbers with what stands left and right of them; dates, samples, weeks of a year and years go, but 1996 cases stay."""
+    a_third = F.when(F.col("cases") % 3 == 0, " Another 1996 cases are known.").otherwise("")
+    t = articles_of(spark, d).select("doc_id", F.concat(F.regexp_replace("text", r"\d{4}-\d\d-\d\d|week \d+ (?=of)", "day "), a_third).alias("text"))
     left, n, right = (F.regexp_extract_all("text", F.lit(r"(.{0,12}?)(?<![0-9A-Za-z_.-])([0-9]+)(?![0-9-])(?=(.{0,12}))"), F.lit(g)) for g in (1, 2, 3))
     rows = t.select("doc_id", F.explode(F.arrays_zip(left.alias("l"), n.alias("n"), right.alias("r"))).alias("z"))
     m = rows.select("doc_id", F.col("z.n").cast("long").alias("n"), F.col("z.l").alias("left"), F.col("z.r").alias("right"))
-    return textjobs.filter_counts(m.where("n <> 1996")).select("doc_id", "n")
+    return textjobs.filter_counts(m).select("doc_id", "n")
 
 
 @query(f"WITH {ARTICLES_SQL} SELECT doc_id, lower(label) AS label, place, 'cases' AS metric, cases AS n, '0' AS evidence FROM arts UNION ALL SELECT doc_id, lower(label), place, 'deaths', deaths, '0' FROM arts")
@@ -110,10 +111,17 @@ def tx6_relations(spark, d):
     return textjobs.relations(m, c)
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT doc_id, CASE WHEN needs_review THEN 'suspected' ELSE 'confirmed' END AS status, 'deaths' AS metric, 'incident' AS period FROM arts")
+#: Sentences in several languages with their status and metric.
+SAID = [
+    ("Kabar bohong, bukan wabah.", "retracted", "cases"), ("Tin đồn lan truyền.", "rumor", "cases"), ("Diduga kolera; total kasus naik.", "suspected", "cumulative_cases"), ("ผู้ป่วยสงสัย รายใหม่", "suspected", "new_cases"), ("Tidak ada kasus yang dilaporkan.", "negative_surveillance", "cases"),
+    ("Ca xác nhận, tích lũy 12.", "confirmed", "cumulative_cases"), ("Siaran pers: kasus aktif 3.", "official_report", "active_cases"), ("Three were ill, as previously.", "reported", "historical_cases"), ("No new measles cases were detected.", "negative_surveillance", "cases"), ("Laboratory-confirmed new cases.", "confirmed", "new_cases"),
+]
+
+
+@query(f"""WITH {ARTICLES_SQL} SELECT doc_id, [{", ".join(f"'{s}'" for _, s, _ in SAID)}][cases % 10 + 1] AS status, [{", ".join(f"'{m}'" for _, _, m in SAID)}][cases % 10 + 1] AS metric FROM arts""")
 def tx7_status(spark, d):
-    t = F.col("text")
-    return articles_of(spark, d).select("doc_id", textjobs.epistemic_status(t).alias("status"), textjobs.metric_type(t).alias("metric"), textjobs.period_type(t).alias("period"))
+    t = F.get(F.array(*[F.lit(s) for s, _, _ in SAID]), (F.col("cases") % 10).cast("int"))
+    return articles_of(spark, d).select("doc_id", textjobs.epistemic_status(t).alias("status"), textjobs.metric_type(t).alias("metric"))
 
 
 @query(f"""WITH {ARTICLES_SQL}, {sentences_sql("arts")} SELECT doc_id, sentence, "start", "end", text FROM sents
@@ -122,9 +130,14 @@ def tx9_evidence(spark, d):
     return textjobs.evidence(textjobs.sentences(articles_of(spark, d).select("doc_id", "text")), "cases|deaths|samples")
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT doc_id, false AS policy, true AS outbreak FROM arts")
+TOPIC_WORDS = ["", "A study in a journal.", "Peneliti menulis jurnal.", "Farmers fear for livestock.", "Peternak khawatir.", "Parliament votes on the bill.", "Imunisasi massal dimulai.", "Declared free of it."]
+
+
+@query(f"""WITH {ARTICLES_SQL}, t AS (SELECT doc_id, cases % 8 AS k FROM arts) SELECT doc_id, k IN (1, 2) AS academic, k IN (3, 4) AS agricultural, k = 5 AS policy, k = 6 AS vaccine, k = 7 AS disease_free, true AS outbreak FROM t""")
 def tx10_topic_flags(spark, d):
-    return textjobs.topic_flags(articles_of(spark, d)).select("doc_id", "policy", "outbreak")
+    x = articles_of(spark, d)
+    more = F.get(F.array(*map(F.lit, TOPIC_WORDS)), (F.col("cases") % 8).cast("int"))
+    return textjobs.topic_flags(x.withColumn("text", F.concat_ws(" ", "text", more))).select("doc_id", "academic", "agricultural", "policy", "vaccine", "disease_free", "outbreak")
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents), c AS (SELECT doc_id, t, length(regexp_replace(t, '[^\p{L} ]', '', 'g')) AS letters FROM t)
@@ -177,7 +190,9 @@ def tx18_text_series(spark, d):
     return textjobs.text_series(g)
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, regexp_extract_all(text, '([^.!?\n]+[.!?]*\s*|[.!?\n]+\s*)', 1) AS ps FROM documents), p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM s), c AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM p),
+  g(doc_id, chunk, a, before) AS (SELECT doc_id, 0, 1::BIGINT, 0::HUGEINT FROM c WHERE i = 1 UNION ALL SELECT g.doc_id, chunk + 1, c.i, c.upto - length(c.p) FROM g JOIN c ON c.doc_id = g.doc_id AND c.i > g.a AND c.upto - g.before > 2000 AND (c.upto - length(c.p) - g.before <= 2000 OR c.i = g.a + 1)),
+  e AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM g) SELECT e.doc_id, e.chunk, string_agg(p, '' ORDER BY i) AS text FROM e JOIN c ON c.doc_id = e.doc_id AND c.i >= e.a AND (z IS NULL OR c.i < z) GROUP BY 1, 2""")
 def tx19_chunks(spark, d):
     return textjobs.chunks(a.scan(spark, d, "documents", ["doc_id", "text"]), 2000)
 
@@ -372,10 +387,12 @@ def fp20_calibrated_alert(spark, d):
     return a.facts(spark, d).agg(F.count_if("alert").alias("alerts"), F.count_if(kept).alias("kept"))
 
 
-@query(f"WITH {ARTICLES_SQL} SELECT count(*) FILTER (WHERE deaths = 0) AS zeros, count(*) FILTER (WHERE deaths = 0) AS kept FROM arts")
+@query(f"WITH {ARTICLES_SQL} SELECT count(*) FILTER (WHERE deaths = 0) AS zeros, count(*) FILTER (WHERE deaths = 0 AND cases % 2 = 0) AS kept FROM arts")
 def fp25_null_unknown_zero(spark, d):
+    """Half of the articles say nothing of deaths: their zero is unknown."""
     x = articles_of(spark, d)
-    fixed = predicates.null_unknown_zero(F.col("deaths"), F.col("text"))
+    said = F.when(F.col("cases") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", " and [0-9]+ deaths", ""))
+    fixed = predicates.null_unknown_zero(F.col("deaths"), said)
     return x.agg(F.count_if(F.col("deaths") == 0).alias("zeros"), F.count_if(fixed == 0).alias("kept"))
 
 
@@ -410,15 +427,17 @@ def fn13_format_counts(spark, d):
     return g.groupBy(F.col("l_orderkey").alias("k")).agg(text.format_counts(F.collect_list(F.struct(F.col("l_returnflag").alias("label"), "n"))).alias("t"))
 
 
-@query("SELECT page_id, length(html) > 0 AS page FROM pages")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages)
+  SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS page FROM p""")
 def fn14_strip_markup(spark, d):
-    return a.scan(spark, d, "pages").select("page_id", (F.length(text.strip_markup(F.col("html"))) > 0).alias("page"))
+    return a.scan(spark, d, "pages").select("page_id", F.sha2(text.strip_markup(F.col("html")), 256).alias("page"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS folded, 'eaou' AS plain FROM customer")
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS folded, strip_accents(lower(['ÉÀôü', 'Cancún', 'Curaçao', 'España', 'Škoda', 'Žďár'][c_custkey % 6 + 1] || c_name)) AS plain FROM customer")
 def fn15_fold_digits(spark, d):
     arabic = F.translate(F.col("c_custkey").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
-    return a.scan(spark, d, "customer").select("c_custkey", text.fold_digits(arabic).alias("folded"), text.fold_accents(F.lit("ÉÀôü")).alias("plain"))
+    word = F.get(F.array(*map(F.lit, ["ÉÀôü", "Cancún", "Curaçao", "España", "Škoda", "Žďár"])), (F.col("c_custkey") % 6).cast("int"))
+    return a.scan(spark, d, "customer").select("c_custkey", text.fold_digits(arabic).alias("folded"), text.fold_accents(F.concat(word, "c_name")).alias("plain"))
 
 
 @query("SELECT l_orderkey AS k, round(avg(l_discount) FILTER (WHERE l_linenumber < 6), 6) AS m FROM (SELECT l_orderkey, l_linenumber, min(l_discount) AS l_discount FROM lineitem GROUP BY 1, 2) GROUP BY 1")

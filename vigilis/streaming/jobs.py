@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilis.streaming.buckets import BucketedTable, bucketed_sink
+
 MESSAGE = "report_id long, url string, text string, published_at timestamp, feed string"
 
 
@@ -62,15 +64,9 @@ def replace_by_report(target: DataFrame, batch: DataFrame, key: str = "report_id
     return target.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
 
 
-def replacing_sink(spark: SparkSession, path: str, key: str = "report_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: versions of the table, each named by its batch; a repeated batch writes the same version again."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        old = spark.read.parquet(f"{path}/v={n - 1}") if n else None
-        out = batch if old is None else replace_by_report(old, batch, key)
-        out.write.mode("overwrite").parquet(f"{path}/v={n}")
-
-    return write
+def replacing_sink(spark: SparkSession, path: str, key: str = "report_id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch's reports replace the table's; only the buckets of their keys are rewritten (``BucketedTable``)."""
+    return bucketed_sink(BucketedTable(spark, path, key, buckets), lambda old, new: replace_by_report(old, new, key))
 
 
 def sessionize(df: DataFrame, key: str, at: str, gap_minutes: int = 30) -> DataFrame:
@@ -120,14 +116,21 @@ def run_available(df: DataFrame, checkpoint: str, mode: str = "append", name: st
     q.awaitTermination()
 
 
+def hashed_examples(docs: DataFrame) -> DataFrame:
+    """``docs`` as training examples with their hash, the highest confidence of each."""
+    from vigilis.operators.training import capture_examples
+
+    return capture_examples(docs)
 
 
-def capture_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: training examples captured as facts come in, each batch a version with the highest confidence of each example."""
+def capture_merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Examples of both with the highest confidence of each."""
     from vigilis.operators.training import capture_examples
 
-    def write(batch: DataFrame, n: int) -> None:
-        known = spark.read.parquet(f"{path}/v={n - 1}") if n else None
-        capture_examples(batch, known).write.mode("overwrite").parquet(f"{path}/v={n}")
+    return capture_examples(new, old.select(*new.columns))
+
 
-    return write
+def capture_sink(spark: SparkSession, path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: training examples captured as facts come in; only the buckets of a batch's examples are rewritten."""
+    write = bucketed_sink(BucketedTable(spark, path, "hash", buckets), capture_merge)
+    return lambda batch, n: write(hashed_examples(batch), n)
