@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilis.streaming import jobs
+from vigilis.streaming.buckets import BucketedTable
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -72,8 +73,7 @@ def test_replace_by_report(spark, events, tmp_path):
         os.utime(p, (1_700_000_000 + 60 * i,) * 2)
     df = jobs.read_files(spark, events, SCHEMA, files=1).select("event_id", F.col("user_id").alias("report_id"))
     jobs.run_available(df, str(tmp_path / "c"), batch=jobs.replacing_sink(spark, out))
-    last = max(int(p.name[2:]) for p in pathlib.Path(out).glob("v=*"))
-    have = rows(spark.read.parquet(f"{out}/v={last}").select("event_id", "report_id"))
+    have = rows(BucketedTable(spark, out, "report_id").read().select("event_id", "report_id"))
     target = None
     for p in parts:
         own = spark.read.parquet(str(p)).select("event_id", F.col("user_id").alias("report_id"))
