@@ -723,6 +723,50 @@ def test_decontamination_finds_all_within_budget(spark):
                 assert got[k][i].edits == best
 
 
+def test_decontamination_of_repeated_words():
+    """Time and memory stay bounded where nearly all q-grams are the same; the occurrence is found, exact or with edits."""
+    import time
+    import tracemalloc
+
+    item = b" ".join([b"word"] * 150)
+    edited = item[:300] + b"x" + item[301:]
+    index = decontaminate.Index([1, 2], [item, edited])
+    for n in (3_000, 12_000):
+        begin = time.time()
+        tracemalloc.start()
+        found = {h[0]: h for h in index.search("word " * n)}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found[1][3] == 0 and found[2][3] == 1
+        assert peak < 120e6 and time.time() - begin < 30
+    hidden = "other " * 2_000 + edited.decode() + " tail" * 2_000
+    (hit,) = [h for h in index.search(hidden) if h[0] == 2]
+    assert hidden[hit[1] : hit[2]] == edited.decode() and hit[3] == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_decontamination_chunks_change_nothing(chunk, monkeypatch):
+    """However few hits are counted at a time, and however narrow the parts of a stretch are, the hits are the same."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ab"), rng.integers(1, 4))) for _ in range(12)]
+    items = [" ".join(rng.choice(words, 60)).encode() for _ in range(4)]
+    texts = []
+    for _ in range(12):
+        own = bytearray(items[rng.integers(4)])
+        for _ in range(rng.integers(0, 9)):
+            own[rng.integers(len(own))] = ord("c")
+        texts.append(" ".join(rng.choice(words, 30)) + " " + own.decode() + " " + " ".join(rng.choice(words, 30)))
+    index = decontaminate.Index(list(range(4)), items)
+    want = [{h[0]: h[3] for h in index.search(t)} for t in texts]
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", chunk)
+    monkeypatch.setattr(decontaminate, "DIAGONALS", 16)
+    assert [{h[0]: h[3] for h in index.search(t)} for t in texts] == want
+    for t, own in zip(texts, want, strict=True):
+        for i, item in enumerate(items):
+            best = edit_distance_in(item, decontaminate.plain(t))
+            assert own.get(i) == (best if best <= index.budget[i] else None)
+
+
 def test_decontamination_data(spark, rows):
     bench = {r.item_id: decontaminate.plain(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     want = {(i, k) for i, r in rows.items() for k, t in bench.items() if t in decontaminate.plain(r.text)}

@@ -3,7 +3,8 @@
 Texts and benchmark items are reduced to lower-case words of letters and digits with single spaces. An item of m characters
 that occurs with at most k edits shares at least m - q + 1 - kq character q-grams with the place where it occurs, all on
 diagonals (place in the document less place in the item) at most k apart. Hits are counted in overlapping diagonal bands;
-bands with enough of them are aligned, in a band of diagonals, and reported where the item occurs with at most k edits.
+bands with enough of them are aligned, in a band of diagonals, and reported where the item occurs with at most k edits. Texts
+and items of repeated words share very many q-grams: hits are counted some at a time, and bands that touch are aligned once.
 
 The edit budget k is ``error`` (a parameter) of the item's length, less where the bound would be below one: with fewer
 shared q-grams than one, the lemma says nothing. Items shorter than q have no q-gram and are looked for as whole words.
@@ -41,6 +42,8 @@ TABLE = 22  # bits of the table that sorts out most q-grams
 BASE = 0x9E3779B97F4A7C15
 BASES = [np.uint64(pow(BASE, n, 1 << 64)) for n in (1, 2, 4)]
 BAND = 1 << 40
+HITS_AT_ONCE = 1 << 18  # shared q-grams that are counted together
+DIAGONALS = 1 << 15  # aligned together
 HITS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
@@ -106,6 +109,7 @@ class Index:
         own = [np.frombuffer(t, np.uint8) for t in self.texts]
         self.budget = np.array([max(0, min(int(self.error * len(t)), (len(t) - Q) // Q)) for t in self.texts], np.int64)
         self.least = np.array([max(1, len(t) - Q + 1 - int(k) * Q) for t, k in zip(self.texts, self.budget, strict=True)], np.int64)
+        self.length = np.array([len(t) for t in self.texts], np.int64)
         codes = [qgrams(x) if len(x) >= Q else np.empty(0, np.uint64) for x in own]
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes] or [np.empty(0, np.int64)])
@@ -144,32 +148,54 @@ class Index:
             out.append((self.ids[i], words[min(x, len(words) - 1)].start(), words[min(y, len(words) - 1)].end(), edits))
         return out
 
+    def _passing(self, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bands (item and number) with enough hits, ascending. ``at``: places of q-grams in the document, ascending; ``k``: their codes.
+
+        Hits are counted some at a time, as a text of repeated words has as many of them as its length times the item's. A band that
+        no later place can hit is decided and left behind.
+        """
+        n = self.last[k] - self.first[k]
+        upto = np.cumsum(n)
+        keys, counts, passed = np.empty(0, np.int64), np.empty(0, np.int64), [np.empty(0, np.int64)]
+        begin = done = 0
+        while begin < len(k):
+            end = max(begin + 1, int(np.searchsorted(upto, done + HITS_AT_ONCE, "right")))
+            own, m = slice(begin, end), n[begin:end]
+            hit = np.repeat(self.first[k[own]] - (upto[own] - m - done), m) + np.arange(m.sum())
+            item, diagonal = self.item[hit].astype(np.int64), np.repeat(at[own], m) - self.place[hit]
+            # bands start every budget + 1 diagonals and are twice as long, so any budget + 1 diagonals lie in one
+            cells, times = np.unique(item * BAND + np.floor_divide(diagonal, self.budget[item] + 1) + BAND // 2, return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, cells, cells - 1]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, times, times]), len(keys)).astype(np.int64)
+            item = keys // BAND
+            last = (keys % BAND - BAND // 2 + 2) * (self.budget[item] + 1) - 1
+            later = last >= at[end] - self.length[item] if end < len(k) else np.zeros(len(keys), bool)
+            passed.append(keys[~later & (counts >= self.least[item])])
+            keys, counts = keys[later], counts[later]
+            begin, done = end, upto[end - 1]
+        return np.sort(np.concatenate(passed))
+
     def _bands(self, doc: np.ndarray, data: bytes, grams: np.ndarray, at: np.ndarray, found: dict) -> None:
-        k = np.searchsorted(self.codes, grams)
-        k = np.minimum(k, len(self.codes) - 1)
+        """Puts each item's best occurrence into ``found``: bands that touch are aligned as one stretch, and only where no exact one is."""
+        k = np.minimum(np.searchsorted(self.codes, grams), len(self.codes) - 1)
         same = self.codes[k] == grams
-        k, at = k[same], at[same]
-        n = self.last[k] - self.first[k]
-        if not n.sum():
-            return
-        hit = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.item[hit].astype(np.int64), np.repeat(at, n) - self.place[hit]
-        width = self.budget[item] + 1
-        # bands start every ``width`` diagonals and are two widths long, so any budget + 1 diagonals lie in one
-        band = np.floor_divide(diagonal, width)
-        key = np.concatenate([item * BAND + band + BAND // 2, item * BAND + band - 1 + BAND // 2])
-        keys, counts = np.unique(key, return_counts=True)
-        enough = counts >= self.least[keys // BAND]
-        for x in keys[enough].tolist():
-            i, b = x // BAND, x % BAND - BAND // 2
-            if i in found and found[i][2] == 0:
+        passed = self._passing(k[same], at[same])
+        for own in np.split(passed, np.flatnonzero(np.diff(passed // BAND)) + 1) if len(passed) else []:
+            i, band = int(own[0] // BAND), own % BAND - BAND // 2
+            most, text = int(self.budget[i]), self.texts[i]
+            low, high = band * (most + 1) - most, (band + 2) * (most + 1) + most
+            cut = np.flatnonzero(low[1:] > high[:-1] + 1) + 1
+            stretches = [(int(x[0]), int(y[-1])) for x, y in zip(np.split(low, cut), np.split(high, cut), strict=True)]
+            exact = (data.find(text, max(0, a), max(0, b + len(text))) for a, b in stretches)
+            if (e := next((e for e in exact if e >= 0), -1)) >= 0:
+                found[i] = (e, e + len(text), 0)
                 continue
-            w, most = int(self.budget[i]) + 1, int(self.budget[i])
-            low, high = b * w - most, (b + 2) * w + most
-            exact = data.find(self.texts[i], max(0, low), max(0, high + len(self.texts[i])))
-            got = (exact, exact + len(self.texts[i]), 0) if exact >= 0 else align(self.own[i], doc, low, high, most)
-            if got and (i not in found or got[2] < found[i][2]):
-                found[i] = got
+            # parts of a long stretch overlap by more diagonals than an occurrence has
+            wide = max(DIAGONALS, 8 * most)
+            for a, b in ((x, min(x + wide, b)) for a, b in stretches for x in range(a, b + 1, wide - 2 * most)):
+                got = align(self.own[i], doc, a, b, most)
+                if got and (i not in found or got[2] < found[i][2]):
+                    found[i] = got
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int | None], list[bytes]]]:
