@@ -233,3 +233,19 @@ def test_discovery_counts_only_runs_of_frequent_words(spark):
 def test_dedup_keeps_chains(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", "z")], "id long, k1 string, k2 string")
     assert {r.id: r.survivor for r in dedup.dedup_identities(df, "id", ["k1", "k2"], [F.asc("id")]).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_requests_with_odd_rows(spark):
+    """Nulls, blank and short terms, words next to letters with accents, signs, repeated rows."""
+    from datetime import date
+
+    from vigilis.operators import matching
+
+    day = date(2024, 1, 10)
+    reports = [(1, "ÉLA case", None, None, day, None), (2, "la case", None, "http://x", None, "Viet"), (3, None, None, None, day, None), (4, "dengue-la", "c-1 found", None, day, ""), (4, "dengue-la", "c-1 found", None, day, "")]
+    reports = spark.createDataFrame(reports, "report_id long, title string, summary string, url string, published_at date, source_country string")
+    requests = [(1, ["LA ", "", None], None, None, None), (2, ["dengue", "dengue"], day, day, ""), (3, ["c-1", "++"], None, day, None), (4, ["case"], day, None, "Viet Nam"), (5, None, None, None, None), (6, ["case"], date(2024, 2, 1), None, None)]
+    requests = spark.createDataFrame(requests, "request_id long, terms array<string>, since date, until date, country string")
+    got = sorted(map(tuple, matching.match_requests(reports, requests).collect()))
+    assert got == [(2, 1), (2, 4), (2, 6), (4, 1), (4, 2), (4, 3)]
+    assert matching.match_requests(reports.limit(0), requests).count() == 0 and matching.match_requests(reports, requests.limit(0)).count() == 0

@@ -3,9 +3,10 @@
 import json
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
-from vigilis.sources import adapters, readers, writers
+from vigilis.sources import adapters, datasource, readers, writers
 
 
 def test_mapped_csv(spark, tmp_path):
@@ -105,3 +106,56 @@ def test_snapshot_replaces_its_key_alone(spark, tmp_path):
     writers.write_kpi_snapshot(one.select((F.col("cases") + 1).alias("cases")), path, "a|all", date(2024, 1, 2))
     assert {(r.filter_key, r.cases) for r in spark.read.parquet(path).collect()} == {("a|all", 2), ("b|all", 1)}
     assert writers.filter_key("Asia", None, 1, 2) == "asia|all|1|2"
+
+
+def test_formats_of_odd_files(spark, tmp_path):
+    import gzip
+
+    datasource.register(spark)
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/_SUCCESS").write_text("")
+    (tmp_path / "f/empty.xml").write_text("")
+    (tmp_path / "f/cut.xml").write_text('<rss><channel><item><title>A</title><link>http://a</link></item><item><title>B')
+    (tmp_path / "f/ns.xml").write_text('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry><a:link href="http://b"/><a:content>x <i>y</i></a:content></a:entry><a:entry><a:title>no link</a:title></a:entry></a:feed>')
+    rows = {(r.kind, r.title, r.link, r.summary) for r in spark.read.format("feed").load(str(tmp_path / "f")).collect()}
+    assert rows == {("rss", "A", "http://a", None), ("atom", None, "http://b", "x y")}
+    with pytest.raises(Exception, match="cut.xml|empty.xml"):
+        spark.read.format("feed").option("mode", "FAILFAST").load(str(tmp_path / "f")).collect()
+    (tmp_path / "s.xml.gz").write_bytes(gzip.compress(b"<urlset><url><loc> http://a </loc></url><url/></urlset>"))
+    assert [(r.kind, r.loc, r.lastmod) for r in spark.read.format("sitemap").load(str(tmp_path / "s.xml.gz")).collect()] == [("url", "http://a", None)]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/a.json").write_text('{\n "rows": [1, {"a": null}]\n}')
+    (tmp_path / "j/b.json").write_text('[]\n\n{"x": 1}\n')
+    got = sorted((r.path[-6:], r.place, r.record) for r in spark.read.format("records").option("partitionBytes", 1).load(str(tmp_path / "j")).collect())
+    assert got == [("a.json", 0, "1"), ("a.json", 1, '{"a": null}'), ("b.json", 0, '{"x": 1}')]
+    (tmp_path / "p").mkdir()
+    assert spark.read.format("points").load(str(tmp_path / "p")).count() == 0
+
+
+def test_a_feed_as_a_stream(spark, tmp_path):
+    """What has come in since is read once; a restart goes on where the last batch ended."""
+    import os
+
+    datasource.register(spark)
+    (tmp_path / "in").mkdir()
+    seen = []
+
+    def run():
+        q = spark.readStream.format("feed").load(str(tmp_path / "in")).writeStream.option("checkpointLocation", str(tmp_path / "c"))
+        q.trigger(availableNow=True).foreachBatch(lambda df, n: seen.append(sorted(r.link for r in df.collect()))).start().awaitTermination()
+
+    for i, names in enumerate((["a", "b"], ["c"])):
+        for k, n in enumerate(names):
+            f = tmp_path / "in" / f"{n}.xml"
+            f.write_text(f"<rss><item><link>http://{n}</link></item></rss>")
+            os.utime(f, (1_700_000_000 + 100 * i + k,) * 2)
+        run()
+    run()
+    assert [x for x in seen if x] == [["http://a", "http://b"], ["http://c"]]
+
+
+def test_sitemaps_that_name_each_other(spark):
+    rows = [("a", "sitemap", "b", None), ("b", "sitemap", "a", None), ("b", "url", "http://x", "2024"), ("c", "url", "http://y", None)]
+    entries = spark.createDataFrame(rows, "location string, kind string, loc string, lastmod string")
+    out = readers.follow_sitemaps(entries, spark.createDataFrame([("a",), ("a",)], "location string"), 4)
+    assert [tuple(r) for r in out.collect()] == [("http://x", "2024", 1)]

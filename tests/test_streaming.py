@@ -92,3 +92,29 @@ def test_stale_runs_time_out(spark, tmp_path):
         next((tmp_path / f"x{i}").glob("part*")).rename(tmp_path / "in" / f"{i}.parquet")
     jobs.run_available(jobs.stale_runs_stream(jobs.read_files(spark, str(tmp_path / "in"), schema)), str(tmp_path / "c"), "append", "stale")
     assert rows(spark.table("stale")) == [(1, 10, "FAILED"), (1, 11, "SUCCESS"), (2, 20, "SUCCESS")]
+
+
+def test_run_sessions_close_once(spark, tmp_path):
+    """A run is closed once, by its end or by its timer, over restarts from the checkpoint, repeated rows and ends that come late."""
+    from vigilis.streaming import sessions
+
+    old = spark.conf.get(sessions.PROVIDER)
+    sessions.use_state_timers(spark)
+    (tmp_path / "in").mkdir()
+    schema = "source_id long, run_id long, status string, at timestamp"
+    parts = [
+        [(1, 10, "RUNNING", "2024-01-01 00:00:00"), (1, 11, "RUNNING", "2024-01-01 00:05:00"), (1, None, "RUNNING", "2024-01-01 00:05:00")],
+        [(1, 11, "SUCCESS", "2024-01-01 00:15:00"), (2, 20, "RUNNING", "2024-01-01 09:00:00")],
+        [(1, 10, "SUCCESS", "2024-01-01 09:05:00"), (2, 20, "SUCCESS", "2024-01-01 09:06:00"), (2, 20, "SUCCESS", "2024-01-01 09:06:00")],
+        [(2, 20, "FAILED", "2024-01-01 09:20:00"), (3, 30, "FAILED", "2024-01-01 09:21:00")],
+    ]
+    out = []
+    try:
+        for i, own in enumerate(parts):  # the query is begun anew for each part
+            spark.createDataFrame(own, "source_id long, run_id long, status string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(str(tmp_path / f"x{i}"))
+            next((tmp_path / f"x{i}").glob("part*")).rename(tmp_path / "in" / f"{i}.parquet")
+            df = sessions.run_sessions_stream(jobs.read_files(spark, str(tmp_path / "in"), schema))
+            jobs.run_available(df, str(tmp_path / "c"), batch=lambda b, n: out.extend(map(tuple, b.collect())))
+    finally:
+        spark.conf.set(sessions.PROVIDER, old)
+    assert sorted(out) == [(1, 10, "FAILED"), (1, 11, "SUCCESS"), (2, 20, "SUCCESS"), (3, 30, "FAILED")]

@@ -105,10 +105,12 @@ def match_articles(reports: DataFrame, requests: DataFrame) -> DataFrame:
     One-word terms are found by an equi-join on the reports' words; terms of several words by a search of the reports that
     have their first word.
     """
-    words = reports.select("report_id", "text", "published_at", F.explode(F.array_distinct(F.split(alias_key(F.col("text")), " "))).alias("word"))
+    words = reports.select("report_id", F.explode(F.array_distinct(F.split(alias_key(F.col("text")), " "))).alias("word"))
     terms = requests.select("request_id", "since", "until", F.explode("terms").alias("term")).withColumn("term", alias_key(F.col("term")))
-    hit = words.join(terms, F.substring_index("term", " ", 1) == F.col("word"))
+    pairs = words.join(terms, F.substring_index("term", " ", 1) == F.col("word")).select("report_id", "request_id", "term", "since", "until").distinct()
     whole = F.contains(F.concat(F.lit(" "), alias_key(F.col("text")), F.lit(" ")), F.concat(F.lit(" "), F.col("term"), F.lit(" ")))
+    # words and ids meet terms; the texts of those pairs alone are fetched
+    hit = reports.select("report_id", "text", "published_at").join(pairs, "report_id")
     return hit.where(whole & F.col("published_at").between(F.col("since"), F.col("until"))).select("report_id", "request_id").distinct()
 
 

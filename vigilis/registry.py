@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilis.plans import QUERIES, SQL, kpi, scale, streams, tables, texts  # noqa: F401
+from vigilis.plans import QUERIES, SQL, kpi, scale, sources, streams, tables, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -86,6 +86,11 @@ def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     return rss.unionByName(atom).where("link is not null")
 
 
+def clean_feed(items: DataFrame) -> DataFrame:
+    """Rows of the format ``feed`` with summaries without markup."""
+    return items.withColumn("summary", strip_markup(F.col("summary")))
+
+
 def read_sitemap(spark: SparkSession, files: DataFrame, max_depth: int = 3, limit: int | None = None) -> DataFrame:
     """url, lastmod, depth from sitemap files. ``files``: location, content (XML), is_root. Indexes are followed by joins, ``max_depth`` levels deep."""
     entry = lambda tag: F.regexp_extract_all("content", F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), 1)
@@ -101,6 +106,22 @@ def read_sitemap(spark: SparkSession, files: DataFrame, max_depth: int = 3, limi
     return out.orderBy("depth", "url").limit(limit) if limit else out
 
 
+def follow_sitemaps(entries: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
+    """url, lastmod, depth from entries of sitemap files (location, kind, loc, lastmod), beginning with those of ``roots`` (location).
+
+    An index's entries name further locations; each level is one join, ``max_depth`` of them. A location is read at its first
+    level alone, so files that name each other do no harm.
+    """
+    level, seen, out = roots.select("location").distinct(), None, None
+    for depth in range(max_depth):
+        seen = level if seen is None else seen.unionByName(level)
+        here = entries.join(level, "location")
+        urls = here.where("kind = 'url'").select(F.col("loc").alias("url"), "lastmod", F.lit(depth).alias("depth"))
+        out = urls if out is None else out.unionByName(urls)
+        level = here.where("kind = 'sitemap'").select(F.col("loc").alias("location")).distinct().join(seen, "location", "left_anti")
+    return out.groupBy("url").agg(F.max("lastmod").alias("lastmod"), F.min("depth").alias("depth"))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)^https?://([^/?#:]+)", 1))
 
