@@ -249,3 +249,25 @@ def test_requests_with_odd_rows(spark):
     got = sorted(map(tuple, matching.match_requests(reports, requests).collect()))
     assert got == [(2, 1), (2, 4), (2, 6), (4, 1), (4, 2), (4, 3)]
     assert matching.match_requests(reports.limit(0), requests).count() == 0 and matching.match_requests(reports, requests.limit(0)).count() == 0
+
+
+def test_short_forms_of_places(spark):
+    """Short forms bound by a unique place, a scope, a hint, cues; nulls, repeated rows and empty tables."""
+    from vigilis.operators import abbreviations
+
+    places = [
+        (1, "Sumatera Selatan", "Indonesia", "Sumatera Selatan", None, 1, ["Sumsel"], None), (2, "Ogan Komering Ulu", "Indonesia", "Sumatera Selatan", "Ogan Komering Ulu", 2, ["OKU", "ulu"], ["Banyuasin"]),
+        (3, "Ulu Langat", "Malaysia", "Selangor", None, 2, ["Ulu", "", None], ["Kajang"]), (4, None, None, None, None, None, None, None),
+    ]
+    places = spark.createDataFrame(places, "place_id long, canonical string, country string, admin1 string, admin2 string, level int, aliases array<string>, cues array<string>")
+    docs = [
+        (1, "Dinkes Sumsel catat 1.426 kasus", None), (2, "Kabupaten Banyuasin: 85 kasus; Ulu 80", None), (3, "Ulu and Kajang", None), (4, "Ulu", "MALAYSIA"), (5, "Ulu", None), (6, None, "x"), (7, "Sumselan", None),
+        (8, "Dinkes Sumatera Selatan: Ulu", None), (8, "Dinkes Sumatera Selatan: Ulu", None), (None, "OKU", None),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, country_hint string")
+    found = abbreviations.resolve_abbreviations(docs, places)
+    assert sorted(map(tuple, found.collect())) == [(1, "sumsel", 1), (2, "ulu", 2), (3, "ulu", 3), (4, "ulu", 3), (5, "ulu", None), (8, "ulu", 2)]
+    rows = [(1, 5, None, ["Palembang"]), (2, None, 1, ["x / ogan komering ulu"]), (3, 0, 0, []), (5, 1, 0, ["Ulu"]), (6, 3, 0, None)]
+    rows = spark.createDataFrame(rows, "doc_id long, cases int, deaths int, resolved array<string>")
+    assert sorted(map(tuple, abbreviations.geo_uncertain(rows, found, places).collect())) == [(1, True), (2, False), (3, False), (5, True), (6, False)]
+    assert abbreviations.resolve_abbreviations(docs.limit(0), places).count() == 0 and abbreviations.resolve_abbreviations(docs, places.limit(0)).count() == 0

@@ -1,4 +1,4 @@
-"""Queries on unspaced scripts, administrative trees, running sums over whole tables, identity classes and bucketed sinks."""
+"""Queries on unspaced scripts, administrative trees and short forms, running sums over whole tables, identity classes and bucketed sinks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vigilis.functions import text
-from vigilis.operators import dedup, lookup, prefix, scripts, textjobs, tree
+from vigilis.operators import abbreviations, dedup, lookup, prefix, scripts, textjobs, tree
 from vigilis.plans import query
 from vigilis.sources import adapters as a
 from vigilis.streaming import buckets, jobs
@@ -143,3 +143,39 @@ def ss8_bucketed_sink(spark, d):
 def fn16_fold_accents(spark, d):
     docs = a.scan(spark, d, "documents", ["doc_id", "text"])
     return docs.select("doc_id", F.sha2(text.fold_accents(F.col("text")), 256).alias("folded"))
+
+
+#: Nations as places: N0 to N6 stand for several of them, U0 to U24 for one.
+SHORT_SQL = """places AS (SELECT n_nationkey AS i, n_name AS name, r_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey),
+  docs AS (SELECT c_custkey AS doc_id, c_custkey % 7 AS a, c_custkey % 4 AS mode, c_custkey % 25 AS b FROM customer),
+  own AS (SELECT docs.*, p.name AS scope, p.country AS near FROM docs JOIN places p ON p.i = b),
+  scored AS (SELECT doc_id, 'n' || a AS alias, i, CASE mode WHEN 1 THEN CASE WHEN i = b THEN 10 ELSE 0 END WHEN 2 THEN CASE WHEN country = near THEN 35 ELSE 0 END + CASE WHEN name = scope THEN 50 ELSE 0 END WHEN 3 THEN CASE WHEN country = near THEN 20 ELSE 0 END ELSE 0 END AS score FROM own JOIN places ON i % 7 = a),
+  found AS (SELECT doc_id, alias, CASE WHEN max(score) > 0 THEN arg_max(i, (score, -i)) END AS place_id FROM scored GROUP BY 1, 2 UNION ALL SELECT doc_id, 'u' || b, b FROM docs WHERE doc_id % 3 = 0)"""
+
+
+def short_forms(spark, d):
+    n = a.scan(spark, d, "nation").join(F.broadcast(a.scan(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
+    k, c = F.col("n_nationkey"), F.col("c_custkey")
+    aliases = F.array(F.concat(F.lit("N"), k % 7), F.concat(F.lit("U"), k))
+    places = n.select(k.cast("long").alias("place_id"), F.col("n_name").alias("canonical"), F.col("r_name").alias("country"), F.col("r_name").alias("admin1"), F.lit(None).cast("string").alias("admin2"), F.lit(1).alias("level"), aliases.alias("aliases"), F.array(F.concat(F.lit("Cue"), k, F.lit("x"))).alias("cues"))
+    own = a.scan(spark, d, "customer", ["c_custkey"]).join(F.broadcast(n.select(k, "n_name", "r_name")), c % 25 == k)
+    said = F.when(c % 4 == 1, F.concat(F.lit(" cue"), k, F.lit("x"))).when(c % 4 == 2, F.concat(F.lit(" Dinkes "), "n_name")).otherwise("")
+    text_ = F.concat(F.lit("Kasus di N"), c % 7, F.lit("."), said, F.when(c % 3 == 0, F.concat(F.lit(" dan U"), k)).otherwise(""))
+    return own.select(c.alias("doc_id"), text_.alias("text"), F.when(c % 4 == 3, F.col("r_name")).alias("country_hint"), F.col("n_name").alias("own")), places
+
+
+@query(f"WITH {SHORT_SQL} SELECT doc_id, alias, place_id FROM found")
+def tx15_abbreviations(spark, d):
+    """Short forms of nations in texts, told apart by cues, the text's own place and the country hinted at."""
+    return abbreviations.resolve_abbreviations(*short_forms(spark, d))
+
+
+@query(f"""WITH {SHORT_SQL}, named AS (SELECT f.doc_id, p.name AS place FROM found f LEFT JOIN places p ON p.i = f.place_id) SELECT o.doc_id, o.doc_id % 2 = 0 AND bool_or(place IS NULL OR place <> scope) AS geo_uncertain FROM own o JOIN named n ON o.doc_id = n.doc_id GROUP BY o.doc_id""")
+def tx15_geo_uncertain(spark, d):
+    """Whether a text with counts has a short form that isn't bound to its resolved place."""
+    docs, places = short_forms(spark, d)
+    found = abbreviations.resolve_abbreviations(docs, places)
+    k = F.col("doc_id")
+    # names of provinces are the nations' own here, so that a region alone binds nothing
+    rows = docs.select(k, F.when(k % 2 == 0, 5).otherwise(0).alias("cases"), F.lit(None).cast("int").alias("deaths"), F.array(F.concat(F.lit("x; "), F.lower("own"))).alias("resolved"))
+    return abbreviations.geo_uncertain(rows, found, places.withColumn("admin1", F.col("canonical")))
