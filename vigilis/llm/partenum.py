@@ -8,9 +8,9 @@ one whose cells hold no difference. A set has signatures for its own band and fo
 
 An element's cell adds up the hashes of its elements, so the signature of a choice is a sum of a few cells' sums. Signatures
 only propose; the exact sets decide. Before that a sketch, parities of the elements' numbers by group, rules pairs out that differ in too
-many elements: it never rules a link out, and such pairs don't leave a join. Sets are compared in rounds so that no group is expanded into all its pairs: with the least
-set of one shared signature, with the least of every shared signature, and then those that a signature holds together but no
-chain of links does.
+many elements: it never rules a link out, and such pairs don't leave a join. Sets are compared in rounds so that no group is
+expanded into all its pairs: with the least set of one shared signature, with the least of every shared signature, ``DRAWS`` times
+with a set of another component drawn from each, and then those that a signature holds together but no chain of links does.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; rows of one doc_id are one document; a
 null doc_id is linked with nothing and has no component; equal sets are one set throughout; an empty table gives no rows;
@@ -38,6 +38,8 @@ from vigilis.llm.tokens import batches
 CELLS, MISSED = 3, 1
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
+#: Rounds in which each signature's sets meet one drawn from another component, before all such pairs are compared.
+DRAWS = 2
 #: The filter of shared signatures has 2 to the power of this many bits at most: 16 MB.
 FILTER_BITS = 27
 CHOICES = np.array([[c in own for c in range(CELLS)] for own in combinations(range(CELLS), CELLS - MISSED)], np.uint64)
@@ -211,26 +213,50 @@ def key_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
         bits = sum(F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))).cast("long") for i in range(SKETCH))
         return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (bits * (100 + percent) <= (nx + ny) * (100 - percent))
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(known.alias("x"), F.col("a") == F.col("x.key")).join(known.alias("y"), (F.col("b") == F.col("y.key")) & near("x", "y")).select("a", "b")
+
     pairs = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    met = pairs.join(known.alias("x"), F.col("a") == F.col("x.key")).join(known.alias("y"), (F.col("b") == F.col("y.key")) & near("x", "y"))
-    pairs = written(met.select("a", "b"), "first_pairs")
+    pairs = written(plausible(pairs), "first_pairs")
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, firsts, words, percent)
     roots = written(components(links), "roots")
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     other = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     links = links.unionByName(verified(other.select("a", "b"), docs, firsts, words, percent))
-    roots = written(components(links), "roots")
-    own = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
-    apart = own.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("in_cell")).where("r1 < r2 and in_cell > 2")
-    own = written(own.join(apart.select("cell"), "cell").join(known, "key"), "apart")
+
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = members.select("cell", "key")
+    for k in range(DRAWS):
+        own = mixed_cells(members, written(components(links), "roots"), k)
+        members = own.select("cell", "key")
+        asked = own.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
+        asked = written(plausible(asked.join(tried, ["a", "b"], "left_anti")), "asked")
+        links = links.unionByName(verified(asked, docs, firsts, words, percent))
+        tried = tried.unionByName(asked)
+    own = written(mixed_cells(members, written(components(links), "roots"), DRAWS).join(known, "key"), "apart")
     x, y = own.alias("x"), own.alias("y")
     meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
     rest = x.join(y, meet).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti"), docs, firsts, words, percent))
 
 
+def mixed_cells(members: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """cell, key, root, partner for cells of ``members`` (cell, key) with sets of several components; the ``k``-th draw of partners.
+
+    A partner is a set of the same cell and another component: one drawn for the cell, else that of its least or largest root.
+    Cells of two are left out, as their pair has been compared. A cell is aggregated, never gathered.
+    """
+    own = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
+    draw = F.xxhash64("key", "cell", F.lit(k))
+    ends = own.groupBy("cell").agg(
+        F.min_by("key", draw).alias("drawn"), F.min_by("root", draw).alias("r0"), F.count("*").alias("in_cell"),
+        F.min("root").alias("r1"), F.min_by("key", "root").alias("low"), F.max("root").alias("r2"), F.max_by("key", "root").alias("high"),
+    )
+    partner = F.when(F.col("r0") != F.col("root"), F.col("drawn")).when(F.col("r1") != F.col("root"), F.col("low")).otherwise(F.col("high"))
+    return written(own.join(ends.where("r1 < r2 and in_cell > 2"), "cell").select("cell", "key", "root", partner.alias("partner")), "mixed")
+
+
 def similar_sets(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) for every row of ``docs``."""
     need(docs, ["doc_id", "text"])
