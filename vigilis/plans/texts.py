@@ -224,6 +224,17 @@ def tx22_score(spark, d):
     return model.transform(docs).select("doc_id", F.round(vector_to_array("probability")[1], 4).alias("score"))
 
 
+@query()
+def tx22_targets(spark, d):
+    """Relevance, tone and language of every document, by models learned from the documents that ``labels`` covers."""
+    from vigilis.operators import scoring
+
+    docs = a.scan(spark, d, "documents", ["doc_id", "text", "lang"])
+    marks = a.scan(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "high").otherwise("low").alias("relevance"), F.when(F.col("toxic") == 1, "negative").otherwise("neutral").alias("tone"))
+    found = scoring.fit_targets(docs.join(marks, "doc_id").withColumnRenamed("lang", "language"), ["relevance", "tone", "language"])
+    return scoring.score_targets(docs, found)
+
+
 @query(f"""WITH {ARTICLES_SQL}, w AS (SELECT doc_id, make_date(1996, 1, 4) - CAST(dayofweek(make_date(1996, 1, 4)) AS INTEGER) + CAST(cases % 50 AS INTEGER) * 7 AS f FROM arts) SELECT doc_id, f AS first_day, f + 6 AS last_day, 'week' AS source FROM w""")
 def tx23_event_period(spark, d):
     return textjobs.event_period(articles_of(spark, d))
