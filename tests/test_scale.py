@@ -87,6 +87,19 @@ def test_unspaced_mentions(spark):
     assert scripts.unspaced_mentions(docs.limit(0), lex).count() == 0
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_unspaced_mentions_send_no_texts_to_the_driver(spark, tmp_path, monkeypatch, few):
+    """Texts made from ids look small to the planner; they are read once with a small lexicon and shuffled with a large one."""
+    monkeypatch.setattr(scripts, "FEW", few)
+    spark.range(300).write.parquet(str(tmp_path / "ids"))
+    docs = spark.read.parquet(str(tmp_path / "ids")).select(F.col("id").alias("doc_id"), F.concat(F.lit("พบ"), F.element_at(F.array(*[F.lit(a) for a, _ in LEX]), (F.col("id") % len(LEX) + 1).cast("int"))).alias("text"))
+    out = scripts.unspaced_mentions(docs, spark.createDataFrame(LEX, "alias string, concept string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("BroadcastHashJoin")) == ((1, 1) if few else (2, 0))
+    want = brute_mentions([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted((r.doc_id, r.start, r.end, r.concept) for r in out.collect()) == sorted(want)
+
+
 def test_index_takes_the_rarest(spark):
     lex = spark.createDataFrame([("甲乙丙", "a"), ("甲乙丁", "b"), ("丁甲乙", "c")], "alias string, concept string")
     got = {r.concept: (r.gram, r.k) for r in scripts.gram_index(lex, 2).collect()}

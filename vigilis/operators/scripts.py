@@ -2,7 +2,8 @@
 
 Thai, Lao, Khmer, Burmese, Chinese and Japanese words stand one behind another, so an alias can begin anywhere. Each alias is known by
 one of its q-grams, the one that the fewest aliases share. The q-grams of texts meet those by an equi-join; where they meet,
-the alias is compared in full at its place. Only texts with such scripts are cut, and only hits meet texts again.
+the alias is compared in full at its place. Only texts with such scripts are cut. A small lexicon is compared where the texts lie; with a
+large one only hits meet texts again, by a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from vigilis.operators.dedup import drop_nested
 #: Scripts whose words aren't divided by spaces.
 UNSPACED = "".join(f"\\p{{Is{s}}}" for s in ("Thai", "Lao", "Khmer", "Myanmar", "Han", "Hiragana", "Katakana"))
 
+#: Aliases up to which a lexicon is sent to the scan of the texts.
+FEW = 1000
+
 
 def entity_key(text: Column) -> Column:
     """Letters, their marks and digits in lower case without accents, with single spaces."""
@@ -50,11 +54,20 @@ def unspaced_mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text", q
     """
     keyed = docs.select("doc_id", entity_key(F.col(text)).alias("key")).where(F.col("key").rlike(f"[{UNSPACED}]"))
     keyed = keyed.select("doc_id", characters(F.col("key")).alias("chars"))
-    cut = keyed.select("doc_id", F.inline(grams(F.col("chars"), q)).alias("at", "gram"))
-    hits = cut.join(gram_index(lexicon, q), "gram").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "size", "alias", "concept")
-    met = keyed.join(hits.where("start >= 0"), "doc_id")
+    index = gram_index(lexicon, q)
+    few = index.limit(FEW + 1).collect()
+    found_grams = grams(F.col("chars"), q)
+    if len(few) <= FEW:
+        own = F.filter(found_grams, lambda g: g["gram"].isin(sorted({r.gram for r in few})))
+        rows = keyed.select("doc_id", "chars", F.inline(own).alias("at", "gram"))
+        met = rows.join(F.broadcast(docs.sparkSession.createDataFrame(few, index.schema)), "gram").withColumn("start", F.col("at") - F.col("k"))
+    else:
+        # texts are made from narrow rows: their size isn't known before, so neither join may send them to the driver
+        cut = keyed.select("doc_id", F.inline(found_grams).alias("at", "gram"))
+        hits = cut.join(index.hint("merge"), "gram").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "size", "alias", "concept")
+        met = keyed.join(hits.where("start >= 0").hint("merge"), "doc_id")
     outside = lambda i: ~F.coalesce(F.when(i >= 0, F.get("chars", i)), F.lit(" ")).rlike("[a-z0-9]")
     whole = F.array_join(F.slice("chars", F.col("start") + 1, F.col("size")), "") == F.col("alias")
     end = F.col("start") + F.col("size")
-    found = met.where(whole & outside(F.col("start") - 1) & outside(end)).select("doc_id", "start", end.alias("end"), "alias", "concept")
+    found = met.where("start >= 0").where(whole & outside(F.col("start") - 1) & outside(end)).select("doc_id", "start", end.alias("end"), "alias", "concept")
     return drop_nested(found)
