@@ -859,6 +859,43 @@ def test_pipeline_links_all_at_eight_tenths(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, made, DATA).collect()} == want
 
 
+def near_copies(n, changed, seed=7):
+    """``n`` texts of 100 words, each with ``changed`` words of one text replaced."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(n):
+        own = list(base)
+        for j, at in enumerate(rng.choice(100, changed, replace=False)):
+            own[at] = f"x{k}y{j}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_near_copies_are_not_all_compared(spark, monkeypatch):
+    """Copies on either side of the limit: most are apart, and pairs that can't be links don't leave a join."""
+    seen, verify = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: seen.append(common.written(pairs, "p")) or verify(seen[-1], *rest))
+    texts = near_copies(300, 2)
+    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    roots = similar_roots(dict(enumerate(texts)))
+    classes = lambda of: {frozenset(i for i in of if of[i] == r) for r in set(of.values())}
+    assert classes(got) == classes(roots) and len(classes(got)) < 300
+    assert sum(p.count() for p in seen) < 300 * 12
+
+
+def test_fingerprints_propose_sets(spark, monkeypatch):
+    """Without minima, sets whose fingerprints are within four bits are still met, and linked by their shingles alone."""
+    monkeypatch.setattr(simhash, "bands", lambda own: np.empty(0, np.int64))
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(["begin", *base]), "all by itself", None]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts[:3]]
+    assert all((simhash.fingerprint(sets[0]) ^ simhash.fingerprint(x)).bit_count() <= 4 for x in sets)
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = {r.doc_id: r.component for r in got}
+    assert classes[0] == classes[1] == classes[2] and len(set(classes.values())) == 3
+
+
 def test_pipeline_keeps_unique_text_of_shared_id(spark):
     one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
     rows = [(1, one), (5, one + " end"), (5, two), (5, two), (6, two), (7, "all by itself"), (7, "another by itself")]

@@ -32,14 +32,11 @@ from pyspark.sql import functions as F
 from vigilis.llm.common import need, written
 from vigilis.llm.components import components
 from vigilis.llm.held import hold
+from vigilis.llm.rounds import DRAWS, mixed, mixed_cells, near, plausible, sketch
 from vigilis.llm.simhash import SEED, shingle_hashes
 from vigilis.llm.tokens import batches
 
 CELLS, MISSED = 3, 1
-#: Words of 64 bits in a set's sketch.
-SKETCH = 16
-#: Rounds in which each signature's sets meet one drawn from another component, before all such pairs are compared.
-DRAWS = 2
 #: The filter of shared signatures has 2 to the power of this many bits at most: 16 MB.
 FILTER_BITS = 27
 CHOICES = np.array([[c in own for c in range(CELLS)] for own in combinations(range(CELLS), CELLS - MISSED)], np.uint64)
@@ -59,13 +56,6 @@ def differences(most: int, percent: int) -> int:
     return 2 * most * (100 - percent) // (100 + percent)
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    """64-bit numbers stirred, so that their sums and remainders are those of random ones."""
-    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
 def part_signatures(own: np.ndarray, number: int, most: int, percent: int) -> np.ndarray:
     """Signatures of a set (distinct 64-bit hashes) for band ``number`` with sets of at most ``most`` elements."""
     k = differences(most, percent)
@@ -92,15 +82,6 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(both).view(np.int64)
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """The parity of the number of elements in each of 64 · SKETCH groups, as signed numbers.
-
-    An element that one set has and another hasn't turns one bit, so sets differ in at least as many elements as their sketches in bits.
-    """
-    groups = np.bincount((mixed(own, 1 << 40) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
-    return np.packbits(groups % 2 == 1, bitorder="little").view(np.int64)
-
-
 def set_key(own: np.ndarray) -> int:
     """A sorted set's 64-bit hash, signed. Among a billion sets, two are taken for one with a probability of 3 %."""
     import xxhash
@@ -207,17 +188,8 @@ def key_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     known = rows.where("signatures is not null").select("key", "n", "sketch").join(members.select("key").distinct(), "key", "left_semi")
     known = written(known.dropDuplicates(["key"]), "known")
 
-    def near(x: str, y: str) -> F.Column:
-        """Sizes and sketches of two rows allow a link."""
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        bits = sum(F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))).cast("long") for i in range(SKETCH))
-        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (bits * (100 + percent) <= (nx + ny) * (100 - percent))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(known.alias("x"), F.col("a") == F.col("x.key")).join(known.alias("y"), (F.col("b") == F.col("y.key")) & near("x", "y")).select("a", "b")
-
     pairs = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = written(plausible(pairs), "first_pairs")
+    pairs = written(plausible(pairs, known, percent), "first_pairs")
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, firsts, words, percent)
     roots = written(components(links), "roots")
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -231,32 +203,16 @@ def key_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
         own = mixed_cells(members, written(components(links), "roots"), k)
         members = own.select("cell", "key")
         asked = own.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
-        asked = written(plausible(asked.join(tried, ["a", "b"], "left_anti")), "asked")
+        asked = written(plausible(asked.join(tried, ["a", "b"], "left_anti"), known, percent), "asked")
         links = links.unionByName(verified(asked, docs, firsts, words, percent))
         tried = tried.unionByName(asked)
     own = written(mixed_cells(members, written(components(links), "roots"), DRAWS).join(known, "key"), "apart")
     x, y = own.alias("x"), own.alias("y")
-    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
+    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y", percent)
     rest = x.join(y, meet).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     return links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti"), docs, firsts, words, percent))
 
 
-def mixed_cells(members: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-    """cell, key, root, partner for cells of ``members`` (cell, key) with sets of several components; the ``k``-th draw of partners.
-
-    A partner is a set of the same cell and another component: one drawn for the cell, else that of its least or largest root.
-    Cells of two are left out, as their pair has been compared. A cell is aggregated, never gathered.
-    """
-    own = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
-    draw = F.xxhash64("key", "cell", F.lit(k))
-    ends = own.groupBy("cell").agg(
-        F.min_by("key", draw).alias("drawn"), F.min_by("root", draw).alias("r0"), F.count("*").alias("in_cell"),
-        F.min("root").alias("r1"), F.min_by("key", "root").alias("low"), F.max("root").alias("r2"), F.max_by("key", "root").alias("high"),
-    )
-    partner = F.when(F.col("r0") != F.col("root"), F.col("drawn")).when(F.col("r1") != F.col("root"), F.col("low")).otherwise(F.col("high"))
-    return written(own.join(ends.where("r1 < r2 and in_cell > 2"), "cell").select("cell", "key", "root", partner.alias("partner")), "mixed")
-
-
 def similar_sets(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) for every row of ``docs``."""
     need(docs, ["doc_id", "text"])

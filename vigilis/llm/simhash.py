@@ -10,9 +10,10 @@ fingerprints themselves decide. Equal fingerprints are one row before any of tha
 How many bands must be equal follows from the number of fingerprints (``equal_bands``): with more of them a cell is made
 narrower, so that chance candidates of a fingerprint stay few; none is lost with any number of bands.
 
-``similar_documents`` is the pipeline's: it links texts by the similarity of their shingle sets, not by fingerprints. A radius of 13
-bits would need 16 bands of two segments, whose cells hold large parts of a corpus. So candidates share one of BANDS hashes
-of ROWS minima each (a pair at 0.8 shares none with a probability of 7 in 100,000), and the exact sets decide.
+``similar_documents`` is the pipeline's: it links texts by the similarity of their shingle sets. Fingerprints of the sets within
+``bits`` are found as above, and the exact sets decide. Sets at 0.8 are up to 13 bits apart, and a radius of 13 would need 16 bands of
+two segments, whose cells hold large parts of a corpus. So sets that share one of BANDS hashes of ROWS minima are compared as well (a
+pair at 0.8 shares none with a probability of 7 in 100,000).
 
 Defined results: null and wordless texts have the fingerprint 0, which links like any other; a null doc_id has a fingerprint
 and is in a component, whose id is its smallest non-null doc_id; repeated rows are kept; an empty table gives no rows; further
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from vigilis.llm.common import dropped, need, written
 from vigilis.llm.components import components
 from vigilis.llm.held import hold
+from vigilis.llm.rounds import DRAWS, mixed_cells, near, plausible, sketch
 from vigilis.llm.tokens import batches
 
 SEED = 42
@@ -145,7 +147,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, key (hash of the set), bands and shingles (distinct) for every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, key (hash of the set), fp (its fingerprint), sketch, bands and shingles (distinct) for every row of ``docs`` (doc_id, text)."""
     need(docs, ["doc_id", "text"])
 
     def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +160,12 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for at in batches(texts, 1_000_000):
                 own = [np.unique(shingle_hashes(t, words)) for t in texts[at]]
                 keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
-                made = [pa.array(keys), pa.array([bands(x) for x in own], lists), pa.array([x.view(np.int64) for x in own], lists)]
+                made = [pa.array(keys), pa.array([fingerprint(x) for x in own], pa.int64()), *[pa.array(list(map(f, own)), lists) for f in (sketch, bands)], pa.array([x.view(np.int64) for x in own], lists)]
                 part = page.slice(at.start, at.stop - at.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text_hash", "key", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text_hash", "key", "fp", "sketch", "bands", "shingles"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_hash long, key long, bands array<long>, shingles array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, key long, fp long, sketch array<long>, bands array<long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -183,39 +185,53 @@ def verified(pairs: DataFrame, sets: DataFrame, firsts: DataFrame, percent: int)
     return written(both.where(shared * (100 + percent) >= sizes * percent).select("a", "b"), "verified")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def shared_cells(firsts: DataFrame, bits: int) -> DataFrame:
+    """cell, key of sets (``firsts``: key, fp, bands) that may be similar: of one fingerprint, of two within ``bits``, or with the same minima."""
+    close = close_pairs(written(firsts.select("fp").distinct(), "fingerprints"), bits).withColumn("cell", F.xxhash64(F.lit("close"), "a", "b"))
+    close = close.select("cell", F.explode(F.array("a", "b")).alias("fp")).join(firsts.select("fp", "key"), "fp").select("cell", "key")
+    equal = firsts.select(F.xxhash64(F.lit("equal"), "fp").alias("cell"), "key")
+    return firsts.select(F.explode("bands").alias("cell"), "key").unionByName(equal).unionByName(close)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, bits: int = 4) -> DataFrame:
     """doc_id, text_hash, component for every row of ``docs``: texts are linked whose similarity is at least ``percent`` in a hundred.
 
     Each text is compared with one that shares a cell, the smallest there is; then with the smallest of each of its other cells;
-    then pairs of a cell are compared. Pairs already in one component, and those whose sizes rule a link out, are left out.
+    then DRAWS times with one of another component that is drawn from each; then pairs of a cell that are still apart are compared. Pairs
+    already in one component, and those that sizes or sketches rule out, are left out.
     """
     sets = written(shingle_sets(docs, words), "sets")
-    firsts = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"), F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("n"))
-    firsts = written(firsts.select("key", "s.doc_id", "s.text_hash", "bands", "n"), "firsts")
+    one = [F.first(c).alias(c) for c in ("fp", "sketch", "bands")]
+    firsts = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"), F.first(F.size("shingles")).cast("long").alias("n"), *one)
+    firsts = written(firsts.select("key", "s.doc_id", "s.text_hash", "n", "fp", "sketch", "bands"), "firsts")
     ids = firsts.select("key", "doc_id", "text_hash")
-    cells = firsts.select("key", "n", F.posexplode("bands").alias("band", "cell"))
-    shared = cells.groupBy("band", "cell").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    members = written(cells.join(shared, ["band", "cell"]).select("band", "cell", "key", "n", "least", "members"), "members")
+    cells = written(shared_cells(firsts, bits), "cells")
+    shared = cells.groupBy("cell").agg(F.min("key").alias("least"), F.max("key").alias("last")).where("least < last").select("cell", "least")
+    members = written(cells.join(shared, "cell").distinct(), "members")
+    known = written(firsts.select("key", "n", "sketch").join(members.select("key").distinct(), "key", "left_semi"), "known")
 
-    def fit(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    pairs = members.where((F.col("key") != F.col("least.key")) & fit(F.col("n"), F.col("least.n"))).select(F.col("least.key").alias("a"), F.col("key").alias("b"))
+    pairs = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = written(plausible(pairs, known, percent), "first_pairs")
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, ids, percent)
     roots = written(components(links), "roots")
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    other = pairs.distinct().join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    other = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     links = links.unionByName(verified(other.select("a", "b"), sets, ids, percent))
-    roots = written(components(links), "roots")
-    own = members.where("members > 2").join(roots, members["key"] == roots["node"], "left").select("band", "cell", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = own.groupBy("band", "cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band", "cell")
-    own = written(own.join(mixed, ["band", "cell"]), "mixed")
-    a, b = own.alias("a"), own.alias("b")
-    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
-    rest = a.join(b, apart & fit(F.col("a.n"), F.col("b.n"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    last = verified(rest, sets, ids, percent)
+    tried, left = pairs, members.select("cell", "key")
+    for k in range(DRAWS):
+        own = mixed_cells(left, written(components(links), "roots"), k)
+        left = own.select("cell", "key")
+        asked = own.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
+        asked = written(plausible(asked.join(tried, ["a", "b"], "left_anti"), known, percent), "asked")
+        links = links.unionByName(verified(asked, sets, ids, percent))
+        tried = tried.unionByName(asked)
+    own = written(mixed_cells(left, written(components(links), "roots"), DRAWS).join(known, "key"), "apart")
+    x, y = own.alias("x"), own.alias("y")
+    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y", percent)
+    rest = x.join(y, meet).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    last = verified(rest.join(tried, ["a", "b"], "left_anti"), sets, ids, percent)
     rows = written(sets.select("doc_id", "text_hash", "key"), "rows")
     # what is left to do needs no shingles
-    dropped(sets, firsts, members, own)
+    dropped(sets, firsts, cells, members, known, own)
     roots = components(links.unionByName(last))
     return rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("component"))
