@@ -18,3 +18,12 @@ def test_digits_of_plain_texts_are_left_alone(spark):
     df = spark.createDataFrame([("12",), ("١٢",), ("é1",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(fold_digits(F.col("t"))).collect()] == ["12", "12", "é1", "", None]
     assert "octet_length" in plan(df.select(fold_digits(F.col("t"))))
+
+
+@pytest.mark.parametrize("text", ["WHO confirmed it", "who\tconfirmed", "ŴHO wHo", "İn 2020", "whom", "swho", "NO NEW CASES", "\x1cno case\x1c", "KaſuS baru", "", None])
+def test_phrases_of_plain_texts(spark, text):
+    """The quick test of ASCII texts and the full one agree."""
+    df = spark.createDataFrame([(text,)], "t string")
+    every = [p for kinds in textjobs.PHRASES.values() for _, p in kinds]
+    quick, full = ([f(p).alias(str(i)) for i, p in enumerate(every)] for f in (lambda p: textjobs.has_phrase(F.col("t"), p), lambda p: F.coalesce(F.col("t").rlike(textjobs.phrase_pattern(p)), F.lit(False))))
+    assert df.select(*quick).first() == df.select(*full).first()

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilis.functions.text import alias_key, collapse, fold_accents, fold_digits, parse_count, parse_counts
+from vigilis.functions.text import alias_key, collapse, fold_accents, fold_digits, is_ascii, parse_count, parse_counts
 from vigilis.functions.unicode import latin_letters
 from vigilis.operators.dedup import drop_nested, set_checkpoint_dir
 
@@ -148,19 +148,25 @@ PHRASES: dict[str, list[tuple[str, dict[str, str]]]] = {
 STATUS_WINDOW, METRIC_WINDOW = 3000, 1500
 
 
-def phrase_pattern(by_language: Mapping[str, str], languages: Sequence[str] | None = None) -> str:
+def phrase_pattern(by_language: Mapping[str, str], languages: Sequence[str] | None = None, flags: str = "iuU") -> str:
     """One pattern, without case, for the phrases of ``languages`` (all if None)."""
     chosen = {k: p.replace(" ", r"\s+") for k, p in by_language.items() if languages is None or k == "any" or k in languages}
     whole, inside = "|".join(p for k, p in chosen.items() if k != "any"), chosen.get("any")
     sides = [rf"(?<![\w])(?:{whole})(?![\w])"] if whole else []
-    return "(?iuU)" + "|".join([*sides, *([inside] if inside else [])])
+    return f"(?{flags})" + "|".join([*sides, *([inside] if inside else [])])
+
+
+def has_phrase(text: Column, by_language: Mapping[str, str], languages: Sequence[str] | None = None) -> Column:
+    """Whether a phrase occurs; false for null. In ASCII texts classes and cases are the same without the flags for Unicode, which are slow."""
+    own = F.when(is_ascii(text), text.rlike(phrase_pattern(by_language, languages, "i"))).otherwise(text.rlike(phrase_pattern(by_language, languages)))
+    return F.coalesce(own, F.lit(False))
 
 
 def first_match(text: Column, kinds: Sequence[tuple[str, Mapping[str, str]]], default: str, languages: Sequence[str] | None = None) -> Column:
     """The first of ``kinds`` with a phrase in ``text``; null texts have none."""
     out = F.lit(default)
     for name, by_language in reversed(kinds):
-        out = F.when(F.coalesce(text.rlike(phrase_pattern(by_language, languages)), F.lit(False)), name).otherwise(out)
+        out = F.when(has_phrase(text, by_language, languages), name).otherwise(out)
     return out
 
 
@@ -206,7 +212,7 @@ TOPICS: dict[str, dict[str, str]] = {
 
 def topic_flags(docs: DataFrame, topics: Mapping[str, Mapping[str, str]] = TOPICS, languages: Sequence[str] | None = None) -> DataFrame:
     """doc_id and a flag for each topic: a phrase of any (or of the given) languages occurs. Null texts have no topic."""
-    return docs.select("doc_id", *[F.coalesce(F.col("text").rlike(phrase_pattern(p, languages)), F.lit(False)).alias(k) for k, p in topics.items()])
+    return docs.select("doc_id", *[has_phrase(F.col("text"), p, languages).alias(k) for k, p in topics.items()])
 
 
 def quality_flags(text: Column) -> Column:
