@@ -27,3 +27,8 @@ def test_phrases_of_plain_texts(spark, text):
     every = [p for kinds in textjobs.PHRASES.values() for _, p in kinds]
     quick, full = ([f(p).alias(str(i)) for i, p in enumerate(every)] for f in (lambda p: textjobs.has_phrase(F.col("t"), p), lambda p: F.coalesce(F.col("t").rlike(textjobs.phrase_pattern(p)), F.lit(False))))
     assert df.select(*quick).first() == df.select(*full).first()
+
+
+def test_dates_run_each_pattern_once(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id int, text string").withColumn("published_at", F.current_date())
+    assert plan(textjobs.event_period(docs)).count("regexp_extract(text") == 5

@@ -353,23 +353,29 @@ def event_period(docs: DataFrame, at: str = "published_at") -> DataFrame:
     """doc_id, first_day, last_day, source of the period that a text names: a range of dates, an epidemiological week, 'last N weeks', a month and year, a date."""
     from vigilis.functions.dates import mmwr_start
 
-    t, pub = F.col("text"), F.col(at)
     iso = r"(20\d\d-\d\d-\d\d|19\d\d-\d\d-\d\d)"
-    d = lambda p, g: F.to_date(F.try_to_timestamp(F.regexp_extract(t, p, g), F.lit("yyyy-MM-dd")))
-    rng = rf"(?i)(?:from|between)\s+{iso}\s+(?:to|and|until)\s+{iso}"
-    week = r"(?i)\b(?:epi(?:demiological)?\s+)?week\s+(\d{1,2})\s*(?:of|,|/)\s*((?:19|20)\d\d)"
-    last = r"(?i)\b(?:last|past)\s+(\d{1,2})\s+(days|weeks|months)"
-    w, y = F.regexp_extract(t, week, 1).try_cast("int"), F.regexp_extract(t, week, 2).try_cast("int")
-    n, unit = F.regexp_extract(t, last, 1).try_cast("int"), F.lower(F.regexp_extract(t, last, 2))
-    month = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+((?:19|20)\d\d)"
-    m = F.to_date(F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.regexp_extract(t, month, 1)), F.regexp_extract(t, month, 2), F.lit("1")), F.lit("MMMM yyyy d")))
-    start_week = F.date_add(mmwr_start(y), (w - 1) * 7)
+    patterns = {
+        "range": rf"(?i)(?:from|between)\s+{iso}\s+(?:to|and|until)\s+{iso}", "week": r"(?i)\b(?:epi(?:demiological)?\s+)?week\s+(\d{1,2})\s*(?:of|,|/)\s*((?:19|20)\d\d)", "last": r"(?i)\b(?:last|past)\s+(\d{1,2})\s+(days|weeks|months)",
+        "month": r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+((?:19|20)\d\d)", "iso": iso,
+    }
+    # each pattern runs over a text once; its groups are read from the match
+    found = docs.select("doc_id", F.col(at).alias("pub"), *[F.regexp_extract("text", p, 0).alias(k) for k, p in patterns.items()])
+    part = lambda k, g: F.regexp_extract(k, patterns[k], g)
+    # a text without a date isn't parsed: each failure would raise and catch an exception
+    day = lambda x, form: F.when(x != "", F.to_date(F.try_to_timestamp(x, F.lit(form))))
+    month = F.when(F.col("month") != "", F.concat_ws(" ", F.initcap(part("month", 1)), part("month", 2), F.lit("1")))
+    w, y = part("week", 1).try_cast("int"), part("week", 2).try_cast("int")
+    n, unit, pub = part("last", 1).try_cast("int"), F.lower(part("last", 2)), F.col("pub")
     ago = F.when(unit == "days", F.date_sub(pub, n)).when(unit == "weeks", F.date_sub(pub, n * 7)).when(unit == "months", F.add_months(pub, -n))
-    one = d(iso, 1)
-    source = F.when(d(rng, 2).isNotNull(), "range").when(start_week.isNotNull(), "week").when(ago.isNotNull(), "relative").when(m.isNotNull(), "month").when(one.isNotNull(), "date").otherwise("none")
-    first = F.coalesce(d(rng, 1), start_week, ago, m, one)
-    end = F.coalesce(d(rng, 2), F.date_add(start_week, 6), F.when(ago.isNotNull(), pub), F.last_day(m), one)
-    return docs.select("doc_id", first.alias("first_day"), end.alias("last_day"), source.alias("source"))
+    dated = found.select(
+        "doc_id", "pub", day(part("range", 1), "yyyy-MM-dd").alias("from"), day(part("range", 2), "yyyy-MM-dd").alias("to"), F.when(F.col("week") != "", F.date_add(mmwr_start(y), (w - 1) * 7)).alias("start_week"),
+        F.when(F.col("last") != "", ago).alias("ago"), day(month, "MMMM yyyy d").alias("m"), day(F.col("iso"), "yyyy-MM-dd").alias("one"),
+    )
+    known = lambda c: F.col(c).isNotNull()
+    source = F.when(known("to"), "range").when(known("start_week"), "week").when(known("ago"), "relative").when(known("m"), "month").when(known("one"), "date").otherwise("none")
+    first = F.coalesce("from", "start_week", "ago", "m", "one")
+    end = F.coalesce(F.col("to"), F.date_add("start_week", 6), F.when(known("ago"), pub), F.last_day("m"), F.col("one"))
+    return dated.select("doc_id", first.alias("first_day"), end.alias("last_day"), source.alias("source"))
 
 
 def case_country(mentions_: DataFrame) -> DataFrame:
