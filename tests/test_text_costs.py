@@ -32,3 +32,7 @@ def test_phrases_of_plain_texts(spark, text):
 def test_dates_run_each_pattern_once(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id int, text string").withColumn("published_at", F.current_date())
     assert plan(textjobs.event_period(docs)).count("regexp_extract(text") == 5
+
+
+def test_numbers_are_cut_once(spark):
+    assert plan(entry.queries()["tx5_filter_counts"](spark, DATA)).count("regexp_extract_all(") == 1

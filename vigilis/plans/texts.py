@@ -87,9 +87,12 @@ def tx5_filter_counts(spark, d):
     """Numbers with what stands left and right of them; dates, samples, weeks of a year and years go, but 1996 cases stay."""
     a_third = F.when(F.col("cases") % 3 == 0, " Another 1996 cases are known.").otherwise("")
     t = articles_of(spark, d).select("doc_id", F.concat(F.regexp_replace("text", r"\d{4}-\d\d-\d\d|week \d+ (?=of)", "day "), a_third).alias("text"))
-    left, n, right = (F.regexp_extract_all("text", F.lit(r"(.{0,12}?)(?<![0-9A-Za-z_.-])([0-9]+)(?![0-9-])(?=(.{0,12}))"), F.lit(g)) for g in (1, 2, 3))
-    rows = t.select("doc_id", F.explode(F.arrays_zip(left.alias("l"), n.alias("n"), right.alias("r"))).alias("z"))
-    m = rows.select("doc_id", F.col("z.n").cast("long").alias("n"), F.col("z.l").alias("left"), F.col("z.r").alias("right"))
+    number = r"(?<![0-9A-Za-z_.-])[0-9]+(?![0-9-])"
+    cut = t.select("doc_id", F.split("text", number).alias("parts"), F.regexp_extract_all("text", F.lit(number), 0).alias("ns"))
+    # twelve characters on either side; what stands right of a number may hold the next ones
+    rest = lambda i: F.array_join(F.flatten(F.transform(F.slice(F.arrays_zip(F.col("parts").alias("p"), F.col("ns").alias("n")), i + 2, 7), lambda z: F.array(z["p"], z["n"]))), "")
+    own = F.transform("ns", lambda n, i: F.struct(n.cast("long").alias("n"), F.right(F.get("parts", i), F.lit(12)).alias("left"), F.left(rest(i), F.lit(12)).alias("right")))
+    m = cut.select("doc_id", F.inline(own))
     return textjobs.filter_counts(m).select("doc_id", "n")
 
 
