@@ -36,3 +36,8 @@ def test_dates_run_each_pattern_once(spark):
 
 def test_numbers_are_cut_once(spark):
     assert plan(entry.queries()["tx5_filter_counts"](spark, DATA)).count("regexp_extract_all(") == 1
+
+
+def test_relations_read_the_lines_twice(spark):
+    df = entry.queries()["tx6_relations"](spark, DATA)
+    assert df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 2

@@ -101,16 +101,11 @@ def tx6_relations(spark, d):
     """Counts of a sentence with the nearest place and label in it."""
     s = articles_of(spark, d).select("doc_id", F.lit(0).alias("sentence"), F.lower(F.substring_index("text", ". ", 1)).alias("text"), F.col("place").alias("__place"), F.lower("label").alias("__label"))
     places, labels = "nation_[0-9]+", "small|standard|promo|large|economy|medium|unknown"
-    kinds = [("place", places), ("label", labels)]
-    m = None
-    for kind, p in kinds:
-        own = s.select("doc_id", "sentence", F.lit(kind).alias("kind"), F.regexp_extract("text", rf"\b({p})\b", 1).alias("name"), "text").where("name <> ''")
-        own = own.select("doc_id", "sentence", F.expr("position(name, text)").alias("pos"), "kind", F.when(F.lit(kind) == "place", F.upper("name")).otherwise(F.col("name")).alias("name"))
-        m = own if m is None else m.unionByName(own)
-    c = None
-    for metric in ("cases", "deaths"):
-        own = s.select("doc_id", "sentence", F.expr(f"position('{metric}', text)").alias("pos"), F.lit(metric).alias("metric"), F.regexp_extract("text", rf"([0-9]+) {metric}", 1).cast("long").alias("n"))
-        c = own if c is None else c.unionByName(own)
+    at = lambda kind, p: F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", rf"\b({p})\b", 1).alias("name"))
+    m = s.select("doc_id", "sentence", "text", F.inline(F.array(at("place", places), at("label", labels)))).where("name <> ''")
+    m = m.select("doc_id", "sentence", F.expr("position(name, text)").alias("pos"), "kind", F.when(F.col("kind") == "place", F.upper("name")).otherwise(F.col("name")).alias("name"))
+    said = lambda metric: F.struct(F.expr(f"position('{metric}', text)").alias("pos"), F.lit(metric).alias("metric"), F.regexp_extract("text", rf"([0-9]+) {metric}", 1).cast("long").alias("n"))
+    c = s.select("doc_id", "sentence", F.inline(F.array(said("cases"), said("deaths"))))
     return textjobs.relations(m, c)
 
 
