@@ -41,3 +41,17 @@ def test_numbers_are_cut_once(spark):
 def test_relations_read_the_lines_twice(spark):
     df = entry.queries()["tx6_relations"](spark, DATA)
     assert df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 2
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_mentions_broadcast_no_texts(spark, tmp_path, monkeypatch, few):
+    """Texts made from ids look small to the planner; only a small lexicon is broadcast."""
+    monkeypatch.setattr(textjobs, "FEW", few)
+    spark.range(60).write.parquet(str(tmp_path / "ids"))
+    docs = spark.read.parquet(str(tmp_path / "ids")).select(F.col("id").alias("doc_id"), F.concat(F.lit("of the "), F.col("id")).alias("text"))
+    out = textjobs.mentions(docs, spark.createDataFrame([("the", "A"), ("of the", "B"), ("7", "C")], "alias string, concept string"))
+    p = out._jdf.queryExecution().executedPlan().toString()
+    broadcast = [b.split("FileScan")[0] for b in p.split("BroadcastExchange")[1:] if "FileScan" in b]
+    assert all("Scan ExistingRDD" in b or "LocalTableScan" in b for b in broadcast)
+    assert ("BroadcastExchange" in p) == (few > 0)
+    assert sorted((r.doc_id, r.start, r.concept) for r in out.collect()) == sorted([*[(i, 0, "B") for i in range(60)], (7, 2, "C")])

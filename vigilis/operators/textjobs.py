@@ -84,7 +84,10 @@ def mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFra
     every = F.transform(F.split(plain_key(F.col(text)), " "), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     rows = docs.select("doc_id", F.inline(F.filter(every, lambda x: x["word"].isin(few)) if len(few) <= FEW else every))
     parts = lex.select("alias", "concept", "size", F.posexplode(F.split("alias", " ")).alias("k", "word"))
-    hit = rows.join(parts, "word").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "alias", "concept", "size")
+    # texts made from narrow rows look small to the planner: it may never choose them as the side that is broadcast
+    known = parts.limit(FEW + 1).collect()
+    side = F.broadcast(docs.sparkSession.createDataFrame(known, parts.schema)) if len(known) <= FEW else parts.hint("merge")
+    hit = rows.join(side, "word").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "alias", "concept", "size")
     long = hit.where("size > 1").groupBy("doc_id", "start", "alias", "concept", "size").agg(F.count("*").alias("n")).where("n = size").drop("n")
     found = hit.where("size = 1").unionByName(long).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "alias", "concept")
     return drop_nested(found)
