@@ -55,3 +55,22 @@ def test_mentions_broadcast_no_texts(spark, tmp_path, monkeypatch, few):
     assert all("Scan ExistingRDD" in b or "LocalTableScan" in b for b in broadcast)
     assert ("BroadcastExchange" in p) == (few > 0)
     assert sorted((r.doc_id, r.start, r.concept) for r in out.collect()) == sorted([*[(i, 0, "B") for i in range(60)], (7, 2, "C")])
+
+
+def test_runs_are_counted_without_their_texts(spark):
+    """Distinct texts of a run are told within a text, so runs and ids aren't shuffled together; ids that come twice count once."""
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a b"), (3, "a b c"), (4, None), (5, "")], "doc_id int, text string")
+    lex = spark.createDataFrame([("c", "C")], "alias string, concept string")
+    out = textjobs.discover_terms(docs, lex, least=2)
+    assert "distinct" not in plan(out)
+    want = {"a": (4, 3, 1), "b": (4, 3, 1), "a b": (4, 3, 1)}
+    assert {r.term: (r.n, r.docs, r.first_doc) for r in out.collect()} == want
+    again = docs.union(spark.createDataFrame([(3, "c a b")], docs.schema))
+    assert {r.term: (r.n, r.docs, r.first_doc) for r in textjobs.discover_terms(again, lex, least=2).collect()} == {"a": (5, 3, 1), "b": (5, 3, 1), "a b": (5, 3, 1)}
+
+
+@pytest.mark.parametrize("text", ["It's A_b 12", "  ", "\tx\n", "Éa-ŉ Ǆ 東京", "K\u212a", ""])
+def test_words_of_plain_texts(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    full = F.filter(F.split(textjobs.alias_key(F.col("t")), " "), lambda w: w != "")
+    assert df.select(textjobs.words(F.col("t"))).first()[0] == df.select(full).first()[0]
