@@ -107,6 +107,20 @@ def test_parents_drop_only_with_children(spark):
     assert sorted(r.fact_id for r in articles.drop_parents(df).collect()) == ["c", "q"]
 
 
+def test_articles_read_their_facts_once(spark):
+    schema = "fact_id string, report_id long, parent_id long, label string, place string, country string, cases long, deaths long, confidence double, created_at int, alert boolean, needs_review boolean, is_relevant boolean, source_name string"
+    rows = [
+        ("p", 1, None, "x", "P", "C", 100, 9, 0.9, 1, True, True, True, "s"), ("a", 1, 1, None, "P", "C", 5, 1, 0.5, 1, False, True, True, "s"), ("b", 1, 1, "y", None, "C", None, 2, 0.5, 2, False, False, False, "t"),
+        ("b", 1, 1, "y", "Q", "C", 7, 4, 0.1, 9, True, False, True, "t"), ("q", 2, None, None, None, None, None, None, None, 1, None, None, None, None), ("r", None, None, "z", "P", "C", 1, 0, 0.1, 1, False, False, True, "u"),
+    ]
+    out = articles.collapse_articles(spark.createDataFrame(rows, schema))
+    got = {r.report_id: tuple(r) for r in out.select("report_id", "facts", "cases", "deaths", "alert", "needs_review", "worst", "lead_fact", "labels", "by_country", "by_place", "by_label", "by_source", "lead_label", "shown_by").collect()}
+    assert got[1] == (1, 2, 5, 3, False, True, "noise", "b", 1, "C(5)", "P(5)", "", "s(5)", "y", "place")
+    assert got[2] == (2, 1, None, None, None, None, "surveillance", "q", 0, "", "", "", "", None, "place")
+    assert got[None][1:3] == (1, 1) and got[None][11] == "z(1)"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # once more for the ids of parents
+
+
 def test_roots_and_cycles(spark):
     edges = [(5, 4), (4, 3), (3, 1), (10, 11), (11, 12), (12, 10), (13, 12), (7, 7)]
     got = {r.node: r.root for r in dedup.resolve_roots(spark.createDataFrame(edges, "node long, parent long")).collect()}

@@ -12,10 +12,9 @@ from vigilis.operators.dedup import best_per_key
 
 
 def drop_parents(facts: DataFrame) -> DataFrame:
-    """Parent rows (no parent_id) go where their article has children: by a count over the article."""
-    kids = facts.where("parent_id is not null").select(F.col("parent_id").alias("report_id")).distinct()
-    parents = facts.where("parent_id is null").join(kids, "report_id", "left_anti")
-    return facts.where("parent_id is not null").unionByName(parents)
+    """Parent rows (no parent_id) go where their article has children. The facts keep the partitions that a join by report gave them."""
+    kids = facts.where("parent_id is not null").select(F.col("parent_id").alias("__kid")).distinct()
+    return facts.join(kids, F.col("report_id") == F.col("__kid"), "left").where("parent_id is not null or __kid is null").drop("__kid")
 
 
 def text_by(rows: DataFrame, key: str, column: str, metric: str, name: str) -> DataFrame:
@@ -27,21 +26,29 @@ def text_by(rows: DataFrame, key: str, column: str, metric: str, name: str) -> D
 def collapse_articles(facts: DataFrame) -> DataFrame:
     """One row for each report: texts by country, place and label, leading label, sums, flags, worst class, most confident fact.
 
-    The texts are built from sums by (report, value), so no report's facts are gathered, only its distinct values.
+    All is built from sums by (report, value), so no report's facts are gathered, only its distinct values, and the facts are read
+    once: every fact has one label or none, so the sums by label give the report's own.
     """
     rows = best_per_key(drop_parents(facts), ["report_id", "fact_id"], [F.desc_nulls_last("confidence"), F.desc("created_at")])
     worst = F.when(~F.col("is_relevant"), 2).when(F.col("needs_review"), 1).otherwise(0)
-    out = rows.groupBy("report_id").agg(
-        F.count("*").alias("facts"), F.sum("cases").alias("cases"), F.sum("deaths").alias("deaths"), F.bool_or("alert").alias("alert"), F.bool_or("needs_review").alias("needs_review"),
-        F.max(worst).alias("worst"), F.max_by("fact_id", F.struct("confidence", "created_at", "fact_id")).alias("lead_fact"), F.count_distinct("label").alias("labels"),
-    )
     texts = {"by_country": "country", "by_place": "place", "by_label": "label", "by_source": "source_name"}
-    pairs = rows.select("report_id", "cases", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in texts.items()])).alias("p"))
-    sums = pairs.where("p.value is not null").groupBy("report_id", "p.kind", "p.value").agg(F.sum("cases").alias("n"))
-    own = lambda k, x: F.when(F.col("kind") == k, x)
-    parts = [format_counts(F.collect_list(own(k, F.struct(F.col("value").alias("label"), "n")))).alias(k) for k in texts]
-    lead = F.min_by(own("by_label", F.col("value")), own("by_label", F.struct(-F.col("n"), F.col("value")))).alias("lead_label")
-    out = out.join(sums.groupBy("report_id").agg(*parts, lead), "report_id", "left")
+    fact = F.struct("deaths", "alert", "needs_review", worst.alias("worst"), F.struct("confidence", "created_at", "fact_id").alias("lead"))
+    # a kind's number, and the fact's other columns beside its label alone: these rows are sorted, four for each fact
+    kinds = [F.struct(F.lit(i).alias("kind"), F.col(c).alias("value"), (fact if c == "label" else F.when(F.lit(False), fact)).alias("fact")) for i, c in enumerate(texts.values())]
+    label = list(texts).index("by_label")
+    pairs = rows.select("report_id", "cases", F.inline(F.array(*kinds))).where(f"value is not null or kind = {label}")
+    sums = pairs.groupBy("report_id", "kind", "value").agg(
+        F.sum("cases").alias("n"), F.count("*").alias("facts"), F.sum("fact.deaths").alias("deaths"), F.bool_or("fact.alert").alias("alert"), F.bool_or("fact.needs_review").alias("needs_review"),
+        F.max("fact.worst").alias("worst"), F.max("fact.lead").alias("lead"),
+    )
+    own = lambda k, x: F.when((F.col("kind") == k) & F.col("value").isNotNull(), x)
+    every = lambda x: F.when(F.col("kind") == label, F.col(x))
+    parts = [format_counts(F.collect_list(own(i, F.struct(F.col("value").alias("label"), "n")))).alias(k) for i, k in enumerate(texts)]
+    lead = F.min_by(own(label, F.col("value")), own(label, F.struct(-F.col("n"), F.col("value")))).alias("lead_label")
+    out = sums.groupBy("report_id").agg(
+        F.sum(every("facts")).alias("facts"), F.sum(every("n")).alias("cases"), F.sum("deaths").alias("deaths"), F.bool_or("alert").alias("alert"), F.bool_or("needs_review").alias("needs_review"),
+        F.max("worst").alias("worst"), F.max("lead")["fact_id"].alias("lead_fact"), F.count(own(label, F.col("value"))).alias("labels"), *parts, lead,
+    )
     return out.withColumn("worst", F.element_at(F.array(F.lit("surveillance"), F.lit("review"), F.lit("noise")), F.col("worst") + 1)).withColumn("shown_by", F.when(F.col("labels") > 1, "label").otherwise("place"))
 
 

@@ -327,9 +327,7 @@ def _text(column: str) -> str:
     CASE WHEN labels > 1 THEN 'label' ELSE 'place' END AS shown_by
   FROM g JOIN l ON g.report_id = l.report_id JOIN {_text('country')} c ON g.report_id = c.report_id JOIN {_text('place')} p ON g.report_id = p.report_id JOIN {_text('label')} b ON g.report_id = b.report_id JOIN {_text('source_name')} s ON g.report_id = s.report_id""")
 def ag24_collapse_articles(spark, d):
-    f = a.facts(spark, d)
-    one = dedup.best_per_key(f, ["fact_id"], [F.desc_nulls_last("confidence"), F.desc("created_at")])
-    return articles.collapse_articles(one)
+    return articles.collapse_articles(a.facts(spark, d))
 
 
 @query(f"""WITH {FACTS_SQL}, {KIDS_SQL}, n AS (SELECT report_id, count(DISTINCT place) AS places, count(DISTINCT label) AS labels FROM k GROUP BY 1)
