@@ -409,9 +409,12 @@ def fp25_null_unknown_zero(spark, d):
   SELECT report_id, o OR k >= 2 OR (c >= 25 OR x > 0) AND o AS alert, CASE WHEN o THEN 'official' WHEN k >= 2 THEN 'spread' ELSE 'none' END AS signal FROM g""")
 def fp26_decide_alert(spark, d):
     """An official advisory, or deaths under two labels, or an explicit outbreak with 25 cases or a death."""
-    g = a.facts(spark, d).groupBy("report_id").agg(F.max("cases").alias("c"), F.sum("deaths").alias("x"), F.count_distinct(F.when(F.col("deaths") > 0, F.col("label"))).alias("k"), F.bool_or("alert").alias("o"))
-    alert = F.col("o") | (F.col("k") >= 2) | (((F.col("c") >= 25) | (F.col("x") > 0)) & F.col("o"))
-    return g.select("report_id", alert.alias("alert"), F.when(F.col("o"), "official").when(F.col("k") >= 2, "spread").otherwise("none").alias("signal"))
+    fatal = F.when(F.col("deaths") > 0, F.col("label"))
+    # two labels at least: the first and the last differ, so no report's labels are kept
+    several = F.coalesce(F.min(fatal) != F.max(fatal), F.lit(False))
+    g = a.facts(spark, d).groupBy("report_id").agg(F.max("cases").alias("c"), F.sum("deaths").alias("x"), several.alias("k"), F.bool_or("alert").alias("o"))
+    alert = F.col("o") | F.col("k") | (((F.col("c") >= 25) | (F.col("x") > 0)) & F.col("o"))
+    return g.select("report_id", alert.alias("alert"), F.when(F.col("o"), "official").when(F.col("k"), "spread").otherwise("none").alias("signal"))
 
 
 @query("""SELECT doc_id AS report_id, CASE WHEN regexp_matches(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' of the ') THEN 1 END AS request_id FROM documents WHERE contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' of the ')""")
