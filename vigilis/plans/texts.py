@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilis.functions import dates, predicates, text, values
@@ -340,8 +341,13 @@ def tr7_repair_facts(spark, d):
 def tr8_backfill_scope(spark, d):
     f = a.scan(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(F.col("l_returnflag")).alias("scope"), F.when(F.col("l_linenumber") > 3, "X").alias("source_country"))
     r = a.scan(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderstatus").alias("scope"), F.col("o_orderpriority").alias("source_country"))
-    out = training.backfill_scope(f, r)
-    return out.groupBy(F.col("report_id").alias("l_orderkey"), "l_linenumber", "scope", "source_country").agg(F.count("*").alias("n"))
+    groups = ["report_id", "l_linenumber", "scope", "source_country"]
+    # nearly every row is a group of its own: counted in order, in a stage of their own, which takes less memory than tables of all groups
+    out = training.backfill_scope(f, r).repartition(*groups)
+    group = Window.partitionBy(*groups).orderBy(F.lit(1))
+    n = F.count("*").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counted = out.withColumn("n", n).withColumn("__first", F.row_number().over(group)).where("__first = 1")
+    return counted.select(F.col("report_id").alias("l_orderkey"), "l_linenumber", "scope", "source_country", "n")
 
 
 @query("""WITH RECURSIVE w AS (SELECT CAST(p_partkey AS BIGINT) AS node, CAST(p_partkey AS BIGINT) AS up FROM part UNION ALL SELECT node, up // 4 FROM w WHERE up >= 16), r AS (SELECT node, min(up) AS root FROM w GROUP BY 1)
