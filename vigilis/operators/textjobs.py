@@ -415,7 +415,11 @@ def case_country(mentions_: DataFrame) -> DataFrame:
 
 def rank_labels(mentions_: DataFrame, generic: Sequence[str]) -> DataFrame:
     """doc_id, label, rank: by first place; labels only negated go, and generic ones where there is a specific one. mentions_: doc_id, label, pos, negated."""
-    g = mentions_.groupBy("doc_id", "label").agg(F.min("pos").alias("first"), F.bool_and("negated").alias("only_negated")).where("not only_negated")
+    # dealt and sorted by document and label, then by document: no table of all labels, and no stage with both sorts, in memory
+    dealt = mentions_.select("doc_id", "label", "pos", "negated").repartition("doc_id", "label")
+    own = Window.partitionBy("doc_id", "label").orderBy("pos")
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    g = dealt.select("doc_id", "label", F.min("pos").over(whole(own)).alias("first"), F.bool_and("negated").over(whole(own)).alias("only_negated"), F.row_number().over(own).alias("__n")).where("__n = 1 and not only_negated")
     vague = F.col("label").isin(list(generic))
     specific = F.max((~vague).cast("int")).over(Window.partitionBy("doc_id"))
     kept = g.withColumn("__s", specific).where(~vague | (F.col("__s") == 0))
