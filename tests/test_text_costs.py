@@ -74,3 +74,32 @@ def test_words_of_plain_texts(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     full = F.filter(F.split(textjobs.alias_key(F.col("t")), " "), lambda w: w != "")
     assert df.select(textjobs.words(F.col("t"))).first()[0] == df.select(full).first()[0]
+
+
+def test_sentences_and_evidence_shuffle_no_texts(spark):
+    texts = ["  A 7 cases in town.\n\n 12 deaths were seen there!  ", "", None, "x", " \t\n ", "In 3.5 weeks 9 cases; meanwhile 4 deaths came. Ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = textjobs.sentences(docs)
+    one = textjobs.text_evidence(docs, "cases|deaths", 1)
+    assert all(x not in plan(df) for df in (found, one) for x in ("Window", "Aggregate"))
+    rows = found.collect()
+    assert all(r.text == texts[r.doc_id][r.start : r.end] == r.text.strip(" \t\n\x0b\f\r") != "" for r in rows)
+    assert [(r.doc_id, r.sentence) for r in rows] == [(0, 0), (0, 1), (3, 0), (5, 0), (5, 1), (5, 2)]
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in textjobs.evidence(found, "cases|deaths", 1).collect())
+    assert {r.doc_id for r in one.collect()} == {0, 5}
+
+
+def test_labels_are_ranked_in_order(spark):
+    """Neither labels nor groups of rows are held in tables of their own."""
+    rows = [(1, "b", 5, False), (1, "b", 2, True), (1, "a", 2, False), (1, "n", 0, True), (1, "g", 1, False), (2, "g", 3, False), (2, "g", None, False), (None, "a", 1, False)]
+    out = textjobs.rank_labels(spark.createDataFrame(rows, "doc_id int, label string, pos int, negated boolean"), ["g"])
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "a", 1), (1, "b", 2), (2, "g", 1), (None, "a", 1)], key=repr)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scopes_are_counted_in_order(spark):
+    assert "Aggregate" not in entry.queries()["tr8_backfill_scope"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alerts_keep_no_labels(spark):
+    assert "distinct" not in plan(entry.queries()["fp26_decide_alert"](spark, DATA))

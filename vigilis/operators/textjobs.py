@@ -51,10 +51,11 @@ def language_profile(docs: DataFrame, markers: DataFrame, hint: str | None = Non
 #: Connectives that begin a clause of their own.
 CONTRASTIVE = ["sementara\\s+itu", "sedangkan", "meanwhile", "in\\s+the\\s+meantime", "by\\s+contrast", "trong\\s+khi(?:\\s+đó)?", "ขณะที่", "samantala", "enquanto\\s+isso", "manakala"]
 #: Where a text is cut: places between two characters, so that no pattern runs over a long text.
-CUTS = "|".join([
+# no text is cut but behind one of these signs, so the others are passed at the first look
+CUTS = r"(?<=[\n!?。！？.\s,;:])(?:" + "|".join([
     r"(?<=\n)(?!\n)", r"(?<=[!?。！？])(?![.!?。！？])", r"(?<![0-9]\.)(?<=\.)(?=\s|\z)", r"(?<=[0-9]\.)(?=\s+[A-Z\"“'‘]|\s*\z)",
     r"(?<=[\s,;:])(?=(?iu:" + "|".join(CONTRASTIVE) + r")(?:\s|\z))",
-])
+]) + ")"
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -63,15 +64,24 @@ def sentences(docs: DataFrame) -> DataFrame:
     A full stop ends a sentence before white space; behind a digit only before a capital, a quotation mark or the text's end.
     Full-width signs need no white space. Offsets are in characters.
     """
-    rows = docs.select("doc_id", F.posexplode(F.split("text", CUTS)).alias("i", "raw"))
-    before = F.sum(F.length("raw")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    space = r"[\x20\x09-\x0D]+"
-    at = rows.withColumn("start", F.coalesce(before, F.lit(0))).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    left = F.regexp_replace("raw", f"^{space}", "")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1
-    text = F.regexp_replace(left, f"{space}$", "")
-    start = F.col("start") + F.length("raw") - F.length(left)
-    return at.select("doc_id", number.alias("sentence"), start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"))
+    rows = sentence_arrays(docs).select("doc_id", F.posexplode("pieces").alias("sentence", "p"))
+    return rows.select("doc_id", "sentence", "p.start", (F.col("p.start") + F.length("p.text")).alias("end"), "p.text")
+
+
+#: White space that sentences don't begin or end with.
+BLANK = " \t\n\x0b\f\r"
+
+
+def sentence_arrays(docs: DataFrame) -> DataFrame:
+    """doc_id, pieces: (start, text) of the sentences of a text, in order; made within the text, without a shuffle."""
+    cut = docs.select("doc_id", F.split("text", CUTS).alias("raws"))
+    step = lambda acc, raw: F.struct((acc["at"] + F.length(raw)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    placed = cut.select("doc_id", "raws", F.aggregate("raws", none, step, lambda acc: acc["starts"]).alias("starts"))
+    left = F.zip_with("starts", "raws", lambda at, raw: F.struct((at + F.length(raw)).alias("to"), F.ltrim(raw, F.lit(BLANK)).alias("left")))
+    # what is cut off on the left is told by where the piece ends
+    own = F.transform(F.filter(left, lambda p: p["left"] != ""), lambda p: F.struct((p["to"] - F.length(p["left"])).alias("start"), F.rtrim(p["left"], F.lit(BLANK)).alias("text")))
+    return placed.select("doc_id", own.alias("pieces"))
 
 
 def mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
@@ -194,11 +204,21 @@ def metric_type(text: Column, has_cases: Column | None = None, period: Column |
     return F.when(~has_cases & died, "deaths").when(~has_cases & (own == "historical_cases"), "historical_deaths").otherwise(own)
 
 
+def is_evidence(text: Column, pattern: str) -> Column:
+    return F.length(text).between(20, 800) & text.rlike("[0-9]") & text.rlike(rf"(?i)\b({pattern})\b")
+
+
 def evidence(sentences_: DataFrame, pattern: str, most: int = 10) -> DataFrame:
     """The first ``most`` sentences of each document with 20 to 800 characters, a number and a word of ``pattern``."""
-    ok = F.length("text").between(20, 800) & F.col("text").rlike("[0-9]") & F.col("text").rlike(rf"(?i)\b({pattern})\b")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("sentence"))
-    return sentences_.where(ok).withColumn("__n", rank).where(f"__n <= {most}").drop("__n")
+    return sentences_.where(is_evidence(F.col("text"), pattern)).withColumn("__n", rank).where(f"__n <= {most}").drop("__n")
+
+
+def text_evidence(docs: DataFrame, pattern: str, most: int = 10) -> DataFrame:
+    """``evidence`` of the ``sentences`` of ``docs``, chosen within each text; no doc_id may come twice."""
+    numbered = F.transform("pieces", lambda p, i: F.struct(i.alias("sentence"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"), p["text"].alias("text")))
+    chosen = F.filter(numbered, lambda x: is_evidence(x["text"], pattern))
+    return sentence_arrays(docs).select("doc_id", F.inline(F.slice(chosen, 1, most)))
 
 
 #: Words of topics that aren't outbreaks, and of outbreaks.
@@ -421,9 +441,9 @@ def rank_labels(mentions_: DataFrame, generic: Sequence[str]) -> DataFrame:
     whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     g = dealt.select("doc_id", "label", F.min("pos").over(whole(own)).alias("first"), F.bool_and("negated").over(whole(own)).alias("only_negated"), F.row_number().over(own).alias("__n")).where("__n = 1 and not only_negated")
     vague = F.col("label").isin(list(generic))
-    specific = F.max((~vague).cast("int")).over(Window.partitionBy("doc_id"))
-    kept = g.withColumn("__s", specific).where(~vague | (F.col("__s") == 0))
-    return kept.select("doc_id", "label", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "label")).alias("rank"))
+    order = Window.partitionBy("doc_id").orderBy("first", "label")
+    kept = g.drop("only_negated", "__n").withColumn("__s", F.max((~vague).cast("int")).over(whole(order))).where(~vague | (F.col("__s") == 0))
+    return kept.select("doc_id", "label", F.row_number().over(order).alias("rank"))
 
 
 def project_labels(mentions_: DataFrame, concepts: DataFrame) -> DataFrame:

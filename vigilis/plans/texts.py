@@ -126,7 +126,7 @@ def tx7_status(spark, d):
 @query(f"""WITH {ARTICLES_SQL}, {sentences_sql("arts")} SELECT doc_id, sentence, "start", "end", text FROM sents
   WHERE length(text) BETWEEN 20 AND 800 AND regexp_matches(text, '[0-9]') AND regexp_matches(text, '(?i)\\b(cases|deaths|samples)\\b')""")
 def tx9_evidence(spark, d):
-    return textjobs.evidence(textjobs.sentences(articles_of(spark, d).select("doc_id", "text")), "cases|deaths|samples")
+    return textjobs.text_evidence(articles_of(spark, d).select("doc_id", "text"), "cases|deaths|samples")
 
 
 TOPIC_WORDS = ["", "A study in a journal.", "Peneliti menulis jurnal.", "Farmers fear for livestock.", "Peternak khawatir.", "Parliament votes on the bill.", "Imunisasi massal dimulai.", "Declared free of it."]
