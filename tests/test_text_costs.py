@@ -1,11 +1,12 @@
 """Texts are read, and patterns run over them, no more often than needed."""
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vigilis.functions.text import fold_digits
-from vigilis.operators import textjobs
+from vigilis.operators import dedup, scoring, textjobs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -103,3 +104,19 @@ def test_scopes_are_counted_in_order(spark):
 
 def test_alerts_keep_no_labels(spark):
     assert "distinct" not in plan(entry.queries()["fp26_decide_alert"](spark, DATA))
+
+
+def test_keys_of_identities_are_made_once(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "b", "x"), (4, "", None)], "id int, t string, u string").withColumn("t", F.sha2("t", 256))
+    links = dedup.identity_links(df, "id", ["t", "u"])
+    assert "sha2" not in plan(links)
+    assert sorted((r.a, r.b) for r in links.where("a <> b").collect()) == [(2, 1), (3, 1)]
+
+
+def test_shapes_cut_a_text_once(spark):
+    """Words and lines are columns of their own before the numbers of a text's build."""
+    docs = spark.createDataFrame([(1, "It's é 12 x\n\n$ ab"), (2, None)], "doc_id int, text string")
+    out = scoring._featured(docs, "doc_id")
+    assert plan(out).count("lambdafunction(") == 2  # of words and of lines, each once
+    found = out.select("doc_id", vector_to_array("__shape").alias("s")).collect()
+    assert round(found[0].s[6] * 17) == 7 and found[1].s[6] == 0  # letters

@@ -140,7 +140,11 @@ def star_components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 def identity_links(df: DataFrame, ident: str, keys: Sequence[str]) -> DataFrame:
     """a, b: each row's id and the smallest id with the same value of some key. Keys are (kind, value), never an OR of equalities."""
-    pairs = df.select(ident, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])).alias("k")).where("k.value is not null and k.value <> ''")
+    set_checkpoint_dir(df.sparkSession)
+    # keys may be hashes of whole texts: they are worked out once, for both sides of the join
+    own = df.select(ident, *[F.col(k).cast("string").alias(f"__k{i}") for i, k in enumerate(keys)]).checkpoint()
+    kinds = [F.struct(F.lit(i).alias("kind"), F.col(f"__k{i}").alias("value")) for i in range(len(keys))]
+    pairs = own.select(ident, F.explode(F.array(*kinds)).alias("k")).where("k.value is not null and k.value <> ''")
     hub = pairs.groupBy("k").agg(F.min(ident).alias("b"))
     return pairs.join(hub, "k").select(F.col(ident).alias("a"), "b").distinct()
 
