@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilis.functions.text import is_ascii
 from vigilis.operators.textjobs import words
 
 #: A target has at most this many classes: each is a model.
@@ -36,13 +37,21 @@ def _words(text: Column) -> Column:
     return F.coalesce(words(text), F.array().cast("array<string>"))
 
 
-def _shape(text: Column) -> Column:
-    """A text's build as numbers: words and their square in logarithms, shares of distinct words, repeated lines, signs and letters, word length."""
-    t, ws = F.coalesce(text, F.lit("")), _words(text)
+def _featured(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs``, __words and __shape: words and lines are columns of a step before, as each is used several times."""
+    t = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
+    cut = docs.select(*columns, t.alias("__t"), _words(F.col("text")).alias("__words"), lines.alias("__lines"))
+    return cut.select(*columns, "__words", _shape(F.col("__t"), F.col("__words"), F.col("__lines")).alias("__shape"))
+
+
+def _shape(t: Column, ws: Column, lines: Column) -> Column:
+    """A text's build as numbers: words and their square in logarithms, shares of distinct words, repeated lines, signs and letters, word length."""
     n, size = F.log1p(F.size(ws)), F.greatest(F.length(t), F.lit(1))
     share = lambda part, whole: part / F.greatest(whole, F.lit(1))
-    signs, letters = F.regexp_count(t, F.lit(r"[#*$%&|<>]")), F.regexp_count(t, F.lit(r"\p{L}"))
+    signs = F.regexp_count(t, F.lit(r"[#*$%&|<>]"))
+    # what is left without the runs between letters: no match for each letter
+    letters = F.length(F.when(is_ascii(t), F.regexp_replace(t, "[^A-Za-z]+", "")).otherwise(F.regexp_replace(t, r"\P{L}+", "")))
     own = [n, n * n, share(F.size(F.array_distinct(ws)), F.size(ws)), share(F.size(F.array_distinct(lines)), F.size(lines)), F.log1p(signs), signs / size, letters / size, share(letters, F.size(ws))]
     return array_to_vector(F.array(*[x.cast("double") for x in own]))
 
@@ -69,7 +78,7 @@ def fit_targets(gold: DataFrame, targets: Sequence[str], features: int = 1 << 14
     """
     spark = gold.sparkSession
     hashing = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features)
-    counted = hashing.transform(gold.select("doc_id", _words(F.col("text")).alias("__words"), _shape(F.col("text")).alias("__shape"), *targets))
+    counted = hashing.transform(_featured(gold, "doc_id", *targets))
     weigh = IDF(inputCol="__tf", outputCol="__weighed").fit(counted)
     level = Normalizer(inputCol="__weighed", outputCol="__level")  # else margins grow with a text's length
     hint = VectorSizeHint(inputCol="__shape", size=SHAPE, handleInvalid="optimistic")  # else the first row is looked at, and empty tables fail
@@ -98,7 +107,7 @@ def fit_targets(gold: DataFrame, targets: Sequence[str], features: int = 1 << 14
 
 def score_targets(docs: DataFrame, found: Targets) -> DataFrame:
     """doc_id and, for each target, its likeliest class and that class's share of the calibrated probabilities (ties: the first class)."""
-    made = found.model.transform(docs.select("doc_id", _words(F.col("text")).alias("__words"), _shape(F.col("text")).alias("__shape")))
+    made = found.model.transform(_featured(docs, "doc_id"))
     out = [F.col("doc_id")]
     for t, scale in found.scales.items():
         p = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(vector_to_array(_margin(t, i))[1] * a + b))) for i, (a, b) in enumerate(scale["lines"])]
