@@ -120,3 +120,11 @@ def test_shapes_cut_a_text_once(spark):
     assert plan(out).count("lambdafunction(") == 2  # of words and of lines, each once
     found = out.select("doc_id", vector_to_array("__shape").alias("s")).collect()
     assert round(found[0].s[6] * 17) == 7 and found[1].s[6] == 0  # letters
+
+
+def test_few_mentions_are_met_in_the_scan(spark):
+    docs = spark.createDataFrame([(1, "Of the of"), (2, "de la Café the of"), (3, None), (4, "cafe")], "doc_id int, text string")
+    lex = spark.createDataFrame([("of the", "A"), ("of", "B"), ("café", "C"), ("de la cafe", "D"), ("the of x", "E")], "alias string, concept string")
+    out = textjobs.mentions(docs, lex)
+    assert "Aggregate" not in plan(out) and plan(out).count("Join") == 1
+    assert sorted((r.doc_id, r.start, r.end, r.concept) for r in out.collect()) == [(1, 0, 2, "A"), (1, 2, 3, "B"), (2, 0, 3, "D"), (2, 4, 5, "B"), (4, 0, 1, "C")]

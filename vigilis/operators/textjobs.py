@@ -93,18 +93,31 @@ def mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFra
     """
     lex = lexicon.select(plain_key(F.col("alias")).alias("alias"), "concept").distinct().where("alias <> ''").withColumn("size", F.size(F.split("alias", " ")))
     few = [r.word for r in lex.select(F.explode(F.split("alias", " ")).alias("word")).distinct().limit(FEW + 1).collect()]
+    # texts made from narrow rows look small to the planner: it may never choose them as the side that is broadcast
+    known = lex.limit(FEW + 1).collect()
+    if len(few) <= FEW and len(known) <= FEW:
+        return drop_nested(_few_mentions(docs, known, lex, text))
     every = F.transform(F.split(plain_key(F.col(text)), " "), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     rows = docs.select("doc_id", F.inline(F.filter(every, lambda x: x["word"].isin(few)) if len(few) <= FEW else every))
     parts = lex.select("alias", "concept", "size", F.posexplode(F.split("alias", " ")).alias("k", "word"))
-    # texts made from narrow rows look small to the planner: it may never choose them as the side that is broadcast
-    known = parts.limit(FEW + 1).collect()
-    side = F.broadcast(docs.sparkSession.createDataFrame(known, parts.schema)) if len(known) <= FEW else parts.hint("merge")
-    hit = rows.join(side, "word").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "alias", "concept", "size")
+    hit = rows.join(parts.hint("merge"), "word").select("doc_id", (F.col("at") - F.col("k")).alias("start"), "alias", "concept", "size")
     long = hit.where("size > 1").groupBy("doc_id", "start", "alias", "concept", "size").agg(F.count("*").alias("n")).where("n = size").drop("n")
     found = hit.where("size = 1").unionByName(long).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "alias", "concept")
     return drop_nested(found)
 
 
+def _few_mentions(docs: DataFrame, known: Sequence, lex: DataFrame, text: str) -> DataFrame:
+    """Mentions of a small lexicon (rows ``known`` of ``lex``): each place where an alias may begin, with as many words as the longest has, meets it in the scan."""
+    first = sorted({r.alias.split(" ")[0] for r in known})
+    most = max((r["size"] for r in known), default=1)
+    cut = docs.select("doc_id", F.split(plain_key(F.col(text)), " ").alias("__ws"))
+    places = F.filter(F.transform("__ws", lambda w, i: F.struct(i.alias("start"), w.alias("word"))), lambda x: x["word"].isin(first))
+    run = F.transform(places, lambda x: F.struct(x["start"].alias("start"), x["word"].alias("word"), F.slice("__ws", x["start"] + 1, most).alias("run")))
+    side = F.broadcast(docs.sparkSession.createDataFrame(known, lex.schema).withColumn("word", F.substring_index("alias", " ", 1)))
+    hit = cut.select("doc_id", F.inline(run)).join(side, "word").where(F.array_join(F.slice("run", F.lit(1), F.col("size")), " ") == F.col("alias"))
+    return hit.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "alias", "concept")
+
+
 def labelled_counts(docs: DataFrame, terms: Mapping[str, str]) -> DataFrame:
     """``docs`` with, for each metric, the largest number next to its words (pattern), on either side."""
     number = r"([0-9][0-9.,]*(?:\s*(?:thousand|million|ribu|juta))?)"
