@@ -1,12 +1,15 @@
 """Texts are read, and patterns run over them, no more often than needed."""
 
+import random
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from vigilis.functions import unicode
 from vigilis.functions.text import fold_digits
-from vigilis.operators import dedup, scoring, textjobs
+from vigilis.operators import abbreviations, dedup, scoring, textjobs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -128,3 +131,49 @@ def test_few_mentions_are_met_in_the_scan(spark):
     out = textjobs.mentions(docs, lex)
     assert "Aggregate" not in plan(out) and plan(out).count("Join") == 1
     assert sorted((r.doc_id, r.start, r.end, r.concept) for r in out.collect()) == [(1, 0, 2, "A"), (1, 2, 3, "B"), (2, 0, 3, "D"), (2, 4, 5, "B"), (4, 0, 1, "C")]
+
+
+def test_short_forms_are_told_within_rows(spark):
+    """Texts are sorted for their duplicates alone, told without windows, and read four times, where each use of the short forms read them anew."""
+    df = entry.queries()["tx15_geo_uncertain"](spark, DATA)
+    assert "Window" not in plan(df)
+    assert df._jdf.queryExecution().executedPlan().toString().count("customer.parquet") == 4
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_aliases_within_rows_are_those_of_mentions(spark, monkeypatch, few):
+    rng = random.Random(5)
+    aliases = sorted({" ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(12)})
+    texts = [" ".join(rng.choice("abcdé,") for _ in range(rng.randrange(30))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, None), (101, "")], "doc_id int, text string")
+    lex = spark.createDataFrame([(x, x) for x in [*aliases, ""]], "alias string, concept string")
+    want = {}
+    for r in textjobs.mentions(docs, lex).collect():
+        want.setdefault(r.doc_id, []).append(r.concept)
+    monkeypatch.setattr(textjobs, "FEW", few)
+    rows = textjobs.with_mentions(docs, lex, "found").collect()
+    assert len(rows) == 62 and {r.doc_id: sorted(r.found) for r in rows if r.found is not None} == {k: sorted(v) for k, v in want.items()}
+    assert textjobs.with_mentions(docs, lex.limit(0), "found").where("found is not null").count() == 0
+
+
+def test_many_aliases_of_a_text_take_time_in_proportion(spark):
+    docs = spark.createDataFrame([(1, "of the " * 200_000)], "doc_id int, text string")
+    lex = spark.createDataFrame([("of the of",), ("the",), ("of",)], "alias string")
+    out = textjobs.with_mentions(docs, lex, "found").where("found is not null").select(F.size("found"))
+    assert out.first()[0] == 200_000  # each "of the of", and the last "the"
+
+
+def test_places_of_one_name_are_told_by_their_ids(spark):
+    """Of two places with the name that a text has, the smaller place_id; forms that are one but for signs stand for both places."""
+    places = [(7, "Ulu", "B", None, None, 1, ["x.y"], None), (3, "Ulu", "A", None, None, 1, ["x y"], None), (9, "Hilir", "A", None, None, 1, ["hl"], None), (9, "Hilir", "A", None, None, 1, ["hl"], None)]
+    places = spark.createDataFrame(places, "place_id long, canonical string, country string, admin1 string, admin2 string, level int, aliases array<string>, cues array<string>")
+    docs = spark.createDataFrame([(1, "Ulu: X-Y", None), (2, "Hilir, Ulu, Ulu", None)], "doc_id int, text string, country_hint string")
+    assert {r.doc_id: r.scope.place_id for r in abbreviations.text_scope(docs, places).collect()} == {1: 3, 2: 3}
+    assert sorted(map(tuple, abbreviations.resolve_abbreviations(docs, places).collect())) == [(1, "x y", 3), (1, "x.y", 7)]
+
+
+def test_marks_of_each_text_of_an_array(spark):
+    texts = ["É", "ｘ；ｙ", None, "ệ ½", "a\x01b", ""]
+    df = spark.createDataFrame([(texts,), (["é"],), ([],), (None,)], "ts array<string>")
+    one = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(unicode.strip_marks(F.col("t"))).collect()]
+    assert [r[0] for r in df.select(unicode.strip_marks_each(F.col("ts"))).collect()] == [one, ["e"], [], None]

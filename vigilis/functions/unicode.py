@@ -83,3 +83,15 @@ def strip_marks(text: Column) -> Column:
     plain = F.translate(text, *latin_letters())
     odd = plain.rlike(unsettled("NFKD"))
     return F.when(odd, change(F.when(odd, plain))).otherwise(plain)
+
+
+def strip_marks_each(texts: Column) -> Column:
+    """``strip_marks`` of each text of an array."""
+
+    @F.pandas_udf("array<string>")
+    def change(own: pd.Series) -> pd.Series:
+        return own.map(lambda ts: None if ts is None else [None if t is None else without_marks(t) for t in ts])
+
+    plain = F.transform(texts, lambda t: F.translate(t, *latin_letters()))
+    odd = F.exists(plain, lambda t: F.coalesce(t.rlike(unsettled("NFKD")), F.lit(False)))
+    return F.when(odd, change(F.when(odd, plain))).otherwise(plain)

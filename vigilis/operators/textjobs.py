@@ -118,6 +118,39 @@ def _few_mentions(docs: DataFrame, known: Sequence, lex: DataFrame, text: str) -
     return hit.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "alias", "concept")
 
 
+def with_mentions(docs: DataFrame, lexicon: DataFrame, column: str, text: str = "text") -> DataFrame:
+    """``docs`` (a row for each doc_id) with the aliases of ``mentions`` in each text as an array, as often as they are found; null where there are none.
+
+    lexicon: alias, as ``plain_key`` gives it. A small one is looked for within the rows, without windows or joins: what an alias may
+    lie in begins at most as many words before it as the longest alias has.
+    """
+    lex = lexicon.select("alias").distinct().where("alias <> ''")
+    known = [r.alias for r in lex.limit(FEW + 1).collect()]
+    if len(known) > FEW:
+        found = mentions(docs, lex.withColumn("concept", F.col("alias")), text).groupBy("doc_id").agg(F.collect_list("concept").alias(column))
+        return docs.join(found, "doc_id", "left")
+    sized: dict[int, list[str]] = {}
+    for alias in known:
+        sized.setdefault(alias.count(" ") + 1, []).append(alias)
+    first, most = sorted({alias.split(" ")[0] for alias in known}), max(sized, default=1)
+
+    def at(ws: Column) -> Column:
+        """For each word the end and alias of the longest alias that begins there, else null."""
+        run = lambda w, i, n: w if n == 1 else F.array_join(F.slice(ws, i + 1, n), " ")
+        longest = lambda w, i: [F.when(run(w, i, n).isin(sized[n]), F.struct((i + n).alias("end"), run(w, i, n).alias("alias"))) for n in sorted(sized, reverse=True)]
+        return F.transform(ws, lambda w, i: F.when(w.isin(first), F.coalesce(*longest(w, i))))
+
+    def kept(ends: Column) -> Column:
+        before = lambda i: F.array_max(F.transform(F.slice(ends, F.greatest(i - most + 2, F.lit(1)), F.least(i, F.lit(most - 1))), lambda x: x["end"]))
+        own = F.filter(ends, lambda x, i: x.isNotNull() & (x["end"] > F.coalesce(before(i), F.lit(0))))
+        return F.transform(own, lambda x: x["alias"])
+
+    # names of lambdas hold words and ends: a filter on the column that is pushed below it makes neither anew for each word
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    found = once(F.split(plain_key(F.col(text)), " "), lambda ws: once(at(ws), kept)) if known else F.array().cast("array<string>")
+    return docs.withColumn(column, once(found, lambda x: F.when(F.size(x) > 0, x)))
+
+
 def labelled_counts(docs: DataFrame, terms: Mapping[str, str]) -> DataFrame:
     """``docs`` with, for each metric, the largest number next to its words (pattern), on either side."""
     number = r"([0-9][0-9.,]*(?:\s*(?:thousand|million|ribu|juta))?)"
